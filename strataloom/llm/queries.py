@@ -3,18 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataloom.llm import minhash
+from strataloom.llm import chat, minhash, mixing, quality_rules, token_store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CONTROL_CASE = "\\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every formatted conversation, and of conversation -7, whose texts hold control strings."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    case = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_CASE).alias("text"))
+    return chat.digest(chat.format_conversations(turns.unionByName(case)))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three-word shingles, similarity 0.85."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
-QUERIES = {"op3_minhash": op3_minhash}
-SQL: dict[str, str] = {}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes of each document."""
+    return mixing.taken(_read(spark, sf_dir, "documents"))
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to compressed shards and read back."""
+    import public_tokenizers
+
+    return token_store.tokenize(_read(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
+    return quality_rules.judge(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_minhash, op6_mixing, op8_token_ids, op9_quality_rules)}
+SQL: dict[str, str] = {"op1_chat_format": chat.DIGEST_SQL, "op6_mixing": mixing.MIX_SQL}
