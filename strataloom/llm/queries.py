@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import chat, minhash, mixing, quality_rules, token_store
+from strataloom.llm import chat, decontaminate, minhash, mixing, quality_rules, token_store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the overlap; clean documents have no row."""
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix of all sources takes of each document."""
     return mixing.taken(_read(spark, sf_dir, "documents"))
@@ -44,5 +49,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_minhash, op6_mixing, op8_token_ids, op9_quality_rules)}
-SQL: dict[str, str] = {"op1_chat_format": chat.DIGEST_SQL, "op6_mixing": mixing.MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_minhash, op5_decontamination, op6_mixing, op8_token_ids, op9_quality_rules)}
+SQL: dict[str, str] = {"op1_chat_format": chat.DIGEST_SQL, "op5_decontamination": decontaminate.CONTAMINATED_SQL, "op6_mixing": mixing.MIX_SQL}
