@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import chat, decontaminate, minhash, mixing, quality_rules, token_store
+from strataloom.llm import chat, decontaminate, language_id, minhash, mixing, quality_net, quality_rules, token_store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +22,23 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(case)))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a network learned from labels.quality of the rows that are not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    return quality_net.score(docs, quality_net.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three-word shingles, similarity 0.85."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by profiles learned from the rows that are not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the overlap; clean documents have no row."""
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -49,5 +61,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_minhash, op5_decontamination, op6_mixing, op8_token_ids, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_classifier, op3_minhash, op4_language_id, op5_decontamination, op6_mixing, op8_token_ids, op9_quality_rules)}
 SQL: dict[str, str] = {"op1_chat_format": chat.DIGEST_SQL, "op5_decontamination": decontaminate.CONTAMINATED_SQL, "op6_mixing": mixing.MIX_SQL}
