@@ -253,3 +253,18 @@ def _attach(rows: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     found = F.coalesce("hot", "rest")
     component = F.when(found.isNull(), F.col("id")).otherwise(found["component_id"])
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
+    """docs with one row of each group, the one with the least id; the same columns.
+
+    A row is known by its id and a hash of its text, so repeated or missing
+    ids do not mix up rows; of rows that agree in both, one stays.
+    """
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), mark.alias("mark"))
+    found = materialize(near_duplicates(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), id_col="_key", text_col="_text", **rule), "groups")
+    total, keys, gone = found.agg(F.count("*"), F.count_distinct("_key"), F.count_if(~F.col("kept"))).first()
+    side = small_enough(found.filter("not kept").select(F.col("_key.id").alias("_id"), F.col("_key.mark").alias("_mark")).distinct(), gone, BROADCAST_ROWS)
+    out = docs.join(side, docs[id_col].eqNullSafe(side["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == side["_mark"]), "left_anti")
+    return out if keys == total else out.dropDuplicates([id_col, text_col])

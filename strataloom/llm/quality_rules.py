@@ -249,3 +249,19 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     fields = [T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in names), *(T.StructField(x, T.DoubleType()) for x in ("char_js", "word_js")), *(T.StructField(x, T.BooleanType()) for x in ("base_failed", "kept"))]
     source = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     return source.mapInArrow(_judge(references), T.StructType(fields)).withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows that the rules reject; the same columns, nothing is joined back."""
+    references = language_references(docs, text_col=text_col, lang_col=lang_col)
+    judge_batch = _judge(references)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(at)
+            kept = [x.column(9) for x in judge_batch(iter([pa.RecordBatch.from_arrays([text, text], names=["id", "text"])]))]
+            if kept:
+                yield batch.filter(pa.concat_arrays(kept))
+
+    return spread(docs).mapInArrow(run, docs.schema)
