@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import chat, decontaminate, language_id, minhash, mixing, quality_net, quality_rules, token_store
+from strataloom.llm import chat, decontaminate, language_id, license_scan, minhash, mixing, quality_net, quality_rules, token_store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +61,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_classifier, op3_minhash, op4_language_id, op5_decontamination, op6_mixing, op8_token_ids, op9_quality_rules)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices and texts in all documents; documents without any have no row."""
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_classifier, op3_minhash, op4_language_id, op5_decontamination, op6_mixing, op8_token_ids, op9_quality_rules, op10_license_scan)}
 SQL: dict[str, str] = {"op1_chat_format": chat.DIGEST_SQL, "op5_decontamination": decontaminate.CONTAMINATED_SQL, "op6_mixing": mixing.MIX_SQL}

@@ -63,9 +63,9 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first word of each text and the total) of the maximal runs of other bytes than 0x20 and 0x09-0x0D."""
-    solid = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first word of each text and the total) of the maximal runs of bytes outside `space` (0x20 and 0x09-0x0D)."""
+    solid = ~space[data]
     before = np.empty_like(solid)
     before[:1] = False
     before[1:] = solid[:-1]
