@@ -4,4 +4,6 @@ from __future__ import annotations
 
 
 def suites() -> list:
-    return []
+    from strataloom.plans import text_queries
+
+    return [text_queries]
