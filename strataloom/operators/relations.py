@@ -102,7 +102,7 @@ def seed_weights(chain: DataFrame, *, by: str, topic: str, distance: str, deepes
 def sessions(rows: DataFrame, *, by: str, at: str, gap_seconds: float) -> DataFrame:
     """rows + session: a new one after a gap of at least gap_seconds."""
     w = Window.partitionBy(by).orderBy(at)
-    new = F.when(F.col(at).cast("double") - F.lag(at).over(w).cast("double") >= gap_seconds, 1).otherwise(0)
+    new = F.when(F.col(at).cast("timestamp").cast("double") - F.lag(at).over(w).cast("timestamp").cast("double") >= gap_seconds, 1).otherwise(0)
     return rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 

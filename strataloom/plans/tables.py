@@ -92,5 +92,5 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
 
 VOTES_SQL = """
 votes as (select event_id % (select count(distinct conv_id) from conversations) * 1000 + event_id % 3 as comment_id, user_id,
-  case event_type when 'purchase' then 1 else -1 end as vote, event_id as at from events where event_type in ('purchase', 'error'))
+  case event_type when 'purchase' then 1 else -1 end as vote, event_id as "at" from events where event_type in ('purchase', 'error'))
 """
