@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import chat, decontaminate, language_id, license_scan, minhash, mixing, quality_net, quality_rules, token_store
+from strataloom.llm import chat, decontaminate, language_id, license_scan, minhash, mixing, quality_net, quality_rules, suffix_dedup, token_store
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 50 bytes or more of a document with a smaller id."""
+    return suffix_dedup.digest(_read(spark, sf_dir, "documents"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to compressed shards and read back."""
     import public_tokenizers
@@ -66,5 +71,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_classifier, op3_minhash, op4_language_id, op5_decontamination, op6_mixing, op8_token_ids, op9_quality_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_classifier, op3_minhash, op4_language_id, op5_decontamination, op6_mixing, op7_suffix_dedup, op8_token_ids, op9_quality_rules, op10_license_scan)}
 SQL: dict[str, str] = {"op1_chat_format": chat.DIGEST_SQL, "op5_decontamination": decontaminate.CONTAMINATED_SQL, "op6_mixing": mixing.MIX_SQL}
