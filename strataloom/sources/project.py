@@ -31,7 +31,7 @@ def project_name(spark: SparkSession, path: str) -> str:
 
 def security_notes(spark: SparkSession, path: str) -> str | None:
     """Trimmed text, None if blank; a missing file is an error."""
-    return (_whole(spark, path).select(F.nullif(F.trim("value"), F.lit(""))).first() or [None])[0]
+    return (_whole(spark, path).select(F.nullif(F.regexp_replace("value", r"^\s+|\s+$", ""), F.lit(""))).first() or [None])[0]
 
 
 def source_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
