@@ -106,7 +106,7 @@ def chain_following(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top3_contributions(spark: SparkSession, d: str) -> DataFrame:
-    li = read(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("c"))
+    li = read(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum(F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100)).alias("c"))
     place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("c"), "l_partkey"))
     return li.withColumn("place", place).filter("place <= 3")
 
@@ -147,5 +147,5 @@ SQL = {
     "dag_layers": f"with recursive {_CALLS_SQL}, far as (select src, dst from pc union select far.src, pc.dst from far join pc on far.dst = pc.src), comp as (select node, least(node, coalesce((select min(a.dst) from far a where a.src = node and exists (select 1 from far b where b.src = a.dst and b.dst = node)), node)) as c from (select src as node from pc union select dst from pc)), e as (select distinct a.c as a, b.c as b from pc join comp a on pc.src = a.node join comp b on pc.dst = b.node where a.c <> b.c), walk as (select distinct c, 0 as layer from comp union select e.b, walk.layer + 1 from walk join e on walk.c = e.a) select c as component, max(layer)::int as layer from walk group by c",
     "transitive_effects": f"with recursive {_CALLS_SQL}, f as (select p_partkey as fn, case when p_size % 2 = 0 then 'revert' else 'write' end as effect, p_size as target from part where p_partkey % 2 = 0), n as (select src as node from pc union select dst from pc union select fn from f), fw as (select node as fn, node as origin from n union select fw.fn, pc.dst from fw join pc on fw.origin = pc.src), fr as (select node as fn, node as origin from n union select fr.fn, pc.dst from fr join pc on fr.origin = pc.src where pc.src % 4 <> 0) select fw.fn, origin, effect, target from fw join f on origin = f.fn where effect = 'write' union select fr.fn, origin, effect, target from fr join f on origin = f.fn where effect = 'revert'",
     "chain_following": "select p_partkey as topic, greatest(p_partkey - (p_partkey + 7) % 8, 0) as target from part",
-    "top3_contributions": "select * from (select *, row_number() over (partition by l_suppkey order by c desc, l_partkey)::int as place from (select l_suppkey, l_partkey, round(sum(l_extendedprice * (1 - l_discount)), 2) as c from lineitem group by 1, 2)) where place <= 3",
+    "top3_contributions": "select * from (select *, row_number() over (partition by l_suppkey order by c desc, l_partkey)::int as place from (select l_suppkey, l_partkey, sum(floor(l_extendedprice * (1 - l_discount) * 100)::bigint)::bigint as c from lineitem group by 1, 2)) where place <= 3",
 }

@@ -191,7 +191,7 @@ def threats_xor_rationale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_with_runner_up(spark: SparkSession, d: str) -> DataFrame:
-    o = read(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("score"))
+    o = read(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.sum(F.floor("o_totalprice")).cast("double").alias("score"))
     return r.choose(o, by="o_custkey", candidate="o_orderpriority", score="score", ratio=CHOICE_RATIO)
 
 
@@ -302,7 +302,7 @@ SQL = {
     "set_intersection": f"with {_SUPPLIERS_SQL}, s as (select * from sup where n_nationkey < 5) select a.l_suppkey, b.l_suppkey as other, count(*) as shared from s a join s b using (n_nationkey, l_partkey) where a.l_suppkey < b.l_suppkey group by 1, 2",
     "first_wins_validator": "with a as (select event_id, user_id, json_extract(props, '$.k')::int as subject from events where props is not null) select event_id, user_id, subject from a where subject is not null and subject % 9 <> 0 qualify row_number() over (partition by user_id, subject order by event_id) = 1",
     "threats_xor_rationale": "with o as (select o_orderstatus <> 'F' as t, starts_with(o_orderpriority, '1') as r from orders) select case when t and r then 'both' when not t and not r then 'neither' else 'valid' end as state, count(*) as n from o group by 1",
-    "rank_with_runner_up": "with s as (select o_custkey, o_orderpriority, round(sum(o_totalprice), 2) as score from orders group by 1, 2), w as (select *, row_number() over (partition by o_custkey order by score desc, o_orderpriority) as k, coalesce(lead(score) over (partition by o_custkey order by score desc, o_orderpriority), 0.0) as runner_up from s) select o_custkey, o_orderpriority, score, runner_up, score > 0 and score / (score + runner_up) >= 0.65 as chosen from w where k = 1",
+    "rank_with_runner_up": "with s as (select o_custkey, o_orderpriority, sum(floor(o_totalprice)::bigint)::double as score from orders group by 1, 2), w as (select *, row_number() over (partition by o_custkey order by score desc, o_orderpriority) as k, coalesce(lead(score) over (partition by o_custkey order by score desc, o_orderpriority), 0.0) as runner_up from s) select o_custkey, o_orderpriority, score, runner_up, score > 0 and score / (score + runner_up) >= 0.65 as chosen from w where k = 1",
     "seed_weights": "select l_orderkey, l_suppkey as topic, sum(pow(2.0, -l_linenumber))::double as weight from lineitem where l_linenumber <= 6 group by 1, 2",
     "semantic_blocks": "with g as (select *, case when epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts) >= 21600 then 1 else 0 end as new from events), s as (select *, (sum(new) over (partition by user_id order by ts rows unbounded preceding))::bigint as session from g) select user_id, session, count(*) as n, min(event_id) as first_event from s group by 1, 2",
     "section_grouping": "with h as (select page_id, unnest(regexp_extract_all(html, '<h([1-6])', 1))::int as level, unnest(range(len(regexp_extract_all(html, '<h([1-6])', 1))))::int as pos from pages) select page_id, pos, level, (select max(b.pos) from h b where b.page_id = a.page_id and b.pos < a.pos and b.level < a.level) as parent_pos from h a",
