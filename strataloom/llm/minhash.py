@@ -89,7 +89,7 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS_PER_BAND) -> np.ndarray:
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = text_bytes(column)
-    for i, j in slices(offsets, 1 << 22):
+    for i, j in slices(offsets, 1 << 20):
         part = data[offsets[i] : offsets[j]]
         starts, ends, bounds = word_spans(part, offsets[i : j + 1] - offsets[i])
         yield i, j, *shingle_sets(word_hashes(part, starts, ends), bounds, size)

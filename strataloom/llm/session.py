@@ -44,8 +44,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out anew where the input has fewer splits than the cluster has cores (a single small file)."""
+    """Deal rows out anew where the input has fewer splits than the cluster has cores (a single small file).
+
+    Rows here are whole texts, so the default of 10,000 rows an Arrow batch is
+    lowered: batches take memory in the executor and in its Python worker.
+    """
+    if int(df.sparkSession.conf.get(BATCH_KEY)) > BATCH_ROWS:
+        df.sparkSession.conf.set(BATCH_KEY, BATCH_ROWS)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

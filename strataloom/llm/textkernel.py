@@ -31,7 +31,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n, kept and grown as needed."""
     have = _POWERS.get("up")
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = -(-n // 65536) * 65536
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             out = np.full(size, base, dtype=np.uint64)
             out[0] = 1

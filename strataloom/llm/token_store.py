@@ -57,8 +57,10 @@ SAMPLE_DOCUMENTS = 2000
 SAMPLE_BYTES = 16 << 10
 SHARD_BYTES = 4 << 20
 PART_BYTES = 16 << 20
-CACHED_PIECES = 800_000
+#: Pieces and ids that a worker keeps at most while it encodes, and pieces between tasks; beyond that only pieces met again stay.
+CACHED_PIECES = 500_000
 CACHED_IDS = 8_000_000
+RESTING_PIECES = 120_000
 BROADCAST_ROWS = 1_000_000
 MARKS = ".,;:!?$#*&%|"
 
@@ -86,6 +88,26 @@ class Encoder:
         self.other: dict[str, int] = {}  # any other stretch of text
         self.flat, self.first, self.n_ids = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
         self.n_slots = 0
+        self.uses = np.zeros(1 << 14, np.int64)
+
+    def prune(self, most: int) -> None:
+        """Keep the pieces that were met often, at most about `most` of them."""
+        if len(self.slots) + len(self.other) <= most:
+            return
+        seen = self.uses[: self.n_slots]
+        least = 2
+        while (seen >= least).sum() > most:
+            least *= 2
+        old = [{k: v for k, v in table.items() if v >= 0 and seen[v] >= least} for table in (self.slots, self.other)]
+        flat, first, uses = self.flat, self.first, self.uses
+        self.clear()
+        for table, kept in zip((self.slots, self.other), old, strict=True):
+            at = np.fromiter(kept.values(), np.int64, len(kept))
+            lengths = first[at + 1] - first[at]
+            run = np.concatenate([[0], np.cumsum(lengths)])
+            numbers = self._store(flat[np.repeat(first[at] - run[:-1], lengths) + np.arange(run[-1])], lengths)
+            table.update(zip(kept, numbers, strict=True))
+            self.uses[numbers.start : numbers.stop] = uses[at] // 2
 
     def _store(self, ids: np.ndarray, lengths: np.ndarray) -> range:
         """Append the ids of new slots; returns their numbers."""
@@ -93,6 +115,7 @@ class Encoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n_slots + len(lengths) + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         self.flat[self.n_ids : self.n_ids + len(ids)] = ids
         self.first[self.n_slots + 1 : self.n_slots + len(lengths) + 1] = self.n_ids + np.cumsum(lengths)
         self.n_ids += len(ids)
@@ -141,7 +164,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_piece:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self.slots) + len(self.other) > CACHED_PIECES or self.n_ids > CACHED_IDS:
+        self.prune(CACHED_PIECES)
+        if self.n_ids > CACHED_IDS:
             self.clear()
         pieces, counts = [], []
         for text in texts:
@@ -187,6 +211,7 @@ class Encoder:
             counts = np.bincount(owner, minlength=len(counts))
         else:
             slots[heads] = [self.other[runs[h][1]] for h in heads.tolist()]
+        self.uses[: self.n_slots] += np.bincount(slots, minlength=self.n_slots)
         ids, lengths = self._gather(slots)
         cuts = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)[:-1]] if len(texts) > 1 else []
         return np.split(ids, cuts)
@@ -259,6 +284,7 @@ def _compress(path: str, end_id: int, dictionary: bytes):
                     done += len(frames)
                     frames, counts, size = [], [], 0
             yield pa.RecordBatch.from_arrays([ids.slice(done, len(frames)), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["id", "n", "frame"])
+        encoder(path).prune(RESTING_PIECES)
 
     return run
 
