@@ -143,8 +143,9 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     keep = shared[number]
     number, owner = (np.cumsum(shared) - 1)[number[keep]], owner[keep]
     out = np.zeros((n, n), np.float32)
-    step = max(64, (1 << 23) // n)
-    for at in range(0, int(shared.sum()), step):
+    total = int(shared.sum())
+    step = min(max(1, total), max(64, (1 << 23) // n))
+    for at in range(0, total, step):
         a, b = np.searchsorted(number, [at, at + step])
         m = np.zeros((n, step), np.float32)
         m[owner[a:b], number[a:b] - at] = 1
