@@ -14,6 +14,10 @@ from strataloom.llm import decontaminate, minhash, mixing, quality_rules, token_
 from strataloom.llm.session import materialize
 
 
+#: Fewer cached pieces than the operator's default: workers here also carry what earlier stages loaded.
+CACHED_PIECES = 150_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.accepted(docs)
@@ -38,7 +42,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the mix in compressed shards, read back."""
     import public_tokenizers
 
-    return token_store.tokenize(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_store.tokenize(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=2, pieces=CACHED_PIECES)
 
 
 STAGES = [

@@ -68,6 +68,8 @@ MARKS = ".,;:!?$#*&%|"
 class Encoder:
     """Ids of texts, equal pieces encoded once."""
 
+    limit = CACHED_PIECES
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -164,7 +166,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_piece:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        self.prune(CACHED_PIECES)
+        self.prune(self.limit)
         if self.n_ids > CACHED_IDS:
             self.clear()
         pieces, counts = [], []
@@ -220,14 +222,15 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pieces: int = CACHED_PIECES) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].limit = pieces
     return _ENCODERS[path]
 
 
-def _encoded(column: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
-    enc = encoder(path)
+def _encoded(column: pa.Array, path: str, end_id: int, pieces: int = CACHED_PIECES) -> Iterator[np.ndarray]:
+    enc = encoder(path, pieces)
     group, size = [], 0
     for text in column.to_pylist():
         group.append(text or "")
@@ -243,7 +246,7 @@ def _kind(width: int) -> str:
     return f"<u{width}"
 
 
-def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, end_id: int, pieces: int = CACHED_PIECES) -> bytes:
     """A dictionary from the documents with the least hashes of their ids; empty if there is too little to train on."""
     import zstandard
 
@@ -253,7 +256,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for ids in _encoded(batch.column(0), path, end_id):
+            for ids in _encoded(batch.column(0), path, end_id, pieces):
                 raw = ids.astype(_kind(encoder(path).width)).tobytes()
                 at = zlib.crc32(raw) % (len(raw) // SAMPLE_BYTES + 1) * SAMPLE_BYTES
                 out.append(raw[at : at + SAMPLE_BYTES])
@@ -266,7 +269,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
         return b""
 
 
-def _compress(path: str, end_id: int, dictionary: bytes):
+def _compress(path: str, end_id: int, dictionary: bytes, pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -274,8 +277,8 @@ def _compress(path: str, end_id: int, dictionary: bytes):
         for batch in batches:
             ids = batch.column(0)
             frames, counts, done = [], [], 0
-            kind, size = _kind(encoder(path).width), 0
-            for tokens in _encoded(batch.column(1), path, end_id):
+            kind, size = _kind(encoder(path, pieces).width), 0
+            for tokens in _encoded(batch.column(1), path, end_id, pieces):
                 frames.append(packer.compress(tokens.astype(kind).tobytes()))
                 counts.append(len(tokens))
                 size += len(frames[-1])
@@ -284,7 +287,10 @@ def _compress(path: str, end_id: int, dictionary: bytes):
                     done += len(frames)
                     frames, counts, size = [], [], 0
             yield pa.RecordBatch.from_arrays([ids.slice(done, len(frames)), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["id", "n", "frame"])
-        encoder(path).prune(RESTING_PIECES)
+        if pieces < CACHED_PIECES:  # a caller short of memory: the worker lives on, and what it has loaded with it
+            _ENCODERS.clear()
+        else:
+            encoder(path, pieces).prune(RESTING_PIECES)
 
     return run
 
@@ -337,19 +343,19 @@ def _shards(width: int, dictionary_hash: bytes, id_type: pa.DataType):
     return run
 
 
-def write_store(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every text and write dictionary and shards below `path`."""
+def write_store(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", pieces: int = CACHED_PIECES) -> None:
+    """Encode every text and write dictionary and shards below `path`; `pieces` bounds a worker's cache, not the result."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
     source = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    dictionary = train_dictionary(source, tokenizer, end_id)
+    dictionary = train_dictionary(source, tokenizer, end_id, pieces)
     width = encoder(tokenizer).width
     mark = hashlib.sha256(dictionary)
     spark.createDataFrame([(mark.hexdigest(), bytearray(dictionary), width, end_id)], "sha256 string, content binary, bytes_per_id int, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
     frames = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("frame", T.BinaryType())])
-    frames = materialize(source.mapInArrow(_compress(tokenizer, end_id, dictionary), frames), "frames")
+    frames = materialize(source.mapInArrow(_compress(tokenizer, end_id, dictionary, pieces), frames), "frames")
     total = frames.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
     dealt = frames.repartitionByRange(int(total // PART_BYTES) + 1, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "n", "frame")
     shards = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("content", T.BinaryType())])
@@ -387,8 +393,8 @@ def read_store(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> Dat
     return rows.mapInArrow(_read_back(dictionary, to_arrow_type(id_type)), out).withColumnRenamed("id", id_col)
 
 
-def tokenize(docs: DataFrame, *, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, *, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", pieces: int = CACHED_PIECES) -> DataFrame:
     """Write a store to a fresh folder and read it back."""
     path = fresh_path(docs.sparkSession, "tokens")
-    write_store(docs, path, tokenizer=tokenizer, end_id=end_id, id_col=id_col, text_col=text_col)
+    write_store(docs, path, tokenizer=tokenizer, end_id=end_id, id_col=id_col, text_col=text_col, pieces=pieces)
     return read_store(docs.sparkSession, path, id_col=id_col)
