@@ -4,12 +4,14 @@ A byte goes if a string of `length` bytes that covers it also starts in a
 document with a smaller id. Strings are judged on the input.
 
 Sharding. Equal strings must meet in one shard. Every window of `length` bytes
-takes the least hash of its 12-byte grams as its key; consecutive windows of
-one key are one fragment, and a key's fragments go to the shard that the key
-decides, packed (compressed) by stretches of input: equal fragments of a
-stretch travel once with the list of their places, so a passage that very many
-documents share stays small. Inside a shard, keys that one document alone
-holds are done.
+takes its 12-byte gram with the least hash (the leftmost of equals) as its
+anchor; consecutive windows with one anchor are one fragment, and the anchor's
+bytes decide the shard. Fragments travel packed (compressed) by stretches of
+input: equal fragments of a stretch travel once with the list of their places,
+so a passage that very many documents share stays small. Two equal windows
+agree on half of the bytes around the anchor on its left or on its right. So
+hashes of these half contexts go around first, and only fragments that share
+one with another document send their bytes: the shuffles stay small.
 
 Sorting. The distinct fragments that are left are one text, sorted by induced
 sorting: suffix types, ordering of the leftmost S suffixes by naming and
@@ -48,8 +50,9 @@ from strataloom.llm.textkernel import _BYTE_CODE, _powers, mix, slices, text_byt
 
 LENGTH = 50
 GRAM = 12
-STRETCH = 4 << 20
-SHARD_BYTES = 18 << 20
+STRETCH = 2 << 20
+SHARD_BYTES = 8 << 20
+ASK_BYTES = 16 << 20
 MOST_SHARDS = 4096
 LAST = np.iinfo(np.int64).max
 QUEUE_ITEMS = 4_000_000
@@ -92,9 +95,8 @@ def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than its successor (type S); the last one, the end mark, is S."""
     n = len(t)
     differs = np.flatnonzero(t[:-1] != t[1:])
-    # a suffix has the type of the last position of its run of equal bytes
-    at = np.minimum(np.searchsorted(differs, np.arange(n - 1)), max(0, len(differs) - 1))
-    end = differs[at] if len(differs) else np.zeros(n - 1, np.int64)
+    # a suffix has the type of the last position of its run of equal bytes; the end mark is a run of its own
+    end = np.repeat(differs, np.diff(differs, prepend=-1))
     out = np.ones(n, bool)
     out[:-1] = t[end] < t[end + 1]
     return out
@@ -200,11 +202,17 @@ def group_windows(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     wanted[starts] = True
     order = order[wanted[order]]
     same = np.zeros(len(order), bool)
+    padded = np.append(text, np.zeros(8, np.uint8)).astype(np.uint64)
+    words = padded[: len(text)].copy()  # the eight bytes from each position on
+    for k in range(1, 8):
+        words |= padded[k : k + len(text)] << np.uint64(8 * k)
+    steps = [*range(0, length - 7, 8), length - 8] if length >= 8 else range(length)
+    look = words if length >= 8 else text
     for i in range(0, len(order) - 1, 1 << 18):
         a, b = order[i : i + (1 << 18)][: len(order) - 1 - i], order[i + 1 : i + 1 + (1 << 18)]
         alike = np.ones(len(b), bool)
-        for k in range(length):
-            alike &= text[a + k] == text[b + k]
+        for k in steps:
+            alike &= look[a + k] == look[b + k]
         same[i + 1 : i + 1 + len(b)] = alike
     group = np.empty(len(text), np.int64)
     group[order] = np.cumsum(~same) - 1
@@ -220,17 +228,23 @@ def _gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(key, text hash, row, start in row, bytes) of all fragments of a buffer of texts."""
+    """(anchor hash, text hash, left context, right context, row, start in row, bytes) of all fragments of a buffer of texts.
+
+    A context is a hash of the anchor and the bytes on one side that one of two
+    equal windows' halves must hold; 0 where the fragment is too short for it.
+    """
     sizes = np.diff(offsets)
     windows = np.maximum(sizes - length + 1, 0)
     total = int(windows.sum())
-    empty = np.zeros(0, np.int64)
     if not total:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
+        none = np.zeros(0, np.uint64)
+        return (none, none, none, none, *(none.astype(np.int64),) * 3)
     up, down = _powers(len(data) + 1)
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_CODE[data] * up[:-1], out=run[1:])
-    least = mix((run[GRAM:] - run[:-GRAM]) * down[: len(data) - GRAM + 1])
+    place_bits = np.uint64(max(1, int(len(data)).bit_length()))
+    gram = mix((run[GRAM:] - run[:-GRAM]) * down[: len(data) - GRAM + 1])
+    least = (gram >> place_bits << place_bits) | np.arange(len(gram), dtype=np.uint64)
     width = length - GRAM + 1
     span = 1
     while span * 2 <= width:
@@ -239,17 +253,20 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
     if width > span:
         least = np.minimum(least[: -(width - span)], least[width - span :])
     row = np.repeat(np.arange(len(sizes)), windows)
-    inside = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows)
-    key = least[np.repeat(offsets[:-1], windows) + inside]
-    first = np.ones(total, bool)
-    first[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (inside[1:] % 16384 == 0)
-    at = np.flatnonzero(first)
-    count = np.diff(np.append(at, total))
-    start, bytes_ = inside[at], count + length - 1
-    row = row[at]
-    place = offsets[row] + start
+    window = np.repeat(offsets[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(total)
+    anchor = (least[window] & ((np.uint64(1) << place_bits) - np.uint64(1))).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
+    bytes_ = np.diff(np.append(at, total)) + length - 1
+    place, anchor, row = window[at], anchor[at], row[at]
     text = mix((run[place + bytes_] - run[place]) * down[place] + bytes_.astype(np.uint64))
-    return key[at], text, row, start, bytes_
+    half = (length - GRAM + 1) // 2
+
+    def context(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+        fits = (a >= place) & (b <= place + bytes_)
+        a, b = np.where(fits, a, 0), np.where(fits, b, 0)
+        return np.where(fits, mix((run[b] - run[a]) * down[a] + np.uint64(salt)) | np.uint64(1 << 32), np.uint64(0))
+
+    return gram[anchor], text, context(anchor - half, anchor + GRAM, 3), context(anchor, anchor + GRAM + half, 5), row, place - offsets[row], bytes_
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
@@ -259,54 +276,138 @@ def _pack(arrays: list[np.ndarray]) -> bytes:
     return head + zstandard.ZstdCompressor(level=3).compress(b"".join(a.tobytes() for a in arrays))
 
 
-_KINDS = ("<u4", "<u2", "<u4", "<u4", "<u4", "<i8", "<u4", "u1")
-
-
-def _unpack(payload: bytes) -> list[np.ndarray]:
-    """keys, lengths of distinct fragments; fragment, row and start of places; ids and marks of rows; fragment bytes."""
+def _unpack(payload: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     import zstandard
 
-    sizes = np.frombuffer(payload[: 8 * len(_KINDS)], "<i8").tolist()
-    raw = zstandard.ZstdDecompressor().decompress(payload[8 * len(_KINDS) :])
+    sizes = np.frombuffer(payload[: 8 * len(kinds)], "<i8").tolist()
+    raw = zstandard.ZstdDecompressor().decompress(payload[8 * len(kinds) :])
     out, at = [], 0
-    for n, kind in zip(sizes, _KINDS, strict=True):
+    for n, kind in zip(sizes, kinds, strict=True):
         out.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
     return out
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, which compress well; np.cumsum undoes it modulo 2**32."""
+    return np.diff(x.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=np.uint32).astype(np.int64)
+
+
+class _Stretch:
+    """The fragments of some rows, dealt to shards, equal ones numbered once in order of appearance."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, shards: int, length: int, wanted: list[np.ndarray] | None = None):
+        key, text, self.left, self.right, self.row, self.start, self.size = fragments(data, offsets, length)
+        first = np.searchsorted(self.row, np.arange(len(offsets)))
+        self.ordinal = np.arange(len(key)) - first[self.row]
+        if wanted is not None:
+            keep = np.concatenate([first[i] + w for i, w in enumerate(wanted)]) if wanted else np.zeros(0, np.int64)
+            key, text = key[keep], text[keep]
+            self.row, self.start, self.size, self.ordinal = self.row[keep], self.start[keep], self.size[keep], self.ordinal[keep]
+        self.shard = (key % np.uint64(shards)).astype(np.int64)
+        self.place = offsets[self.row] + self.start
+        self.order = np.argsort(self.shard, kind="stable")
+        self.cuts = np.searchsorted(self.shard[self.order], np.arange(shards + 1))
+        self.text = text
+
+    def parts(self):
+        """(shard, places, distinct fragments among them, number of each place's fragment, rows, number of each place's row)."""
+        for s in np.flatnonzero(np.diff(self.cuts)).tolist():
+            p = self.order[self.cuts[s] : self.cuts[s + 1]]
+            _, one, number = np.unique(self.text[p], return_index=True, return_inverse=True)
+            seen = np.argsort(one)
+            again = np.empty(len(seen), np.int64)
+            again[seen] = np.arange(len(seen))
+            rows, at = np.unique(self.row[p], return_inverse=True)
+            yield s, p, p[one[seen]], again[number], rows, at
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]):
+    """(batch, first row, last row, bytes, offsets, ids, marks)."""
+    for batch in batches:
+        ids = batch.column(0).fill_null(int(LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
+        marks = (batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF).astype("<u4")
+        data, offsets = text_bytes(batch.column(2))
+        for i, j in slices(offsets, STRETCH):
+            yield batch, i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ids[i:j], marks[i:j]
+
+
+#: Left and right contexts of distinct fragments; fragment, row and ordinal of places (as differences); ids and marks of rows.
+_ASK = ("<u4", "<u4", "<u4", "<u4", "<u4", "<i8", "<u4")
+#: Lengths of distinct fragments; fragment, row and start of places (as differences); ids and marks of rows; fragment bytes.
+_SEND = ("<u2", "<u4", "<u4", "<u4", "<i8", "<u4", "u1")
+
+
+def _batch_of(names: list[int], payloads: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(payloads, pa.binary())], names=["shard", "payload"])
+
+
+def _ask(shards: int, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, data, offsets, ids, marks in _stretches(batches):
+            x = _Stretch(data, offsets, shards, length)
+            names, payloads = [], []
+            for s, p, one, number, rows, at in x.parts():
+                names.append(s)
+                payloads.append(_pack([*((c[one] >> np.uint64(32)).astype("<u4") for c in (x.left, x.right)), _steps(number), _steps(at), _steps(x.ordinal[p]), ids[rows], marks[rows]]))
+            yield _batch_of(names, payloads)
+
+    return run
+
+
 def _send(shards: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).fill_null(int(LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
-            marks = (batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF).astype("<u4")
-            data, offsets = text_bytes(batch.column(2))
-            for i, j in slices(offsets, STRETCH):
-                part = data[offsets[i] : offsets[j]]
-                key, text, row, start, size = fragments(part, offsets[i : j + 1] - offsets[i], length)
-                if not len(key):
-                    continue
-                _, one, number = np.unique(text, return_index=True, return_inverse=True)
-                shard = (key % np.uint64(shards)).astype(np.int64)
-                place = (offsets[i : j + 1] - offsets[i])[row] + start
-                by_place = np.argsort(shard, kind="stable")
-                cut_places = np.searchsorted(shard[by_place], np.arange(shards + 1))
-                by_text = np.argsort(shard[one], kind="stable")
-                cut_texts = np.searchsorted(shard[one][by_text], np.arange(shards + 1))
-                local = np.empty(len(one), np.int64)
-                local[by_text] = np.arange(len(one)) - cut_texts[shard[one][by_text]]
-                names, payloads = [], []
-                for s in range(shards):
-                    p, u = by_place[cut_places[s] : cut_places[s + 1]], one[by_text[cut_texts[s] : cut_texts[s + 1]]]
-                    if len(p):
-                        rows, at = np.unique(row[p], return_inverse=True)
-                        names.append(s)
-                        payloads.append(_pack([(key[u] >> np.uint64(32)).astype("<u4"), size[u].astype("<u2"), local[number[p]].astype("<u4"), at.astype("<u4"), start[p].astype("<u4"), ids[i + rows], marks[i + rows], _gather(part, place[u], size[u])]))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(payloads, pa.binary())], names=["shard", "payload"])
+        for batch, i, j, data, offsets, ids, marks in _stretches(batches):
+            wanted = [np.sort(np.concatenate([np.frombuffer(b, "<u4") for b in blobs])).astype(np.int64) for blobs in batch.column(3).slice(i, j - i).to_pylist()]
+            x = _Stretch(data, offsets, shards, length, wanted)
+            names, payloads = [], []
+            for s, p, one, number, rows, at in x.parts():
+                names.append(s)
+                payloads.append(_pack([x.size[one].astype("<u2"), _steps(number), _steps(at), _steps(x.start[p]), ids[rows], marks[rows], _gather(data, x.place[one], x.size[one])]))
+            yield _batch_of(names, payloads)
 
     return run
 
 
+def _by_row(ids: np.ndarray, marks: np.ndarray, values: np.ndarray, kind: str) -> pa.RecordBatch:
+    """One (key, mark, values) row for each row of the input; values are serialized."""
+    order = np.lexsort((marks, ids))
+    ids, marks, values = ids[order], marks[order], values[order].astype(kind)
+    new = np.flatnonzero((ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])) + 1 if len(ids) else np.zeros(0, np.int64)
+    heads = np.concatenate([[0], new]).astype(np.int64) if len(ids) else new
+    blobs = [v.tobytes() for v in np.split(values, new)] if len(ids) else []
+    return pa.RecordBatch.from_arrays([pa.array(ids[heads]), pa.array(marks[heads].astype(np.int64)), pa.array(blobs, pa.binary())], names=["key", "mark", "values"])
+
+
+def shared_fragments(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(id, mark, ordinal) of all fragments of a shard that share a context with another document."""
+    parts = [_unpack(p, _ASK) for p in payloads]
+    sizes = np.array([len(p[0]) for p in parts])
+    base = np.cumsum(sizes) - sizes
+    frag = np.concatenate([_whole(p[2]) + b for p, b in zip(parts, base, strict=True)])
+    ids = np.concatenate([p[5][_whole(p[3])] for p in parts])
+    n = int(sizes.sum())
+    order = np.argsort(frag, kind="stable")
+    heads = np.searchsorted(frag[order], np.arange(n))
+    low, high = np.minimum.reduceat(ids[order], heads), np.maximum.reduceat(ids[order], heads)
+    shared = np.zeros(n, bool)
+    for side in (0, 1):
+        context = np.concatenate([p[side] for p in parts])
+        by = np.argsort(context)
+        k = context[by]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        several = (np.minimum.reduceat(low[by], first) < np.maximum.reduceat(high[by], first)) & (k[first] != 0)
+        shared[by] |= np.repeat(several, np.diff(np.append(first, n)))
+    keep = shared[frag]
+    marks = np.concatenate([p[6][_whole(p[3])] for p in parts])
+    ordinal = np.concatenate([_whole(p[4]) for p in parts])
+    return ids[keep], marks[keep], ordinal[keep]
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -314,37 +415,20 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def judge_shard(payloads: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(id, mark, start, bytes) of all stretches to remove that one shard finds."""
-    parts = [_unpack(p) for p in payloads]
-    n_texts = np.array([len(p[0]) for p in parts])
-    base = np.concatenate([[0], np.cumsum(n_texts)[:-1]])
-    keys, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
-    frag = np.concatenate([p[2].astype(np.int64) + b for p, b in zip(parts, base, strict=True)])
-    ids = np.concatenate([p[5][p[3]] for p in parts])
-    marks = np.concatenate([p[6][p[3]] for p in parts])
-    start = np.concatenate([p[4] for p in parts]).astype(np.int64)
-    n = len(keys)
-    low, high = np.full(n, LAST), np.full(n, np.iinfo(np.int64).min)
+    parts = [_unpack(p, _SEND) for p in payloads]
+    counts = np.array([len(p[0]) for p in parts])
+    base = np.cumsum(counts) - counts
+    size = np.concatenate([p[0] for p in parts]).astype(np.int64)
+    frag = np.concatenate([_whole(p[1]) + b for p, b in zip(parts, base, strict=True)])
+    ids = np.concatenate([p[4][_whole(p[2])] for p in parts])
+    marks = np.concatenate([p[5][_whole(p[2])] for p in parts])
+    start = np.concatenate([_whole(p[3]) for p in parts])
+    n = len(size)
     order = np.argsort(frag, kind="stable")
-    heads = np.searchsorted(frag[order], np.arange(n))
-    low, high = np.minimum.reduceat(ids[order], heads), np.maximum.reduceat(ids[order], heads)
-    by_key = np.argsort(keys, kind="stable")
-    k = keys[by_key]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    several = np.minimum.reduceat(low[by_key], first) < np.maximum.reduceat(high[by_key], first)
-    shared = np.zeros(n, bool)
-    shared[by_key] = np.repeat(several, np.diff(np.append(first, n)))
-    none = np.zeros(0, np.int64)
-    if not shared.any():
-        return none, none, none, none
-    chosen = np.flatnonzero(shared)
-    texts = []
-    for p, b in zip(parts, base, strict=True):
-        mine = chosen[(chosen >= b) & (chosen < b + len(p[0]))] - b
-        at = np.cumsum(p[1].astype(np.int64)) - p[1]
-        texts.append(_gather(p[7], at[mine], p[1].astype(np.int64)[mine]))
+    low = np.minimum.reduceat(ids[order], np.searchsorted(frag[order], np.arange(n)))
+    texts = [p[6] for p in parts]
     parts.clear()
     buffer = np.concatenate(texts)
-    size = sizes[chosen]
     at = np.cumsum(size) - size
     up, down = _powers(len(buffer) + 1)
     run = np.zeros(len(buffer) + 1, np.uint64)
@@ -352,7 +436,7 @@ def judge_shard(payloads: list[bytes], length: int = LENGTH) -> tuple[np.ndarray
     name = mix((run[at + size] - run[at]) * down[at] + size.astype(np.uint64))
     _, one, number = np.unique(name, return_index=True, return_inverse=True)
     least = np.full(len(one), LAST)
-    np.minimum.at(least, number, low[chosen])
+    np.minimum.at(least, number, low)
     # distinct fragments, each followed by a byte that UTF-8 never has
     usize = size[one]
     text = np.full(int((usize + 1).sum()), 0xFF, np.uint8)
@@ -367,11 +451,8 @@ def judge_shard(payloads: list[bytes], length: int = LENGTH) -> tuple[np.ndarray
     np.minimum.at(best, group, owner)
     smallest = best[group]
     wlow, whigh = np.minimum.reduceat(smallest, wfirst), np.maximum.reduceat(smallest, wfirst)
-    # places of shared fragments
-    to_unique = np.full(n, -1)
-    to_unique[chosen] = number
-    u = to_unique[frag]
-    here = np.flatnonzero((u >= 0) & (ids > np.where(u >= 0, wlow[u], LAST)))
+    u = number[frag]
+    here = np.flatnonzero(ids > wlow[u])
     u, ids, marks, start = u[here], ids[here], marks[here].astype(np.int64), start[here]
     all_of_it = ids > whigh[u]
     out = [(ids[all_of_it], marks[all_of_it], start[all_of_it], usize[u[all_of_it]])]
@@ -382,31 +463,37 @@ def judge_shard(payloads: list[bytes], length: int = LENGTH) -> tuple[np.ndarray
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _judge(length: int):
-    def close(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids, marks, start, size = judge_shard(payloads, length)
-        order = np.lexsort((start, marks, ids))
-        ids, marks, spans = ids[order], marks[order], np.stack([start[order], size[order]], axis=1).astype("<i8")
-        new = np.flatnonzero((ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])) + 1 if len(ids) else np.zeros(0, np.int64)
-        heads = np.concatenate([[0], new]).astype(np.int64) if len(ids) else new
-        blobs = [x.tobytes() for x in np.split(spans, new)] if len(ids) else []
-        yield pa.RecordBatch.from_arrays([pa.array(ids[heads]), pa.array(marks[heads]), pa.array(blobs, pa.binary())], names=["key", "mark", "spans"])
+def _by_shard(solve):
+    """Apply solve(payloads) to each shard of an input sorted by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
         for batch in batches:
             for s, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if s != shard and held:
-                    yield from close(held)
+                    yield solve(held)
                     held = []
                 shard = s
                 held.append(payload)
         if held:
-            yield from close(held)
+            yield solve(held)
 
     return run
 
 
+def _answer(payloads: list[bytes]) -> pa.RecordBatch:
+    ids, marks, ordinal = shared_fragments(payloads)
+    return _by_row(ids, marks, ordinal, "<u4")
+
+
+def _judge(length: int):
+    def solve(payloads: list[bytes]) -> pa.RecordBatch:
+        ids, marks, start, size = judge_shard(payloads, length)
+        return _by_row(ids, marks, np.stack([start, size], axis=1), "<i8")
+
+    return solve
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_removed, n_spans, sizes, kept = [], [], [], []
@@ -428,10 +515,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept bytes) of each row."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = "key long, mark long, values binary"
+    packed = "shard int, payload binary"
+    texts = source.select(F.col("id").cast("long").alias("id"), "mark", "text")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(min(MOST_SHARDS, total // SHARD_BYTES + 1))
-    sent = spread(source).select(F.col("id").cast("long"), "mark", "text").mapInArrow(_send(shards, length), "shard int, payload binary")
-    found = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_judge(length), "key long, mark long, spans binary")
+    shards = int(min(MOST_SHARDS, total // ASK_BYTES + 1))
+    asked = spread(texts).mapInArrow(_ask(shards, length), packed).repartition(shards, "shard").sortWithinPartitions("shard")
+    shared = asked.mapInArrow(_by_shard(_answer), rows).groupBy("key", "mark").agg(F.collect_list("values").alias("wanted"))
+    shared = materialize(shared, "shared")
+    n_rows, octets = shared.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))), F.lit(0))).first()
+    shards = int(min(MOST_SHARDS, octets // 4 * (length + 20) // SHARD_BYTES + 1))
+    side = shared.withColumnRenamed("mark", "_mark")
+    side = F.broadcast(side) if octets + 64 * n_rows <= BROADCAST_BYTES else side
+    some = texts.join(side, (F.coalesce("id", F.lit(int(LAST))) == F.col("key")) & (F.col("mark").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("_mark"))).select("id", "mark", "text", "wanted")
+    sent = spread(some).mapInArrow(_send(shards, length), packed).repartition(shards, "shard").sortWithinPartitions("shard")
+    found = sent.mapInArrow(_by_shard(_judge(length)), rows).withColumnRenamed("values", "spans")
     spans = materialize(found.groupBy("key", "mark").agg(F.collect_list("spans").alias("spans")), "spans")
     size = spans.agg(F.sum(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + 64 + F.octet_length(x)))).first()[0] or 0
     side = spans.withColumnRenamed("mark", "_mark")
