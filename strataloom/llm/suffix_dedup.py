@@ -56,7 +56,7 @@ ASK_BYTES = 16 << 20
 MOST_SHARDS = 4096
 LAST = np.iinfo(np.int64).max
 QUEUE_ITEMS = 4_000_000
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 128 << 20
 
 
 # --- induced sorting -----------------------------------------------------------------------------
@@ -489,7 +489,7 @@ def _answer(payloads: list[bytes]) -> pa.RecordBatch:
 def _judge(length: int):
     def solve(payloads: list[bytes]) -> pa.RecordBatch:
         ids, marks, start, size = judge_shard(payloads, length)
-        return _by_row(ids, marks, np.stack([start, size], axis=1), "<i8")
+        return _by_row(ids, marks, np.stack([start, size], axis=1), "<u4")
 
     return solve
 
@@ -501,7 +501,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = (text or "").encode()
             gone = np.zeros(len(raw) + 1, np.int64)
             for blob in blobs or ():
-                spans = np.frombuffer(blob, "<i8").reshape(-1, 2)
+                spans = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64)
                 np.add.at(gone, spans[:, 0], 1)
                 np.add.at(gone, spans[:, 0] + spans[:, 1], -1)
             drop = np.cumsum(gone[:-1]) > 0
@@ -531,7 +531,7 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sent = spread(some).mapInArrow(_send(shards, length), packed).repartition(shards, "shard").sortWithinPartitions("shard")
     found = sent.mapInArrow(_by_shard(_judge(length)), rows).withColumnRenamed("values", "spans")
     spans = materialize(found.groupBy("key", "mark").agg(F.collect_list("spans").alias("spans")), "spans")
-    size = spans.agg(F.sum(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + 64 + F.octet_length(x)))).first()[0] or 0
+    size = spans.agg(F.sum(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + 16 + F.octet_length(x)))).first()[0] or 0
     side = spans.withColumnRenamed("mark", "_mark")
     side = F.broadcast(side) if size <= BROADCAST_BYTES else side
     keyed = source.withColumn("_key", F.coalesce(F.col("id").cast("long"), F.lit(int(LAST)))).withColumn("_low", F.col("mark").bitwiseAND(F.lit(0xFFFFFFFF)))
