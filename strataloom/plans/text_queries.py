@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from strataloom.functions import text as t
 from strataloom.functions.tables import CODE_REFERENCE, COMMON_WORDS, COMPOUND_TERMS, KEYWORDS, OPERATOR_WORDS, PARTY_PREFIXES, RECOMMENDATION_PREFIXES
 from strataloom.operators import bm25
-from strataloom.plans.tables import read
+from strataloom.plans.tables import read, spread
 
 
 def tokenize_prose(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.tokens(read(spark, d, "documents"), "doc_id", "text")
+    rows = t.tokens(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("token").alias("n_distinct"))
 
 
@@ -93,7 +93,7 @@ def plain_comments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _doc_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.term_counts(t.tokens(read(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return bm25.term_counts(t.tokens(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id")
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
