@@ -113,7 +113,7 @@ def top3_contributions(spark: SparkSession, d: str) -> DataFrame:
 
 def resolve_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Ambiguous part names inside orders, resolved by the graph around each order and by co-location."""
-    o = read(spark, d, "orders").filter("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("section"), node("o", "o_orderkey").alias("seed"))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("section"), node("o", "o_orderkey").alias("seed"))
     s = read(spark, d, "supplier")
     li = read(spark, d, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     refs = li.select(F.col("l_orderkey").alias("section"), F.col("l_linenumber").alias("ref"), node("p", "l_partkey").alias("candidate"), F.col("s_nationkey").alias("scope")).distinct()
