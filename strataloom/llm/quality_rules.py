@@ -5,12 +5,15 @@ compared with the same histograms of each language by Jensen-Shannon distance
 (base 2, so 0 to 1). The references are counted over all documents, by their
 language label: the character classes, and every word that makes up at least
 `COMMON_SHARE` of a language's words, plus one class for all other words. So a
-language has at most 1 / COMMON_SHARE common words, and languages with less
-than `LEAST_SHARE` of all words have no reference: both tables are small at
-any input size. A document is held against every reference (labels may be
-wrong or missing) and the nearest counts: it is rejected if its best sum of
-both distances is over `MOST_TOTAL`, or its best character distance is over
-`MOST_CHARS`. Short texts say little about a distribution: under `MIN_WORDS`
+language has at most 1 / COMMON_SHARE common words, and both tables grow only
+with the number of labels. Every label with `LEAST_WORDS` words has a
+reference, however much other text there is. A document is held against every
+reference (labels may be wrong or missing) and the nearest counts: it is
+rejected if its best sum of both distances is over `MOST_TOTAL`, or its best
+character distance is over `MOST_CHARS`. A document whose own label has too few
+words for a reference is not held against those of other languages: both
+distances count as 0 and the counting rules decide. Short texts say little
+about a distribution: under `MIN_WORDS`
 words the word distance counts as 0, and under `MIN_CHARS` characters the
 character distance too.
 
@@ -42,7 +45,7 @@ WINDOW = 8
 MIN_BASE_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 COMMON_SHARE = 0.002
-LEAST_SHARE = 0.001
+LEAST_WORDS = 1000
 MIN_WORDS = 40
 MIN_CHARS = 120
 MOST_CHARS = 0.34
@@ -205,17 +208,16 @@ def _count_references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> References:
-    """Counts over all documents; what reaches the driver is bounded by the two shares."""
+    """Counts over all documents; what reaches the driver is at most 1 / COMMON_SHARE words for each label of LEAST_WORDS words."""
     source = spread(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang != ''"))
     counts = source.mapInArrow(_count_references, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "references")
-    by_lang = counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    every = by_lang.agg(F.sum("total")).first()[0] or 0
-    large = {r.lang: r.total for r in by_lang.filter(F.col("total") >= LEAST_SHARE * every).collect()}
+    by_lang = counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST_WORDS)
+    large = {r.lang: r.total for r in by_lang.collect()}
     classes: dict[str, list[int]] = {x: [0] * N_CLASSES for x in large}
     words: dict[str, dict[int, int]] = {x: {} for x in large}
-    least = F.coalesce(*[F.when(F.col("lang") == x, F.lit(COMMON_SHARE * n)) for x, n in large.items()], F.lit(float("inf"))) if large else F.lit(float("inf"))
-    for r in counts.filter((F.col("kind") == 0) & F.col("lang").isin(*large) | (F.col("kind") == 1) & (F.col("n") >= least)).collect():
+    common = (F.col("kind") == 0) | (F.col("n") >= COMMON_SHARE * F.col("total"))
+    for r in counts.join(F.broadcast(by_lang), "lang").filter(common).select("lang", "kind", "key", "n").collect():
         if r.kind == 0:
             classes[r.lang][r.key] = r.n
         else:
@@ -224,15 +226,18 @@ def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: st
 
 
 def _judge(references: References):
+    known = set(references.langs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            judged = np.array([not x or x in known for x in batch.column(2).to_pylist()], bool)
             for i, j, part, own, starts, ends, bounds in _pieces(batch.column(1)):
                 base = base_counts(part, own, starts, ends, bounds, word_hashes(part, starts, ends, fold=False))
                 failed = (base["n_words"] < MIN_BASE_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED_PERCENT * base["n_words"])
                 if references.langs:
                     chars, word = references.distances(class_histogram(part, own), word_hashes(part, starts, ends), bounds)
                     near = (chars + word).argmin(axis=1)
-                    char_js, word_js = (x[np.arange(j - i), near] for x in (chars, word))
+                    char_js, word_js = (np.where(judged[i:j], x[np.arange(j - i), near], 0.0) for x in (chars, word))
                 else:
                     char_js = word_js = np.zeros(j - i)
                 kept = ~failed & (char_js <= MOST_CHARS) & (char_js + word_js <= MOST_TOTAL)
@@ -247,7 +252,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     references = language_references(docs, text_col=text_col, lang_col=lang_col)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     fields = [T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in names), *(T.StructField(x, T.DoubleType()) for x in ("char_js", "word_js")), *(T.StructField(x, T.BooleanType()) for x in ("base_failed", "kept"))]
-    source = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    source = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")))
     return source.mapInArrow(_judge(references), T.StructType(fields)).withColumnRenamed("id", id_col)
 
 
@@ -255,12 +260,12 @@ def accepted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang")
     """docs without the rows that the rules reject; the same columns, nothing is joined back."""
     references = language_references(docs, text_col=text_col, lang_col=lang_col)
     judge_batch = _judge(references)
-    at = docs.columns.index(text_col)
+    at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(at)
-            kept = [x.column(9) for x in judge_batch(iter([pa.RecordBatch.from_arrays([text, text], names=["id", "text"])]))]
+            text, lang = batch.column(at), batch.column(lang_at).cast(pa.string())
+            kept = [x.column(9) for x in judge_batch(iter([pa.RecordBatch.from_arrays([text, text, lang], names=["id", "text", "lang"])]))]
             if kept:
                 yield batch.filter(pa.concat_arrays(kept))
 
