@@ -3,15 +3,17 @@ r"""Benchmark decontamination by spaced-seed hashing, with Spark expressions onl
 Method. Texts become lower-case runs of letters and digits. Fixed masks of
 `SPAN` tokens ignore some positions; at each token the tokens that a mask
 selects are hashed, and equal hashes of test items and documents are hits. A
-substituted token at an ignored position does not hide a hit. Items of 5 to
-SPAN - 1 tokens are hashed whole, as a mask of their own length; shorter items
-say too little and are ignored.
+substituted token at an ignored position does not hide a hit. Items of under
+`SHORT` tokens have masks of their own length: for k tolerated substitutions
+they are cut into k + 2 blocks and each mask selects two of them, so some mask
+is free of any k substitutions. Items of 1 to 4 tokens tolerate none and match
+as whole runs of tokens.
 
 A hit fixes a diagonal (document position minus item position). On each
 diagonal the whole item is laid over the document, a match counts +1 and a
-mismatch -`PENALTY`, and the best stretch must reach `LEAST_SCORE` (or the
-item's length, if that is less): twelve tokens in a row, or longer stretches
-with some substitutions.
+mismatch -`PENALTY`. It counts if at most one token in `TOLERATED` differs, or
+if the best stretch reaches `LEAST_SCORE`: twelve tokens in a row, or longer
+stretches with some substitutions.
 
 Hits are reduced to distinct (document, item, diagonal) before anything is
 joined back, so a passage that very many documents hold costs one small row
@@ -27,6 +29,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +39,8 @@ from strataloom.llm.session import materialize, small_enough
 SPAN = 11
 #: Selected positions of each mask; the others are ignored.
 MASKS = ((0, 1, 3, 4, 5, 6, 8, 9, 10), (0, 1, 2, 4, 5, 6, 7, 9, 10), (0, 2, 3, 4, 6, 7, 8, 10))
-LEAST_TOKENS = 5
+#: Items of fewer tokens have masks of their own length; one substitution in so many tokens is tolerated.
+SHORT, TOLERATED = 15, 5
 LEAST_SCORE = 12
 PENALTY = 2
 BROADCAST_ROWS = 2_000_000
@@ -47,6 +52,16 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks for an item of n tokens, each moved to place 0; one of them avoids any n // TOLERATED places."""
+    k = n // TOLERATED
+    if not k:
+        return [tuple(range(n))]
+    cuts = [n * i // (k + 2) for i in range(k + 3)]
+    blocks = [tuple(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return sorted({tuple(x - a[0] for x in a + b) for a, b in combinations(blocks, 2)})
+
+
 def _seed(tokens: Column, at: Column, mask: tuple[int, ...]) -> Column:
     """The hash of a mask's tokens from a position on; the mask's length and places are part of it."""
     return F.xxhash64(F.lit(",".join(map(str, mask))), *[F.get(tokens, at + k) for k in mask])
@@ -72,13 +87,12 @@ def _best(flags: Column) -> Column:
 
 def overlaps(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, text_hash, item_id, n_item_tokens, n_matched, score) for each document and item that overlap enough."""
-    items = materialize(tests.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text_col)).alias("tokens")).filter(F.size("tokens") >= LEAST_TOKENS).dropDuplicates(), "items")
-    short = [r.n for r in items.select(F.size("tokens").alias("n")).filter(F.col("n") < SPAN).distinct().collect()]  # at most SPAN - LEAST_TOKENS lengths
-    masks = [*MASKS, *(tuple(range(n)) for n in sorted(short))]
-    whole = F.size("tokens") < SPAN
-    tests_at = _seeds(items.filter(~whole), list(MASKS), ["item_id"])
-    for n in sorted(short):
-        tests_at = tests_at.unionByName(_seeds(items.filter(F.size("tokens") == n), [tuple(range(n))], ["item_id"]))
+    items = materialize(tests.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text_col)).alias("tokens")).filter(F.size("tokens") > 0).dropDuplicates(), "items")
+    short = sorted(r.n for r in items.select(F.size("tokens").alias("n")).filter(F.col("n") < SHORT).distinct().collect())  # at most SHORT - 1 lengths
+    masks = [*MASKS, *sorted({m for n in short for m in short_masks(n)})]
+    tests_at = _seeds(items.filter(F.size("tokens") >= SHORT), list(MASKS), ["item_id"])
+    for n in short:
+        tests_at = tests_at.unionByName(_seeds(items.filter(F.size("tokens") == n), short_masks(n), ["item_id"]))
     tests_at = materialize(tests_at.select("item_id", F.col("pos").alias("item_pos"), "seed"), "seeds")
     n_seeds = tests_at.count()
 
@@ -96,7 +110,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_
     flags = F.transform("tokens", lambda t, i: F.coalesce(F.when(F.col("diagonal") + i >= 0, F.get(F.col("doc_tokens"), F.col("diagonal") + i)) == t, F.lit(False)))
     scored = laid.select("id", "text_hash", "item_id", F.size("tokens").alias("n_item_tokens"), flags.alias("flags"))
     scored = scored.select("id", "text_hash", "item_id", "n_item_tokens", F.size(F.filter("flags", lambda x: x)).alias("n_matched"), _best(F.col("flags")).alias("score"))
-    kept = scored.filter(F.col("score") >= F.least(F.lit(LEAST_SCORE), F.col("n_item_tokens")))
+    kept = scored.filter((F.col("score") >= LEAST_SCORE) | (F.col("n_matched") * TOLERATED >= F.col("n_item_tokens") * (TOLERATED - 1)))
     best = F.max_by(F.struct("n_item_tokens", "n_matched", "score"), F.struct("score", "n_matched")).alias("best")
     return kept.groupBy("id", "text_hash", "item_id").agg(best).select(F.col("id").alias(id_col), "text_hash", "item_id", "best.*")
 
