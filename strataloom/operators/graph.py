@@ -308,11 +308,22 @@ def call_batches(calls: DataFrame, members: DataFrame, *, by: str) -> DataFrame:
     return members.groupBy(by).cogroup(calls.groupBy(by)).applyInPandas(run, f"{by} {by_kind}, layer int, batch int, member {kind}")
 
 
-def follow_chain(topics: DataFrame, *, limit: int = 64) -> DataFrame:
-    """(topic, target): the end of each chain of `next`, by pointer jumping; a cycle ends where it began repeating."""
-    at = write_out(topics.select("topic", F.coalesce("next", "topic").alias("target")), "chain")
-    for _ in range(limit.bit_length()):
-        hop = at.select(F.col("topic").alias("target"), F.col("target").alias("further"))
-        at = write_out(at.join(hop, "target", "left").select("topic", F.coalesce("further", "target").alias("target")), "chain")
-    return at
+def follow_chain(topics: DataFrame) -> DataFrame:
+    """(topic, target): the end of each chain of `next`, by pointer jumping until no row changes; a walk into a cycle ends where it enters it.
 
+    After more jumps than there are topics the rows that still move run in
+    cycles. The topics they stand on then are just those of the cycles.
+    """
+    start = write_out(topics.select("topic", F.coalesce("next", "topic").alias("target")), "chain")
+    at, hops, n = start, 1, start.count()
+    while True:
+        hop = at.select(F.col("topic").alias("target"), F.col("target").alias("further"))
+        step = write_out(at.join(hop, "target", "left").select("topic", F.coalesce("further", "target").alias("further"), "target"), "chain")
+        if step.filter("further != target").limit(1).count() == 0:
+            return at
+        if hops > n:
+            break
+        at, hops = step.select("topic", F.col("further").alias("target")), 2 * hops
+    ring = write_out(at.select(F.col("target").alias("topic")).distinct(), "ring")  # chain ends and topics of cycles
+    cut = start.join(ring.withColumn("_stop", F.lit(True)), "topic", "left").select("topic", F.when(F.col("_stop"), F.col("topic")).otherwise(F.col("target")).alias("next"))
+    return follow_chain(cut)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,17 +178,20 @@ def by_ids(comments: DataFrame, ids: list) -> DataFrame:
     return comments.filter(F.col("comment_id").isin(*ids) & (F.col("status") != "hidden")).orderBy(F.desc("created_at"), F.desc("comment_id")) if ids else comments.limit(0)
 
 
-def parent_chain(comments: DataFrame, *, deepest: int = 200) -> DataFrame:
-    """(comment_id, ancestor, depth): all ancestors of each comment(comment_id, parent), nearest at depth 1."""
+def parent_chain(comments: DataFrame) -> DataFrame:
+    """(comment_id, ancestor, depth): all ancestors of each comment(comment_id, parent), nearest at depth 1.
+
+    Paths double each round until none grows; a comment that is its own ancestor is an error.
+    """
     from strataloom.sources.shared import write_out
 
-    up = write_out(comments.select("comment_id", "parent").filter("parent is not null"), "parents")
-    now = up.select("comment_id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    out = [now]
-    for _ in range(deepest):
-        step = now.join(up.select(F.col("comment_id").alias("ancestor"), F.col("parent").alias("further")), "ancestor").select("comment_id", F.col("further").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
-        now = write_out(step, "chain")
-        if now.limit(1).count() == 0:
-            break
-        out.append(now)
-    return reduce(DataFrame.unionByName, out)
+    out = write_out(comments.select("comment_id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).filter("ancestor is not null"), "chain")
+    step, reach = out, 1
+    while step.limit(1).count() > 0:
+        if step.filter("comment_id = ancestor").limit(1).count() > 0:
+            raise ValueError("the parents form a cycle")
+        ends = out.filter(F.col("depth") == reach).select("comment_id", F.col("ancestor").alias("_end"))
+        more = out.select(F.col("comment_id").alias("_end"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        step = write_out(ends.join(more, "_end").select("comment_id", "ancestor", "depth"), "chain")
+        out, reach = out.unionByName(step), 2 * reach
+    return out

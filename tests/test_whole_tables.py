@@ -8,7 +8,9 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pytest
 
+from strataloom.operators import graph, relations
 from strataloom.plans import graph_queries
 
 
@@ -87,3 +89,27 @@ def test_resolve_rounds_takes_every_order(spark, tmp_path):
     assert {o for o, _ in got} == {o for o, _ in orders}
     assert {v[1] for v in want.values()} >= {"B", "E"}
     assert got == want
+
+
+def test_long_conversations_keep_all_ancestors(spark):
+    n = 300
+    rows = [(k, k - 1 if k else None) for k in range(n)] + [(1000, None), (1001, 1000)]
+    got = Counter((r.comment_id, r.ancestor, r.depth) for r in relations.parent_chain(spark.createDataFrame(rows, "comment_id long, parent long")).collect())
+    assert got == Counter([(k, k - d, d) for k in range(n) for d in range(1, k + 1)] + [(1001, 1000, 1)])
+    with pytest.raises(ValueError, match="cycle"):
+        relations.parent_chain(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "comment_id long, parent long"))
+
+
+def test_chains_are_followed_to_their_end(spark):
+    rows = [(k, k - 1 if k > 1 else None) for k in range(1, 301)] + [(1001, 1002), (1002, 1003), (1003, 1001), (1004, 1002), (1005, 1004), (1006, 1006), (1007, 5000)]
+    after = dict(rows)
+
+    def end(topic):
+        seen = set()
+        while topic in after and topic not in seen:
+            seen.add(topic)
+            topic = topic if after[topic] is None else after[topic]
+        return topic
+
+    got = {r.topic: r.target for r in graph.follow_chain(spark.createDataFrame(rows, "topic long, next long")).collect()}
+    assert got == {k: end(k) for k in after}
