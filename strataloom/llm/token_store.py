@@ -21,11 +21,10 @@ and any store that Spark writes to will do. Documents ascend by id over parts
 and shards: the frames, not the texts, are range partitioned. `start` (the ids
 of all documents before one) follows from sums over parts and shards.
 
-Encoding. For a byte-level pre-tokenizer without normalizer, a blank between
-two characters that are no white space always ends a piece and belongs to the
-next one, so a text may be cut there and equal pieces be encoded once for each
-worker. The pieces themselves are encoded by the tokenizers library, and any
-other kind of tokenizer file encodes whole texts.
+Encoding. For a byte-level pre-tokenizer without normalizer, texts are cut at
+white space as that pre-tokenizer cuts them, and each worker encodes equal
+words once (see Encoder). The words themselves are encoded by the tokenizers
+library, and any other kind of tokenizer file encodes whole texts.
 
 Cases: a null or empty text holds the end id only; very long texts are one
 frame; rows without id come first; repeated rows are documents of their own,
@@ -38,8 +37,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.llm.session import fresh_path, materialize, small_enough, spread
+from strataloom.llm.textkernel import _SPACE, slices, text_bytes
 
 MAGIC = b"TOKSHRD1"
 LEVEL = 3
@@ -57,18 +60,31 @@ SAMPLE_DOCUMENTS = 2000
 SAMPLE_BYTES = 16 << 10
 SHARD_BYTES = 4 << 20
 PART_BYTES = 16 << 20
-#: Pieces and ids that a worker keeps at most while it encodes, and pieces between tasks; beyond that only pieces met again stay.
-CACHED_PIECES = 500_000
-CACHED_IDS = 8_000_000
-RESTING_PIECES = 120_000
+#: Words that a worker keeps at most while it encodes and between tasks; beyond that the older half goes.
+CACHED_WORDS = 900_000
+RESTING_WORDS = 500_000
+#: Bytes of text that are cut into words at once.
+STRETCH = 12 << 20
 BROADCAST_ROWS = 1_000_000
-MARKS = ".,;:!?$#*&%|"
+#: Bytes that a pre-tokenizer always parts from a letter before them, and what the encoder holds for an odd word.
+MARKS = np.isin(np.arange(256), list(b".,;:!?$#*&%"))
+LETTERS = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+ODD = b""
 
 
 class Encoder:
-    """Ids of texts, equal pieces encoded once."""
+    """Ids of texts by the tokenizers library, equal words encoded once.
 
-    limit = CACHED_PIECES
+    ASCII white space cuts a text into words. What the pre-tokenizer makes of a
+    gap of k white space characters before a word is one piece of the first
+    k - 1 and, if the last is a blank, that blank in front of the word, else a
+    piece of its own; a gap that ends a text is one piece. So a text's ids are
+    those of its gaps and (blank-prefixed) words, in order; marks behind a letter
+    are words of their own, as they are to the pre-tokenizer. Texts with a word that begins or ends with other white space, or that holds an added token,
+    are encoded whole.
+    """
+
+    limit = CACHED_WORDS
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,176 +94,155 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        added = [x for x in spec.get("added_tokens", []) if any(c.isspace() for c in x["content"]) or x.get("lstrip") or x.get("rstrip") or x.get("single_word")]
-        self.by_piece = plain and not spec.get("normalizer") and not added and not spec.get("truncation") and not spec.get("padding")
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        added = [x["content"] for x in spec.get("added_tokens", [])]
+        loose = [x for x in spec.get("added_tokens", []) if any(c.isspace() for c in x["content"]) or x.get("lstrip") or x.get("rstrip") or x.get("single_word")]
+        self.by_word = plain and not spec.get("normalizer") and not loose and not spec.get("truncation") and not spec.get("padding")
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.odd = re.compile("|".join([r"(?<![^\n ])[^\S\n ]|[^\S\n](?![^\n])", *map(re.escape, added)]))
+        self.marks = MARKS & ~np.isin(np.arange(256), list("".join(added).encode()))
         self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.blank[[i for x, i in self.tokenizer.get_vocab().items() if x.startswith("\u0120")]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots: dict[str, int] = {}  # a piece after a blank, without it
-        self.other: dict[str, int] = {}  # any other stretch of text
-        self.flat, self.first, self.n_ids = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
-        self.n_slots = 0
-        self.uses = np.zeros(1 << 14, np.int64)
-
-    def prune(self, most: int) -> None:
-        """Keep the pieces that were met often, at most about `most` of them."""
-        if len(self.slots) + len(self.other) <= most:
-            return
-        seen = self.uses[: self.n_slots]
-        least = 2
-        while (seen >= least).sum() > most:
-            least *= 2
-        old = [{k: v for k, v in table.items() if v >= 0 and seen[v] >= least} for table in (self.slots, self.other)]
-        flat, first, uses = self.flat, self.first, self.uses
-        self.clear()
-        for table, kept in zip((self.slots, self.other), old, strict=True):
-            at = np.fromiter(kept.values(), np.int64, len(kept))
-            lengths = first[at + 1] - first[at]
-            run = np.concatenate([[0], np.cumsum(lengths)])
-            numbers = self._store(flat[np.repeat(first[at] - run[:-1], lengths) + np.arange(run[-1])], lengths)
-            table.update(zip(kept, numbers, strict=True))
-            self.uses[numbers.start : numbers.stop] = uses[at] // 2
-
-    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> range:
-        """Append the ids of new slots; returns their numbers."""
-        while self.n_ids + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n_slots + len(lengths) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
-        self.flat[self.n_ids : self.n_ids + len(ids)] = ids
-        self.first[self.n_slots + 1 : self.n_slots + len(lengths) + 1] = self.n_ids + np.cumsum(lengths)
-        self.n_ids += len(ids)
-        self.n_slots += len(lengths)
-        return range(self.n_slots - len(lengths), self.n_slots)
-
-    def _add_each(self, table: dict[str, int], keys: list[str], blank: str = "") -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([blank + x for x in keys], add_special_tokens=False)]
-        flat = np.fromiter((i for x in found for i in x), np.uint32, sum(map(len, found)))
-        table.update(zip(keys, self._store(flat, np.array([len(x) for x in found], np.int64)), strict=True))
-
-    def _add_pieces(self, keys: list[str]) -> None:
-        """Pieces that follow a blank. Every such piece begins with the one token that holds the blank, so many are encoded as one text and cut there."""
-        split = []
-        for x in keys:  # marks after letters are a piece of their own to the pre-tokenizer
-            core = x.rstrip(MARKS)
-            if len(core) < len(x) and core.isalpha():
-                split.append((x, core, x[len(core) :]))
-        whole = list(set(keys).difference(x for x, _, _ in split).union(c for _, c, _ in split).difference(self.slots))
-        for i in range(0, len(whole), 500):
-            block = whole[i : i + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(block)], add_special_tokens=False)[0].ids, np.uint32)
+        #: word, with a blank before it if there was one -> its serialized ids; ODD for an odd word. Two generations.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def rest(self, most: int) -> None:
+        """Keep at most about `most` words between tasks."""
+        if len(self.young) > most // 2:
+            self.old, self.young = (self.young, {}) if len(self.young) <= most else ({}, {})
+        elif len(self.young) + len(self.old) > most:
+            self.old = {}
+
+    def _encode_each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words that are not known yet."""
+        solid = [w for w in words if not w.isspace()]
+        joined = b"\n".join(solid).decode()
+        if self.odd.search(joined):
+            ends = list(accumulate(len(t) + 1 for t in joined.split("\n")))
+            odd = {bisect_right(ends, m.start()) for m in self.odd.finditer(joined)}
+            self.young.update((solid[k], ODD) for k in odd)
+            solid = [w for k, w in enumerate(solid) if k not in odd]
+        glued = [w for w in solid if w[0] == 0x20]
+        # words behind a blank begin with the one token that holds it, so many are encoded as one text and cut there
+        for i in range(0, len(glued), 2000):
+            block = glued[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(block).decode()], add_special_tokens=False)[0].ids, self.kind)
             heads = np.flatnonzero(self.blank[ids]) if len(ids) else np.zeros(0, np.int64)
             if len(heads) == len(block) and heads[0] == 0:
-                self.slots.update(zip(block, self._store(ids, np.diff(np.append(heads, len(ids)))), strict=True))
-            else:
-                self._add_each(self.slots, block, " ")
-        if split:
-            self._add_each(self.other, sorted({t for _, _, t in split}.difference(self.other)))
-            cores = np.fromiter((self.slots[c] for _, c, _ in split), np.int64, len(split))
-            tails = np.fromiter((self.other[t] for _, _, t in split), np.int64, len(split))
-            ids, lengths = self._gather(np.stack([cores, tails], axis=1).ravel())
-            self.slots.update(zip([x for x, _, _ in split], self._store(ids, lengths.reshape(-1, 2).sum(axis=1)), strict=True))
-
-    def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = self.first[slots]
-        lengths = self.first[slots + 1] - starts
-        run = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[np.repeat(starts - run[:-1], lengths) + np.arange(run[-1])], lengths
-
-    @staticmethod
-    def _joins(piece: str) -> bool:
-        """Whether the blanks beside this piece are no borders."""
-        return not piece or piece[0].isspace() or piece[-1].isspace()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_piece:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        self.prune(self.limit)
-        if self.n_ids > CACHED_IDS:
-            self.clear()
-        pieces, counts = [], []
-        for text in texts:
-            parts = text.split(" ")
-            counts.append(len(parts))
-            pieces += parts
-        new = set(pieces).difference(self.slots)
-        fine = []
-        for x in new:
-            if self._joins(x):
-                self.slots[x] = -1
+                raw, ends = ids.tobytes(), (np.append(heads, len(ids)) * self.kind.itemsize).tolist()
+                self.young.update(zip(block, [raw[x:y] for x, y in pairwise(ends)], strict=True))
             else:
-                fine.append(x)
-        self._add_pieces(fine)
-        slots = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
-        heads = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-        # the first piece of a text has no blank before it; pieces around a -1 are one stretch
-        special = slots < 0
-        odd = set(np.flatnonzero(np.add.reduceat(special, heads)).tolist()) if len(heads) else set()
-        runs: dict[int, tuple[int, str]] = {}  # first piece -> (pieces, text)
-        for t, (head, n) in enumerate(zip(heads.tolist(), counts, strict=True)):
-            if t not in odd:
-                runs[head] = (1, pieces[head])
-                continue
-            bad = special[head : head + n]
-            glued = bad[1:] | bad[:-1]  # the border before piece k + 1 is none
-            k = 0
-            while k < n:
-                end = k + 1
-                while end < n and glued[end - 1]:
-                    end += 1
-                if k == 0 or end > k + 1:
-                    runs[head + k] = (end - k, (" " if k else "") + " ".join(pieces[head + k : head + end]))
-                k = end
-        self._add_each(self.other, sorted({x for _, x in runs.values()}.difference(self.other)))
+                self.young.update(zip(block, self._encode_each([w.decode() for w in block]), strict=True))
+        single = [w for w in solid if w[0] != 0x20] + [w for w in words if w.isspace()]
+        self.young.update(zip(single, self._encode_each([w.decode() for w in single]), strict=True))
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Serialized ids of distinct words, ODD for an odd one."""
+        if len(self.young) + len(words) > self.limit // 2 and len(self.young) > len(self.old):
+            self.old, self.young = self.young, {}
+        found = list(map(self.young.get, words))
+        missing = [k for k, x in enumerate(found) if x is None]
+        if missing:
+            kept = [words[k] for k in missing]
+            again = list(map(self.old.get, kept))
+            self.young.update((w, x) for w, x in zip(kept, again, strict=True) if x is not None)
+            new = [w for w, x in zip(kept, again, strict=True) if x is None]
+            if new:
+                self._learn(new)
+            for k, w in zip(missing, kept, strict=True):
+                found[k] = self.young[w]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text) of a column; a null text is empty."""
+        if not self.by_word:
+            found = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return (np.concatenate(found) if found else np.zeros(0, self.kind)), np.array([len(x) for x in found], np.int64)
+        data, offsets = text_bytes(texts)
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
+        begin = self._pieces(data, offsets)
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)])
+        coded = column.dictionary_encode()
+        raw, cuts = coded.dictionary.buffers()[2].to_pybytes(), np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist()
+        ids = self._known([raw[x:y] for x, y in pairwise(cuts)])
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        bounds = np.searchsorted(begin, offsets)
+        odd = [k for k, x in enumerate(ids) if x is ODD]
         if odd:
-            keep = np.ones(len(slots), bool)
-            for at, (n, x) in runs.items():
-                slots[at] = self.other[x]
-                keep[at + 1 : at + n] = False
-            owner = np.repeat(np.arange(len(counts)), counts)[keep]
-            slots = slots[keep]
-            counts = np.bincount(owner, minlength=len(counts))
-        else:
-            slots[heads] = [self.other[runs[h][1]] for h in heads.tolist()]
-        self.uses[: self.n_slots] += np.bincount(slots, minlength=self.n_slots)
-        ids, lengths = self._gather(slots)
-        cuts = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)[:-1]] if len(texts) > 1 else []
-        return np.split(ids, cuts)
+            flags = np.zeros(len(ids), bool)
+            flags[odd] = True
+            run = np.concatenate([[0], np.cumsum(flags[index])])
+            odd = np.flatnonzero(run[bounds[1:]] > run[bounds[:-1]]).tolist()
+            for k in odd:  # such a text is encoded whole; its pieces give nothing
+                ids.append(self._encode_each([texts[k].as_py()])[0])
+            index = index.copy()
+            for j, k in enumerate(odd):
+                index[bounds[k] : bounds[k + 1]] = -1
+                index[bounds[k]] = len(ids) - len(odd) + j
+            ids.append(b"")  # for -1
+        size = self.kind.itemsize
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        span = lengths[index]
+        run = np.concatenate([[0], np.cumsum(span)])
+        at = (np.cumsum(lengths) - lengths)[index] - run[:-1]
+        out = flat[np.repeat(at, span) + np.arange(run[-1])]
+        return out, run[bounds[1:]] - run[bounds[:-1]]
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The places where a piece (a word with its blank, or part of a gap) begins, ascending."""
+        solid = ~_SPACE[data]
+        heads = offsets[:-1][offsets[1:] > offsets[:-1]]
+        flag = np.zeros(len(data), bool)
+        flag[1:] = solid[:-1] & ~solid[1:]  # a gap begins
+        word = np.zeros(len(data), bool)
+        word[1:] = solid[1:] & ~solid[:-1]
+        word[heads] = False
+        word = np.flatnonzero(word)
+        flag[word - 1] = True  # the last character of a gap before a word
+        flag[word[data[word - 1] != 0x20]] = True
+        flag[heads] = True
+        mark = np.flatnonzero(self.marks[data[1:]])  # marks right behind a letter; Latin letters with accents are 0xC3 and one byte
+        last, lead = data[mark], data[mark - 1]
+        letter = LETTERS[last] | ((lead == 0xC3) & (last >= 0x80) & (last < 0xC0) & (last != 0x97) & (last != 0xB7) & (mark > 0))
+        flag[mark[letter] + 1] = True
+        return np.flatnonzero(flag)
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str, pieces: int = CACHED_PIECES) -> Encoder:
+def encoder(path: str, pieces: int = CACHED_WORDS) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     _ENCODERS[path].limit = pieces
     return _ENCODERS[path]
 
 
-def _encoded(column: pa.Array, path: str, end_id: int, pieces: int = CACHED_PIECES) -> Iterator[np.ndarray]:
+def _encoded(column: pa.Array, path: str, end_id: int, pieces: int = CACHED_WORDS) -> Iterator[np.ndarray]:
+    """The ids of each text with the end id, in stretches of a few megabytes."""
     enc = encoder(path, pieces)
-    group, size = [], 0
-    for text in column.to_pylist():
-        group.append(text or "")
-        size += len(group[-1])
-        if size > 1 << 20:
-            yield from (np.append(ids, np.uint32(end_id)) for ids in enc.encode(group))
-            group, size = [], 0
-    if group:
-        yield from (np.append(ids, np.uint32(end_id)) for ids in enc.encode(group))
+    _, offsets = text_bytes(column)
+    for i, j in slices(offsets, STRETCH):
+        flat, counts = enc.encode(column.slice(i, j - i))
+        end = enc.kind.type(end_id)
+        yield from (np.append(x, end) for x in np.split(flat, np.cumsum(counts)[:-1]))
 
 
 def _kind(width: int) -> str:
     return f"<u{width}"
 
 
-def train_dictionary(docs: DataFrame, path: str, end_id: int, pieces: int = CACHED_PIECES) -> bytes:
-    """A dictionary from the documents with the least hashes of their ids; empty if there is too little to train on."""
+def train_dictionary(docs: DataFrame, path: str, end_id: int, pieces: int = CACHED_WORDS) -> bytes:
+    """A dictionary from the documents with the least hashes of their ids.
+
+    Where there is too little to train on, it is the samples themselves (one end
+    id at least), which zstandard takes as a dictionary of plain content.
+    """
     import zstandard
 
     chosen = docs.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCUMENTS)
@@ -257,7 +252,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, pieces: int = CACH
         for batch in batches:
             out = []
             for ids in _encoded(batch.column(0), path, end_id, pieces):
-                raw = ids.astype(_kind(encoder(path).width)).tobytes()
+                raw = ids.tobytes()
                 at = zlib.crc32(raw) % (len(raw) // SAMPLE_BYTES + 1) * SAMPLE_BYTES
                 out.append(raw[at : at + SAMPLE_BYTES])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["raw"])
@@ -266,7 +261,20 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, pieces: int = CACH
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b""
+        return b"".join(samples)[-DICTIONARY_BYTES:].rjust(8, np.array([end_id], encoder(path).kind).tobytes()[:1]) if samples else np.full(8, end_id, encoder(path).kind).tobytes()
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Small batches joined to some of at least this many bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else batch
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _compress(path: str, end_id: int, dictionary: bytes, pieces: int):
@@ -274,12 +282,12 @@ def _compress(path: str, end_id: int, dictionary: bytes, pieces: int):
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        for batch in batches:
+        for batch in _grouped(batches, STRETCH):
             ids = batch.column(0)
             frames, counts, done = [], [], 0
-            kind, size = _kind(encoder(path, pieces).width), 0
+            size = 0
             for tokens in _encoded(batch.column(1), path, end_id, pieces):
-                frames.append(packer.compress(tokens.astype(kind).tobytes()))
+                frames.append(packer.compress(tokens.tobytes()))
                 counts.append(len(tokens))
                 size += len(frames[-1])
                 if size > SHARD_BYTES:
@@ -287,10 +295,10 @@ def _compress(path: str, end_id: int, dictionary: bytes, pieces: int):
                     done += len(frames)
                     frames, counts, size = [], [], 0
             yield pa.RecordBatch.from_arrays([ids.slice(done, len(frames)), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["id", "n", "frame"])
-        if pieces < CACHED_PIECES:  # a caller short of memory: the worker lives on, and what it has loaded with it
+        if pieces < CACHED_WORDS:  # a caller short of memory: the worker lives on, and what it has loaded with it
             _ENCODERS.clear()
         else:
-            encoder(path, pieces).prune(RESTING_PIECES)
+            encoder(path, pieces).rest(RESTING_WORDS)
 
     return run
 
@@ -343,7 +351,7 @@ def _shards(width: int, dictionary_hash: bytes, id_type: pa.DataType):
     return run
 
 
-def write_store(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", pieces: int = CACHED_PIECES) -> None:
+def write_store(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", pieces: int = CACHED_WORDS) -> None:
     """Encode every text and write dictionary and shards below `path`; `pieces` bounds a worker's cache, not the result."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -351,7 +359,7 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, id_c
     id_type = docs.schema[id_col].dataType
     source = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     dictionary = train_dictionary(source, tokenizer, end_id, pieces)
-    width = encoder(tokenizer).width
+    width = encoder(tokenizer).kind.itemsize
     mark = hashlib.sha256(dictionary)
     spark.createDataFrame([(mark.hexdigest(), bytearray(dictionary), width, end_id)], "sha256 string, content binary, bytes_per_id int, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
     frames = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("frame", T.BinaryType())])
@@ -393,7 +401,7 @@ def read_store(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> Dat
     return rows.mapInArrow(_read_back(dictionary, to_arrow_type(id_type)), out).withColumnRenamed("id", id_col)
 
 
-def tokenize(docs: DataFrame, *, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", pieces: int = CACHED_PIECES) -> DataFrame:
+def tokenize(docs: DataFrame, *, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", pieces: int = CACHED_WORDS) -> DataFrame:
     """Write a store to a fresh folder and read it back."""
     path = fresh_path(docs.sparkSession, "tokens")
     write_store(docs, path, tokenizer=tokenizer, end_id=end_id, id_col=id_col, text_col=text_col, pieces=pieces)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strataloom.llm import chat, decontaminate, language_id, license_scan, mixing, quality_net, quality_rules, token_store
@@ -226,9 +227,10 @@ def test_pieces_equal_whole_texts():
     texts = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(4000)]
     for k in range(0, len(texts), 400):
         if k == 2000:
-            enc.prune(10)
+            enc.rest(10)
         want = [e.ids for e in enc.tokenizer.encode_batch(texts[k : k + 400], add_special_tokens=False)]
-        assert [x.tolist() for x in enc.encode(texts[k : k + 400])] == want
+        ids, counts = enc.encode(pa.array([*texts[k : k + 400], None]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [*want, []]
 
 
 def test_token_store(spark, sf, tmp_path):
@@ -255,6 +257,9 @@ def test_token_store(spark, sf, tmp_path):
         next(token_store.read_shard(shard.content, b"other"))
     empty = token_store.tokenize(_docs(spark, []), tokenizer=path)
     assert empty.collect() == []
+    token_store.write_store(_docs(spark, EDGES[:3]), f"{tmp_path}/small", tokenizer=path, end_id=2)
+    assert len(spark.read.parquet(f"{tmp_path}/small/dictionary").first().content) >= 8
+    assert sorted(r.n_tokens for r in token_store.read_store(spark, f"{tmp_path}/small").collect()) == sorted(len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, _, _ in EDGES[:3])
 
 
 # --- licenses ----------------------------------------------------------------------------------------
