@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.llm.quality_net import held_out
-from strataloom.llm.session import spread
+from strataloom.llm.session import spread, tidy
 
 SIZE = 512
 LETTERS = 64
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
     total: dict[str, np.ndarray] = {}
-    for r in sorted(rows.mapInArrow(run, "lang string, v array<double>").collect(), key=str):
+    for r in sorted(rows.mapInArrow(tidy(run), "lang string, v array<double>").collect(), key=str):
         total[r.lang] = total.get(r.lang, 0) + np.array(r.v)
     return Profiles(total)
 
@@ -171,4 +171,4 @@ def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text
 
     source = spread(docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")))
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(run), out).withColumnRenamed("id", id_col)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.llm.license_texts import TEMPLATES
-from strataloom.llm.session import spread
+from strataloom.llm.session import spread, tidy
 from strataloom.llm.textkernel import slices, text_bytes, word_hashes, word_spans
 
 LEAST_COVERAGE = 0.8
@@ -184,4 +184,4 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
 
     fields = [T.StringType(), T.StringType(), T.DoubleType(), *[T.LongType()] * 4]
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, t) for n, t in zip(names, fields, strict=True))])
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(tidy(run), out).withColumnRenamed("id", id_col)

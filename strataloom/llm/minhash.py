@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.llm.components import connected_components
-from strataloom.llm.session import materialize, small_enough, spread
+from strataloom.llm.session import HELD, materialize, small_enough, spread, tidy
 from strataloom.llm.textkernel import mix, shingle_sets, slices, text_bytes, word_hashes, word_spans
 
 PLACES = 1 << 22
@@ -51,6 +51,7 @@ BLOCK_SHINGLES = 400_000
 BLOCK_TEXTS = 1024
 
 _PI: dict[int, np.ndarray] = {}
+HELD.append(_PI)
 
 
 def band_count(threshold: float, rows: int = ROWS_PER_BAND, miss: float = MISS_CHANCE) -> int:
@@ -208,7 +209,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     id_type = docs.schema[id_col].dataType
     described = T.StructType([T.StructField("id", id_type), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = materialize(spread(source).mapInArrow(_describe(shingle, band_count(num / den)), described), "minhash")
+    rows = materialize(spread(source).mapInArrow(tidy(_describe(shingle, band_count(num / den))), described), "minhash")
 
     full = rows.filter("digest is not null")
     classes = materialize(full.groupBy("digest").agg(F.min("id").alias("low_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "classes")
@@ -225,9 +226,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     wanted = member.select("low_id").distinct()
     texts = source.join(small_enough(wanted, n_members, BROADCAST_ROWS), source["id"].eqNullSafe(wanted["low_id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_wanted_sets(shingle), "digest binary, shingles binary").dropDuplicates(["digest"])
+    sets = texts.mapInArrow(tidy(_wanted_sets(shingle)), "digest binary, shingles binary").dropDuplicates(["digest"])
     work = units.join(sets, "digest").select("unit", "digest", "shingles").repartition("unit").sortWithinPartitions("unit")
-    settled = materialize(work.mapInArrow(_settle(num, den), "unit string, digest binary, root binary"), "settled")
+    settled = materialize(work.mapInArrow(tidy(_settle(num, den)), "unit string, digest binary, root binary"), "settled")
 
     # A group of one unit is final; the units of a cut group are joined by their forests.
     whole = settled.filter(F.col("unit").endswith("/0/0"))

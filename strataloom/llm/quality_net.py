@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm.session import spread
+from strataloom.llm.session import spread, tidy
 from strataloom.llm.textkernel import text_bytes
 
 SAMPLE = 3000
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 out.append(raw)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["id", "raw", "label"])
 
-    got = rows.select("id", "text", F.col("_label").cast("int").alias("label")).mapInArrow(trim, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("raw", T.BinaryType()), T.StructField("label", T.IntegerType())])).collect()
+    got = rows.select("id", "text", F.col("_label").cast("int").alias("label")).mapInArrow(tidy(trim), T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("raw", T.BinaryType()), T.StructField("label", T.IntegerType())])).collect()
     got.sort(key=lambda r: (str(r.id), bytes(r.raw)))
     return train([bytes(r.raw) for r in got], np.array([r.label for r in got], np.float32))
 
@@ -228,5 +228,5 @@ def _score(net: Network):
 def score(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, held_out, score, predicted) for each row."""
     source = spread(docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")))
-    out = source.mapInArrow(_score(net), T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())]))
+    out = source.mapInArrow(tidy(_score(net)), T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())]))
     return out.select(F.col("id").alias(id_col), "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

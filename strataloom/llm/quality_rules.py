@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm.session import materialize, spread
+from strataloom.llm.session import materialize, spread, tidy
 from strataloom.llm.textkernel import _BYTE_CODE, _MULT, _SPACE, _powers, mix, slices, text_bytes, word_hashes, word_spans
 
 WINDOW = 8
@@ -210,7 +210,7 @@ def _count_references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def language_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> References:
     """Counts over all documents; what reaches the driver is at most 1 / COMMON_SHARE words for each label of LEAST_WORDS words."""
     source = spread(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang != ''"))
-    counts = source.mapInArrow(_count_references, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    counts = source.mapInArrow(tidy(_count_references), "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "references")
     by_lang = counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST_WORDS)
     large = {r.lang: r.total for r in by_lang.collect()}
@@ -253,7 +253,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     fields = [T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in names), *(T.StructField(x, T.DoubleType()) for x in ("char_js", "word_js")), *(T.StructField(x, T.BooleanType()) for x in ("base_failed", "kept"))]
     source = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")))
-    return source.mapInArrow(_judge(references), T.StructType(fields)).withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(_judge(references)), T.StructType(fields)).withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -269,4 +269,4 @@ def accepted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang")
             if kept:
                 yield batch.filter(pa.concat_arrays(kept))
 
-    return spread(docs).mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(tidy(run), docs.schema)

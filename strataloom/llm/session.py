@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,22 +48,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 1000
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out anew where the input has fewer splits than the cluster has cores (a single small file).
 
-    Rows here are whole texts, so the default of 10,000 rows an Arrow batch is
-    lowered: batches take memory in the executor and in its Python worker.
+    Rows here are whole texts or blocks of texts, so the session's bounds of an
+    Arrow batch (10,000 rows, 64 MB) are lowered, never raised: a batch takes
+    memory in the executor and in its Python worker. The setting stays, since
+    the plan that this prepares runs later.
     """
-    if int(df.sparkSession.conf.get(BATCH_KEY)) > BATCH_ROWS:
-        df.sparkSession.conf.set(BATCH_KEY, BATCH_ROWS)
+    for key, most in (BATCH_ROWS, BATCH_BYTES):
+        set_to = df.sparkSession.conf.get(key, None)
+        if set_to is None or not str(set_to).isdigit() or not 0 < int(set_to) <= most:
+            df.sparkSession.conf.set(key, most)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Tables that a module of this package keeps in a worker while a task runs.
+HELD: list[dict] = []
+
+
+def tidy(run: Callable) -> Callable:
+    """A mapInArrow function that lets go of memory when its task ends: idle workers live on beside the next stage's."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for table in HELD:
+                table.clear()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def row_total(df: DataFrame) -> int:
     return df.count()
 

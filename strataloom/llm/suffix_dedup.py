@@ -3,40 +3,42 @@ r"""Exact removal of repeated byte strings by suffix arrays.
 A byte goes if a string of `length` bytes that covers it also starts in a
 document with a smaller id. Strings are judged on the input.
 
+Blocks. Texts are first written as blocks of a few megabytes, bucketed by block
+number, so that what later stages find for a block joins it without moving the
+texts, and rows are known by block and place: no ids or hashes tell them apart.
+
 Sharding. Equal strings must meet in one shard. Every window of `length` bytes
 takes its 12-byte gram with the least hash (the leftmost of equals) as its
-anchor; consecutive windows with one anchor are one fragment, and the anchor's
-bytes decide the shard. Fragments travel packed (compressed) by stretches of
-input: equal fragments of a stretch travel once with the list of their places,
-so a passage that very many documents share stays small. Two equal windows
-agree on half of the bytes around the anchor on its left or on its right. So
-hashes of these half contexts go around first, and only fragments that share
-one with another document send their bytes: the shuffles stay small.
-
-Sorting. The distinct fragments that are left are one text, sorted by induced
-sorting: suffix types, ordering of the leftmost S suffixes by naming and
-recursive pair renaming, then L suffixes from left to right and S suffixes
-from right to left. The induction runs on one queue for each first byte, which
-holds suffix tuples in order and goes to an unnamed spill file of the task
-beyond `QUEUE_ITEMS`. Neighbours in the order that agree in `length` bytes form
-groups; the least document of a group decides for all its places.
-
-Differences from the textbook form: the recursion renames pairs of names (it
-can stop once `length` bytes are ordered) in place of inducing again, and
-common prefixes, of which only "at least `length`" matters, are compared along
-the finished order in place of being carried in the queues. A shard's own text
-is held in memory.
+anchor; consecutive windows with one anchor are one fragment, and the anchor
+decides the shard. Two equal windows agree on half of the bytes around the
+anchor on its left or on its right. So hashes of these half contexts go around
+first (equal hashes of different contexts only cost time), and only fragments
+that share one with another document send their bytes. Equal fragments of a
+block travel once with the list of their places, so a passage that very many
+documents share stays small.
+
+Sorting. A shard's distinct fragments are one text on disk, whose suffixes come
+in order with their common prefixes by external induced sorting
+(external_sort.py); neighbours that agree in `length` bytes form groups, and the
+least document of a group decides for all its places. Memory is bounded by the
+limits below, not by the shard: fragments are made distinct in batches of
+`BATCH_BYTES`, and what is known of each place of the text lies on disk.
+
+The number of shards is at least `LEAST_SHARDS` and grows with the input beyond
+`LEAST_SHARDS * SHARD_TEXT` bytes; blocks grow with the number of shards, so the
+rows between the stages (blocks times shards) stay in proportion to the input.
 
 Cases: null texts are empty; texts shorter than `length` keep everything;
 repeated rows of one id never remove each other (no id is smaller); a null id
-counts as larger than all others; very long texts are cut into fragments like
-any other; an empty table gives an empty result; other columns are ignored.
+counts as the greatest number; very long texts are cut into fragments like any
+other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,178 +47,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm.session import materialize, spread
+from strataloom.llm.external_sort import Scratch, Symbols, descending
+from strataloom.llm.session import fresh_path, materialize, spread, tidy
 from strataloom.llm.textkernel import _BYTE_CODE, _powers, mix, slices, text_bytes
 
 LENGTH = 50
 GRAM = 12
-STRETCH = 2 << 20
-SHARD_BYTES = 8 << 20
-ASK_BYTES = 16 << 20
-MOST_SHARDS = 4096
+LEAST_SHARDS = 24
+SHARD_TEXT = 4 << 30
+#: Bytes of a block: a few kilobytes for each shard, within bounds.
+BLOCK_BYTES, MOST_BLOCK_BYTES, BLOCK_SHARE = 2 << 20, 64 << 20, 8 << 10
+BUCKET_BYTES = 256 << 20
+BATCH_BYTES = 64 << 20
+#: Parts into which contexts are dealt on disk before they are compared in memory.
+CONTEXT_PARTS = 16
 LAST = np.iinfo(np.int64).max
-QUEUE_ITEMS = 4_000_000
-BROADCAST_BYTES = 128 << 20
+#: The byte that ends each fragment of a shard's text; UTF-8 never has it.
+END = 0xFE
 
 
-# --- induced sorting -----------------------------------------------------------------------------
+# --- blocks --------------------------------------------------------------------------------------
 
 
-class SuffixQueue:
-    """Suffix positions in order, appended in bulk and read once; spilled beyond a number of items."""
+def _block(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
 
-    def __init__(self) -> None:
-        self.held: list[np.ndarray] = []
-        self.size = 0
-        self.file = None
-
-    def push(self, items: np.ndarray) -> None:
-        if len(items):
-            self.held.append(items)
-            self.size += len(items)
-            if self.size > QUEUE_ITEMS:
-                self.file = self.file or tempfile.TemporaryFile()  # noqa: SIM115 - unnamed, gone with the task
-                for x in self.held:
-                    self.file.write(x.astype(np.int64).tobytes())
-                self.held, self.size = [], 0
-
-    def pop_all(self) -> np.ndarray:
-        parts = self.held
-        if self.file:
-            self.file.seek(0)
-            parts = [np.frombuffer(self.file.read(), np.int64), *parts]
-            self.file.close()
-            self.file = None
-        self.held, self.size = [], 0
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        def close() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids = table.column(0).combine_chunks()
+            data, offsets = text_bytes(table.column(1))
+            return pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(np.diff(offsets), pa.int32())), pa.array([data.tobytes()], pa.binary())],
+                names=["ids", "sizes", "data"],
+            )
 
+        for batch in batches:
+            _, offsets = text_bytes(batch.column(1))
+            for i, j in slices(offsets, size):
+                if total and total + offsets[j] - offsets[i] > size:
+                    yield close()
+                    held, total = [], 0
+                held.append(batch.slice(i, j - i))
+                total += int(offsets[j] - offsets[i])
+        if held:
+            yield close()
+
+    return run
 
-def _types(t: np.ndarray) -> np.ndarray:
-    """True where a suffix is smaller than its successor (type S); the last one, the end mark, is S."""
-    n = len(t)
-    differs = np.flatnonzero(t[:-1] != t[1:])
-    # a suffix has the type of the last position of its run of equal bytes; the end mark is a run of its own
-    end = np.repeat(differs, np.diff(differs, prepend=-1))
-    out = np.ones(n, bool)
-    out[:-1] = t[end] < t[end + 1]
-    return out
 
+def _blocks(texts: DataFrame, size: int, buckets: int) -> DataFrame:
+    """(block, ids, sizes, data), written in buckets of block."""
+    spark = texts.sparkSession
+    id_type = texts.schema["id"].dataType
+    out = T.StructType([T.StructField("ids", T.ArrayType(id_type)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())])
+    name = f"strataloom_blocks_{uuid.uuid4().hex}"
+    made = spread(texts).mapInArrow(tidy(_block(size)), out).withColumn("block", F.monotonically_increasing_id())
+    made.write.bucketBy(buckets, "block").option("path", fresh_path(spark, "blocks")).option("compression", "zstd").option("parquet.block.size", 8 << 20).saveAsTable(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay, and the plan knows them
+    return blocks
 
-def _order_leftmost(t: np.ndarray, small: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of leftmost S suffixes in suffix order (at least by their first `depth` bytes)."""
-    n = len(lms)
-    if n <= 1:
-        return lms
-    lengths = np.append(lms[1:] - lms[:-1] + 1, 1)
-    most = int(min(lengths.max(), depth + 2))
-    coded = (t.astype(np.uint64) << np.uint64(1)) | small.astype(np.uint64)
-    coded = np.append(coded, np.zeros(most + 8, np.uint64))
-    columns = []
-    for k in range(0, most, 6):
-        key = np.zeros(n, np.uint64)
-        for j in range(k, k + 6):
-            key = (key << np.uint64(10)) | np.where(j < lengths, coded[lms + j], np.uint64(0))
-        columns.append(key)
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(n, bool)
-    for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
-    name = np.empty(n, np.int64)
-    name[order] = np.cumsum(new)
-    reached, step = 2, 1
-    while name.max() + 1 < n and step < n and reached < 2 * depth:
-        pair = np.full(n, -1, np.int64)
-        pair[:-step] = name[step:]
-        key = name * np.int64(n + 1) + pair + 1
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        name = np.empty(n, np.int64)
-        name[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        step *= 2
-        reached *= 2
-    return lms[np.argsort(name, kind="stable")]
-
-
-def _by_value(queues: list[SuffixQueue], positions: np.ndarray, values: np.ndarray) -> None:
-    """Append positions to the queue of their value, keeping their order."""
-    if len(positions):
-        order = np.argsort(values, kind="stable")
-        v = values[order]
-        cuts = np.flatnonzero(v[1:] != v[:-1]) + 1
-        for part in np.split(order, cuts):
-            queues[int(values[part[0]])].push(positions[part])
-
-
-def induced_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffix positions of a byte array, ordered by their first `depth` bytes at least."""
-    t = np.append(text.astype(np.int16) + 1, np.int16(0))
-    small = _types(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    sorted_lms = _order_leftmost(t, small, lms, depth)
-    values = 257
-    seeds = np.split(sorted_lms, np.searchsorted(t[sorted_lms], np.arange(1, values)))
-    queues = [SuffixQueue() for _ in range(values)]
-    larger: list[np.ndarray] = []
-    for c in range(values):
-        found = []
-        items = queues[c].pop_all()
-        while len(items):  # a run of one byte is induced inside its own bucket
-            found.append(items)
-            before = items - 1
-            ok = before >= 0
-            before = before[ok]
-            before = before[~small[before]]
-            _by_value(queues, before[t[before] != c], t[before[t[before] != c]])
-            items = before[t[before] == c]
-        larger.append(np.concatenate(found) if found else np.zeros(0, np.int64))
-        before = seeds[c] - 1
-        before = before[before >= 0]
-        _by_value(queues, before, t[before])
-    queues = [SuffixQueue() for _ in range(values)]
-    out: list[np.ndarray] = []
-    for c in range(values - 1, -1, -1):
-        found = []
-        items = queues[c].pop_all()
-        while len(items):
-            found.append(items)
-            before = items - 1
-            before = before[before >= 0]
-            before = before[small[before]]
-            _by_value(queues, before[t[before] != c], t[before[t[before] != c]])
-            items = before[t[before] == c]
-        up = np.concatenate(found)[::-1] if found else np.zeros(0, np.int64)
-        if c == 0:
-            up = np.array([len(t) - 1])
-        before = larger[c][::-1] - 1
-        before = before[before >= 0]
-        before = before[small[before]]
-        _by_value(queues, before, t[before])
-        out.append(np.concatenate([larger[c], up]))
-    return np.concatenate(out[::-1])[1:]  # without the end mark
-
-
-def group_windows(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Group number of each window start: equal numbers for equal strings of `length` bytes."""
-    order = induced_order(text, length)
-    wanted = np.zeros(len(text), bool)
-    wanted[starts] = True
-    order = order[wanted[order]]
-    same = np.zeros(len(order), bool)
-    padded = np.append(text, np.zeros(8, np.uint8)).astype(np.uint64)
-    words = padded[: len(text)].copy()  # the eight bytes from each position on
-    for k in range(1, 8):
-        words |= padded[k : k + len(text)] << np.uint64(8 * k)
-    steps = [*range(0, length - 7, 8), length - 8] if length >= 8 else range(length)
-    look = words if length >= 8 else text
-    for i in range(0, len(order) - 1, 1 << 18):
-        a, b = order[i : i + (1 << 18)][: len(order) - 1 - i], order[i + 1 : i + 1 + (1 << 18)]
-        alike = np.ones(len(b), bool)
-        for k in steps:
-            alike &= look[a + k] == look[b + k]
-        same[i + 1 : i + 1 + len(b)] = alike
-    group = np.empty(len(text), np.int64)
-    group[order] = np.cumsum(~same) - 1
-    return group[starts]
+
+def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(batch, row, block, ids as numbers, bytes, offsets) of each block; columns block, ids, sizes, data."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids = batch.column(1)[k].values.fill_null(int(LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = batch.column(2)[k].values.to_numpy(zero_copy_only=False)
+            data = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint8)
+            yield batch, k, batch.column(0)[k].as_py(), ids, data, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
 # --- fragments -----------------------------------------------------------------------------------
@@ -228,7 +128,7 @@ def _gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(anchor hash, text hash, left context, right context, row, start in row, bytes) of all fragments of a buffer of texts.
+    """(anchor hash, left context, right context, row, place in the buffer, bytes) of all fragments of a buffer of texts.
 
     A context is a hash of the anchor and the bytes on one side that one of two
     equal windows' halves must hold; 0 where the fragment is too short for it.
@@ -238,7 +138,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
     total = int(windows.sum())
     if not total:
         none = np.zeros(0, np.uint64)
-        return (none, none, none, none, *(none.astype(np.int64),) * 3)
+        return (none, none, none, *(none.astype(np.int64),) * 3)
     up, down = _powers(len(data) + 1)
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_CODE[data] * up[:-1], out=run[1:])
@@ -258,7 +158,6 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
     at = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
     bytes_ = np.diff(np.append(at, total)) + length - 1
     place, anchor, row = window[at], anchor[at], row[at]
-    text = mix((run[place + bytes_] - run[place]) * down[place] + bytes_.astype(np.uint64))
     half = (length - GRAM + 1) // 2
 
     def context(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -266,7 +165,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
         a, b = np.where(fits, a, 0), np.where(fits, b, 0)
         return np.where(fits, mix((run[b] - run[a]) * down[a] + np.uint64(salt)) | np.uint64(1 << 32), np.uint64(0))
 
-    return gram[anchor], text, context(anchor - half, anchor + GRAM, 3), context(anchor, anchor + GRAM + half, 5), row, place - offsets[row], bytes_
+    return gram[anchor], context(anchor - half, anchor + GRAM, 3), context(anchor, anchor + GRAM + half, 5), row, place, bytes_
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
@@ -297,115 +196,127 @@ def _whole(x: np.ndarray) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint32).astype(np.int64)
 
 
-class _Stretch:
-    """The fragments of some rows, dealt to shards, equal ones numbered once in order of appearance."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, shards: int, length: int, wanted: list[np.ndarray] | None = None):
-        key, text, self.left, self.right, self.row, self.start, self.size = fragments(data, offsets, length)
-        first = np.searchsorted(self.row, np.arange(len(offsets)))
-        self.ordinal = np.arange(len(key)) - first[self.row]
-        if wanted is not None:
-            keep = np.concatenate([first[i] + w for i, w in enumerate(wanted)]) if wanted else np.zeros(0, np.int64)
-            key, text = key[keep], text[keep]
-            self.row, self.start, self.size, self.ordinal = self.row[keep], self.start[keep], self.size[keep], self.ordinal[keep]
-        self.shard = (key % np.uint64(shards)).astype(np.int64)
-        self.place = offsets[self.row] + self.start
-        self.order = np.argsort(self.shard, kind="stable")
-        self.cuts = np.searchsorted(self.shard[self.order], np.arange(shards + 1))
-        self.text = text
-
-    def parts(self):
-        """(shard, places, distinct fragments among them, number of each place's fragment, rows, number of each place's row)."""
-        for s in np.flatnonzero(np.diff(self.cuts)).tolist():
-            p = self.order[self.cuts[s] : self.cuts[s + 1]]
-            _, one, number = np.unique(self.text[p], return_index=True, return_inverse=True)
-            seen = np.argsort(one)
-            again = np.empty(len(seen), np.int64)
-            again[seen] = np.arange(len(seen))
-            rows, at = np.unique(self.row[p], return_inverse=True)
-            yield s, p, p[one[seen]], again[number], rows, at
-
-
-def _stretches(batches: Iterator[pa.RecordBatch]):
-    """(batch, first row, last row, bytes, offsets, ids, marks)."""
-    for batch in batches:
-        ids = batch.column(0).fill_null(int(LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
-        marks = (batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF).astype("<u4")
-        data, offsets = text_bytes(batch.column(2))
-        for i, j in slices(offsets, STRETCH):
-            yield batch, i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ids[i:j], marks[i:j]
+def _by_shard(key: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, its fragments in order) of the shards that have any."""
+    shard = (key % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        yield k, order[cuts[k] : cuts[k + 1]]
+
+
+def _distinct(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each distinct string in order of appearance, number of each string) of strings that lie side by side."""
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)])), pa.py_buffer(data)])
+    number = column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.full(int(number.max()) + 1, len(number))
+    np.minimum.at(first, number, np.arange(len(number)))
+    return first, number
 
 
-#: Left and right contexts of distinct fragments; fragment, row and ordinal of places (as differences); ids and marks of rows.
-_ASK = ("<u4", "<u4", "<u4", "<u4", "<u4", "<i8", "<u4")
-#: Lengths of distinct fragments; fragment, row and start of places (as differences); ids and marks of rows; fragment bytes.
-_SEND = ("<u2", "<u4", "<u4", "<u4", "<i8", "<u4", "u1")
+#: Left and right contexts, least and greatest id of distinct context pairs; pair and ordinal of places (as differences).
+_ASK = ("<u4", "<u4", "<i8", "<i8", "<u4", "<u4")
+#: Lengths of distinct fragments; fragment, place and row of places (as differences); ids of rows; fragment bytes.
+_SEND = ("<u1", "<u4", "<u4", "<u4", "<i8", "u1")
 
 
-def _batch_of(names: list[int], payloads: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(payloads, pa.binary())], names=["shard", "payload"])
+def _batch_of(blocks: list[int], names: list[int], payloads: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(names, pa.int32()), pa.array(payloads, pa.binary())], names=["block", "shard", "payload"])
 
 
 def _ask(shards: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, data, offsets, ids, marks in _stretches(batches):
-            x = _Stretch(data, offsets, shards, length)
+        for _, _, block, ids, data, offsets in _read_blocks(batches):
+            key, left, right, row, _, _ = fragments(data, offsets, length)
+            pair = (left >> np.uint64(32) << np.uint64(32)) | (right >> np.uint64(32))
             names, payloads = [], []
-            for s, p, one, number, rows, at in x.parts():
+            for s, p in _by_shard(key, shards):
+                _, one, number = np.unique(pair[p], return_index=True, return_inverse=True)
+                owner = ids[row[p]]
+                low, high = np.full(len(one), LAST), np.full(len(one), -LAST - 1)
+                np.minimum.at(low, number, owner)
+                np.maximum.at(high, number, owner)
                 names.append(s)
-                payloads.append(_pack([*((c[one] >> np.uint64(32)).astype("<u4") for c in (x.left, x.right)), _steps(number), _steps(at), _steps(x.ordinal[p]), ids[rows], marks[rows]]))
-            yield _batch_of(names, payloads)
+                payloads.append(_pack([*((c[p[one]] >> np.uint64(32)).astype("<u4") for c in (left, right)), low, high, _steps(number), _steps(p)]))
+            if names:
+                yield _batch_of([block] * len(names), names, payloads)
 
     return run
 
 
 def _send(shards: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, j, data, offsets, ids, marks in _stretches(batches):
-            wanted = [np.sort(np.concatenate([np.frombuffer(b, "<u4") for b in blobs])).astype(np.int64) for blobs in batch.column(3).slice(i, j - i).to_pylist()]
-            x = _Stretch(data, offsets, shards, length, wanted)
+        for batch, k, block, ids, data, offsets in _read_blocks(batches):
+            wanted = np.sort(np.concatenate([_whole(_unpack(b, ("<u4",))[0]) for b in batch.column(4)[k].as_py()]))
+            key, _, _, row, place, size = (x[wanted] for x in fragments(data, offsets, length))
             names, payloads = [], []
-            for s, p, one, number, rows, at in x.parts():
+            for s, p in _by_shard(key, shards):
+                first, number = _distinct(_gather(data, place[p], size[p]), size[p])
+                one = p[first]
+                rows, at = np.unique(row[p], return_inverse=True)
                 names.append(s)
-                payloads.append(_pack([x.size[one].astype("<u2"), _steps(number), _steps(at), _steps(x.start[p]), ids[rows], marks[rows], _gather(data, x.place[one], x.size[one])]))
-            yield _batch_of(names, payloads)
+                payloads.append(_pack([size[one].astype("<u1"), _steps(number), _steps(place[p]), _steps(at), ids[rows], _gather(data, place[one], size[one])]))
+            if names:
+                yield _batch_of([block] * len(names), names, payloads)
 
     return run
 
 
-def _by_row(ids: np.ndarray, marks: np.ndarray, values: np.ndarray, kind: str) -> pa.RecordBatch:
-    """One (key, mark, values) row for each row of the input; values are serialized."""
-    order = np.lexsort((marks, ids))
-    ids, marks, values = ids[order], marks[order], values[order].astype(kind)
-    new = np.flatnonzero((ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])) + 1 if len(ids) else np.zeros(0, np.int64)
-    heads = np.concatenate([[0], new]).astype(np.int64) if len(ids) else new
-    blobs = [v.tobytes() for v in np.split(values, new)] if len(ids) else []
-    return pa.RecordBatch.from_arrays([pa.array(ids[heads]), pa.array(marks[heads].astype(np.int64)), pa.array(blobs, pa.binary())], names=["key", "mark", "values"])
-
-
-def shared_fragments(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(id, mark, ordinal) of all fragments of a shard that share a context with another document."""
-    parts = [_unpack(p, _ASK) for p in payloads]
-    sizes = np.array([len(p[0]) for p in parts])
-    base = np.cumsum(sizes) - sizes
-    frag = np.concatenate([_whole(p[2]) + b for p, b in zip(parts, base, strict=True)])
-    ids = np.concatenate([p[5][_whole(p[3])] for p in parts])
-    n = int(sizes.sum())
-    order = np.argsort(frag, kind="stable")
-    heads = np.searchsorted(frag[order], np.arange(n))
-    low, high = np.minimum.reduceat(ids[order], heads), np.maximum.reduceat(ids[order], heads)
-    shared = np.zeros(n, bool)
-    for side in (0, 1):
-        context = np.concatenate([p[side] for p in parts])
-        by = np.argsort(context)
-        k = context[by]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        several = (np.minimum.reduceat(low[by], first) < np.maximum.reduceat(high[by], first)) & (k[first] != 0)
-        shared[by] |= np.repeat(several, np.diff(np.append(first, n)))
-    keep = shared[frag]
-    marks = np.concatenate([p[6][_whole(p[3])] for p in parts])
-    ordinal = np.concatenate([_whole(p[4]) for p in parts])
-    return ids[keep], marks[keep], ordinal[keep]
+class SharedContexts:
+    """The fragments of one shard that share a context with another document; contexts are compared part by part from disk."""
+
+    def __init__(self) -> None:
+        self.parts = [[Scratch("<u8", 4) for _ in range(CONTEXT_PARTS)] for _ in range(2)]
+        self.n = 0
+
+    def add(self, payload: bytes) -> np.ndarray:
+        left, right, low, high, number, _ = _unpack(payload, _ASK)
+        entry = self.n + np.arange(len(left))
+        self.n += len(left)
+        for side, context in enumerate((left, right)):
+            rows = np.stack([context.astype(np.uint64), entry.astype(np.uint64), low.view(np.uint64), high.view(np.uint64)], axis=1)[context != 0]
+            part = rows[:, 0] % np.uint64(CONTEXT_PARTS)
+            order = np.argsort(part, kind="stable")
+            for k, x in enumerate(np.split(rows[order], np.searchsorted(part[order], np.arange(1, CONTEXT_PARTS)))):
+                self.parts[side][k].append(x)
+        return entry
+
+    def shared(self) -> np.ndarray:
+        """A flag for each entry, on disk."""
+        out = np.memmap(tempfile.TemporaryFile(), np.bool_, "w+", shape=(self.n,))
+        for side in self.parts:
+            for store in side:
+                rows = store.read(0, store.n)
+                store.close()
+                if len(rows):
+                    rows = rows[np.argsort(rows[:, 0])]
+                    first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+                    several = np.minimum.reduceat(rows[:, 2].view(np.int64), first) < np.maximum.reduceat(rows[:, 3].view(np.int64), first)
+                    out[rows[np.repeat(several, np.diff(np.append(first, len(rows)))), 1].astype(np.int64)] = True
+        return out
+
+
+def _answer(payloads: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """For each block the ordinals of its fragments that are shared."""
+    contexts, kept = SharedContexts(), []
+    for block, payload in payloads:
+        start = contexts.n
+        contexts.add(payload)
+        number, ordinal = _unpack(payload, _ASK)[4:]
+        places = Scratch("<u4")
+        places.append(number)
+        places.append(ordinal)
+        kept.append((block, start, places))
+    if not contexts.n:
+        return
+    flags = contexts.shared()
+    for block, start, places in kept:
+        n = places.n // 2
+        keep = flags[start + _whole(places.read(0, n))]
+        places_ = _whole(places.read(n, 2 * n))[keep]
+        places.close()
+        if len(places_):
+            yield block, _pack([_steps(places_)])
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -413,131 +324,224 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def judge_shard(payloads: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(id, mark, start, bytes) of all stretches to remove that one shard finds."""
-    parts = [_unpack(p, _SEND) for p in payloads]
-    counts = np.array([len(p[0]) for p in parts])
-    base = np.cumsum(counts) - counts
-    size = np.concatenate([p[0] for p in parts]).astype(np.int64)
-    frag = np.concatenate([_whole(p[1]) + b for p, b in zip(parts, base, strict=True)])
-    ids = np.concatenate([p[4][_whole(p[2])] for p in parts])
-    marks = np.concatenate([p[5][_whole(p[2])] for p in parts])
-    start = np.concatenate([_whole(p[3]) for p in parts])
-    n = len(size)
-    order = np.argsort(frag, kind="stable")
-    low = np.minimum.reduceat(ids[order], np.searchsorted(frag[order], np.arange(n)))
-    texts = [p[6] for p in parts]
-    parts.clear()
-    buffer = np.concatenate(texts)
-    at = np.cumsum(size) - size
-    up, down = _powers(len(buffer) + 1)
-    run = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[buffer] * up[:-1], out=run[1:])
-    name = mix((run[at + size] - run[at]) * down[at] + size.astype(np.uint64))
-    _, one, number = np.unique(name, return_index=True, return_inverse=True)
-    least = np.full(len(one), LAST)
-    np.minimum.at(least, number, low)
-    # distinct fragments, each followed by a byte that UTF-8 never has
-    usize = size[one]
-    text = np.full(int((usize + 1).sum()), 0xFF, np.uint8)
-    to = np.cumsum(usize + 1) - (usize + 1)
-    text[np.repeat(to - (np.cumsum(usize) - usize), usize) + np.arange(usize.sum())] = _gather(buffer, at[one], usize)
-    windows = usize - length + 1
-    wfirst = np.cumsum(windows) - windows
-    wstart = np.repeat(to - wfirst, windows) + np.arange(windows.sum())
-    group = group_windows(text, wstart, length)
-    owner = np.repeat(least, windows)
-    best = np.full(int(group.max()) + 1, LAST)
-    np.minimum.at(best, group, owner)
-    smallest = best[group]
-    wlow, whigh = np.minimum.reduceat(smallest, wfirst), np.maximum.reduceat(smallest, wfirst)
-    u = number[frag]
-    here = np.flatnonzero(ids > wlow[u])
-    u, ids, marks, start = u[here], ids[here], marks[here].astype(np.int64), start[here]
-    all_of_it = ids > whigh[u]
-    out = [(ids[all_of_it], marks[all_of_it], start[all_of_it], usize[u[all_of_it]])]
-    for i in np.flatnonzero(~all_of_it).tolist():
-        a, b = _runs(smallest[wfirst[u[i]] : wfirst[u[i]] + windows[u[i]]] < ids[i])
-        m = len(a)
-        out.append((np.full(m, ids[i]), np.full(m, marks[i]), start[i] + a, b - a + length - 1))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def _by_shard(solve):
-    """Apply solve(payloads) to each shard of an input sorted by shard."""
+class Shard:
+    """The fragments of one shard, in batches on disk, and what the suffix order says of them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
-        for batch in batches:
-            for s, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if s != shard and held:
-                    yield solve(held)
-                    held = []
-                shard = s
-                held.append(payload)
-        if held:
-            yield solve(held)
+    def __init__(self, length: int = LENGTH, items: int | None = None):
+        self.length, self.items = length, items
+        self.text = Symbols(names=False)
+        self.held: list[tuple[int, list[np.ndarray]]] = []
+        self.size = 0
+        #: For each batch: first distinct fragment, their lengths and least ids, and the places of each block.
+        self.batches: list[tuple[int, np.ndarray, np.ndarray, list[tuple[int, Scratch, int, int]]]] = []
+        self.starts, self.lows = Scratch("<i8"), Scratch("<i8")
+
+    def add(self, block: int, payload: bytes) -> None:
+        self.held.append((block, _unpack(payload, _SEND)))
+        self.size += len(self.held[-1][1][5])
+        if self.size > BATCH_BYTES:
+            self.close()
+
+    def close(self) -> None:
+        """Make the fragments that are held distinct and write them to the text."""
+        if not self.held:
+            return
+        sizes = np.concatenate([x[0] for _, x in self.held]).astype(np.int64)
+        data = np.concatenate([x[5] for _, x in self.held])
+        first, number = _distinct(data, sizes)
+        low = np.full(len(first), LAST)
+        base, stores = 0, []
+        for block, (n, frag, place, at, ids, _) in self.held:
+            frag = number[base + _whole(frag)]
+            base += len(n)
+            owner = ids[_whole(at)]
+            np.minimum.at(low, frag, owner)
+            store = Scratch("<i8", 3)
+            store.append(np.stack([frag, _whole(place), owner], axis=1))
+            stores.append((block, store))
+        sizes_, where = sizes[first], (np.cumsum(sizes) - sizes)[first]
+        out = np.full(int((sizes_ + 1).sum()), END + 1, np.uint8)
+        to = np.cumsum(sizes_ + 1) - (sizes_ + 1)
+        out[np.repeat(to - (np.cumsum(sizes_) - sizes_), sizes_) + np.arange(sizes_.sum())] = _gather(data, where, sizes_) + np.uint8(1)
+        self.starts.append(self.text.n + to)
+        self.lows.append(low)
+        self.batches.append((self.text.n, sizes_, low, stores))
+        self.text.append(out)
+        self.held, self.size = [], 0
 
-    return run
+    def winners(self) -> np.ndarray:
+        """For each place of the text the number of the fragment with the least id whose window is equal, plus 1; 0 where that is its own. On disk."""
+        starts, lows = self.starts.view(), self.lows.view()
+        out = np.memmap(tempfile.TemporaryFile(), "<u4", "w+", shape=(self.text.n,))
+        ends = np.append(starts[1:], self.text.n)
+        held: list[np.ndarray] = []
+        prefix_left = 255
+
+        def settle(place: np.ndarray, new: np.ndarray) -> None:
+            """Groups that begin where `new`; all of them are whole."""
+            group = np.cumsum(new) - 1
+            many = np.bincount(group)[group] > 1
+            place, group = place[many], group[many]
+            if len(place):
+                frag = np.searchsorted(starts, place, "right") - 1
+                low = np.asarray(lows[frag])
+                by = np.lexsort((low, group))
+                head = by[np.flatnonzero(np.concatenate([[True], group[by][1:] != group[by][:-1]]))]
+                best = head[np.searchsorted(group[head], group)]
+                other = low[best] < low
+                out[place[other]] = frag[best[other]] + 1
+
+        for rows, prefix in descending(self.text.finish(), self.length, items=self.items):
+            place = rows[:, 1].astype(np.int64)
+            frag = np.searchsorted(starts, place, "right") - 1
+            window = np.flatnonzero(ends[frag] - 1 - place >= self.length)
+            if not len(window):
+                prefix_left = min(prefix_left, int(prefix.min()))
+                continue
+            heads = np.concatenate([[0], window[:-1] + 1])
+            low = np.minimum.reduceat(prefix[: window[-1] + 1], heads)
+            low[0] = min(low[0], prefix_left)
+            prefix_left = int(prefix[window[-1] + 1 :].min()) if window[-1] + 1 < len(prefix) else 255
+            place, new = place[window], low < self.length
+            last = np.flatnonzero(new)
+            if len(last):  # the groups up to the last beginning are whole
+                k = int(last[-1])
+                settle(np.concatenate([*held, place[:k]]), np.concatenate([np.arange(sum(map(len, held))) == 0, new[:k]]) if held else np.append(True, new[1:k])[:k])
+                held = [place[k:]]
+            else:
+                held.append(place)
+        if held:
+            whole = np.concatenate(held)
+            settle(whole, np.arange(len(whole)) == 0)
+        return out
+
+    def removals(self) -> Iterator[tuple[int, bytes]]:
+        """(block, packed places and lengths) of all stretches to remove that this shard finds."""
+        self.close()
+        if not self.text.n:
+            return
+        winner, lows = self.winners(), self.lows.view()
+        for base, sizes, low, stores in self.batches:
+            to = np.cumsum(sizes + 1) - (sizes + 1)
+            windows = sizes - self.length + 1
+            first = np.cumsum(windows) - windows
+            best = np.asarray(winner[base : base + int((sizes + 1).sum())])[np.repeat(to - first, windows) + np.arange(windows.sum())].astype(np.int64)
+            smallest = np.repeat(low, windows)
+            better = np.flatnonzero(best)
+            smallest[better] = lows[best[better] - 1]
+            least, most = np.minimum.reduceat(smallest, first), np.maximum.reduceat(smallest, first)
+            for block, store in stores:
+                frag, place, owner = store.read(0, store.n).T
+                store.close()
+                here = owner > least[frag]
+                frag, place, owner = frag[here], place[here], owner[here]
+                whole = owner > most[frag]
+                starts, lengths = [place[whole]], [sizes[frag[whole]]]
+                some = np.flatnonzero(~whole)
+                if len(some):
+                    n = windows[frag[some]]
+                    at = np.repeat(first[frag[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    gone = smallest[at] < np.repeat(owner[some], n)
+                    # a gap after each fragment keeps its runs apart
+                    spaced = np.zeros(len(gone) + len(some), bool)
+                    spot = np.arange(len(gone)) + np.repeat(np.arange(len(some)), n)
+                    spaced[spot] = gone
+                    a, b = _runs(spaced)
+                    which = np.searchsorted(np.cumsum(n + 1), a, "right")
+                    starts.append(place[some][which] + a - (np.cumsum(n + 1) - (n + 1))[which])
+                    lengths.append(b - a + self.length - 1)
+                starts, lengths = np.concatenate(starts), np.concatenate(lengths)
+                if len(starts):
+                    order = np.argsort(starts, kind="stable")
+                    yield block, _pack([_steps(starts[order]), lengths[order].astype("<u4")])
+
+
+def _per_shard(solve):
+    """Apply solve to the (block, payload) rows of each shard of an input that is sorted by shard, as they come."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((s, b, p.as_py()) for batch in batches for b, s, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True))
+        ahead = next(rows, None)
+        while ahead is not None:
+            shard = ahead[0]
+
+            def own() -> Iterator[tuple[int, bytes]]:
+                nonlocal ahead
+                while ahead is not None and ahead[0] == shard:  # noqa: B023 - used up before the shard changes
+                    yield ahead[1], ahead[2]
+                    ahead = next(rows, None)
+
+            mine = own()
+            for block, payload in solve(mine):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
+            for _ in mine:
+                pass
 
-def _answer(payloads: list[bytes]) -> pa.RecordBatch:
-    ids, marks, ordinal = shared_fragments(payloads)
-    return _by_row(ids, marks, ordinal, "<u4")
+    return run
 
 
 def _judge(length: int):
-    def solve(payloads: list[bytes]) -> pa.RecordBatch:
-        ids, marks, start, size = judge_shard(payloads, length)
-        return _by_row(ids, marks, np.stack([start, size], axis=1), "<u4")
+    def solve(payloads: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        shard = Shard(length)
+        for block, payload in payloads:
+            shard.add(block, payload)
+        yield from shard.removals()
 
     return solve
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_removed, n_spans, sizes, kept = [], [], [], []
-        for text, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            raw = (text or "").encode()
-            gone = np.zeros(len(raw) + 1, np.int64)
-            for blob in blobs or ():
-                spans = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64)
-                np.add.at(gone, spans[:, 0], 1)
-                np.add.at(gone, spans[:, 0] + spans[:, 1], -1)
+def _cut(id_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, k, _, _, data, offsets in _read_blocks(batches):
+            gone = np.zeros(len(data) + 1, np.int32)
+            for blob in batch.column(4)[k].as_py() or ():
+                start, size = _unpack(blob, ("<u4", "<u4"))
+                start = _whole(start)
+                np.add.at(gone, start, 1)
+                np.add.at(gone, start + size, -1)
             drop = np.cumsum(gone[:-1]) > 0
-            sizes.append(len(raw))
-            n_removed.append(int(drop.sum()))
-            n_spans.append(len(_runs(drop)[0]) if len(raw) else 0)
-            kept.append(np.frombuffer(raw, np.uint8)[~drop].tobytes() if n_removed[-1] else raw)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, n_removed, n_spans)), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            sizes = np.diff(offsets)
+            run_ = np.concatenate([[0], np.cumsum(drop)])
+            removed = run_[offsets[1:]] - run_[offsets[:-1]]
+            begins = drop.copy()
+            begins[1:] &= ~drop[:-1]
+            heads = offsets[:-1][sizes > 0]
+            begins[heads] = drop[heads]  # matches never cross documents
+            spans = np.concatenate([[0], np.cumsum(begins)])
+            kept = np.concatenate([[0], np.cumsum(sizes - removed)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1)[k].values.cast(id_type), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans[offsets[1:]] - spans[offsets[:-1]], pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(kept), pa.py_buffer(data[~drop])])],
+                names=["id", "n_bytes", "n_removed", "n_spans", "kept"],
+            )
+
+    return run
 
 
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept bytes) of each row."""
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    rows = "key long, mark long, values binary"
-    packed = "shard int, payload binary"
-    texts = source.select(F.col("id").cast("long").alias("id"), "mark", "text")
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(min(MOST_SHARDS, total // ASK_BYTES + 1))
-    asked = spread(texts).mapInArrow(_ask(shards, length), packed).repartition(shards, "shard").sortWithinPartitions("shard")
-    shared = asked.mapInArrow(_by_shard(_answer), rows).groupBy("key", "mark").agg(F.collect_list("values").alias("wanted"))
-    shared = materialize(shared, "shared")
-    n_rows, octets = shared.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))), F.lit(0))).first()
-    shards = int(min(MOST_SHARDS, octets // 4 * (length + 20) // SHARD_BYTES + 1))
-    side = shared.withColumnRenamed("mark", "_mark")
-    side = F.broadcast(side) if octets + 64 * n_rows <= BROADCAST_BYTES else side
-    some = texts.join(side, (F.coalesce("id", F.lit(int(LAST))) == F.col("key")) & (F.col("mark").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("_mark"))).select("id", "mark", "text", "wanted")
-    sent = spread(some).mapInArrow(_send(shards, length), packed).repartition(shards, "shard").sortWithinPartitions("shard")
-    found = sent.mapInArrow(_by_shard(_judge(length)), rows).withColumnRenamed("values", "spans")
-    spans = materialize(found.groupBy("key", "mark").agg(F.collect_list("spans").alias("spans")), "spans")
-    size = spans.agg(F.sum(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + 16 + F.octet_length(x)))).first()[0] or 0
-    side = spans.withColumnRenamed("mark", "_mark")
-    side = F.broadcast(side) if size <= BROADCAST_BYTES else side
-    keyed = source.withColumn("_key", F.coalesce(F.col("id").cast("long"), F.lit(int(LAST)))).withColumn("_low", F.col("mark").bitwiseAND(F.lit(0xFFFFFFFF)))
-    joined = keyed.join(side, (F.col("_key") == F.col("key")) & (F.col("_low") == F.col("_mark")), "left").select("id", "text", "spans")
-    out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    return joined.mapInArrow(_cut, out).withColumnRenamed("id", id_col)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(LEAST_SHARDS, int(total // SHARD_TEXT) + 1)
+    size = min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, shards * BLOCK_SHARE))
+    blocks = _blocks(texts, size, max(LEAST_SHARDS, int(total // BUCKET_BYTES) + 1))
+    packed, answers = "block long, shard int, payload binary", "block long, payload binary"
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(shards, "shard").sortWithinPartitions("shard", "block")
+
+    def beside(rows: DataFrame, name: str, how: str) -> DataFrame:
+        side = materialize(rows.groupBy(F.col("block").alias("_block")).agg(F.collect_list("payload").alias(name)), name)
+        # the blocks stay where they are: their buckets are the partitions of the join
+        return blocks.join(side.hint("shuffle_hash"), F.col("block") == F.col("_block"), how).select("block", "ids", "sizes", "data", name)
+
+    asked = dealt(blocks.select("block", "ids", "sizes", "data").mapInArrow(tidy(_ask(shards, length)), packed))
+    wanted = beside(asked.mapInArrow(tidy(_per_shard(_answer)), answers), "wanted", "inner")
+    found = dealt(wanted.mapInArrow(tidy(_send(shards, length)), packed)).mapInArrow(tidy(_per_shard(_judge(length))), answers)
+    id_type = docs.schema[id_col].dataType
+    out = T.StructType([T.StructField("id", id_type), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    return beside(found, "spans", "left").mapInArrow(tidy(_cut(to_arrow_type(id_type))), out).withColumnRenamed("id", id_col)
 
 
 def digest(docs: DataFrame, **names) -> DataFrame:

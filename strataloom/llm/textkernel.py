@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from strataloom.llm.session import HELD
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -25,6 +27,7 @@ _MULT = _random_words(16, 7) | np.uint64(1)
 _BASE = int(_random_words(1, 99)[0] | np.uint64(5))
 _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[str, np.ndarray] = {}
+HELD.append(_POWERS)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm.session import fresh_path, materialize, small_enough, spread
+from strataloom.llm.session import fresh_path, materialize, small_enough, spread, tidy
 from strataloom.llm.textkernel import _SPACE, slices, text_bytes
 
 MAGIC = b"TOKSHRD1"
@@ -257,7 +257,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, pieces: int = CACH
                 out.append(raw[at : at + SAMPLE_BYTES])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["raw"])
 
-    samples = [bytes(r.raw) for r in texts.select("text").mapInArrow(run, "raw binary").collect()]
+    samples = [bytes(r.raw) for r in texts.select("text").mapInArrow(tidy(run), "raw binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -363,11 +363,11 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, id_c
     mark = hashlib.sha256(dictionary)
     spark.createDataFrame([(mark.hexdigest(), bytearray(dictionary), width, end_id)], "sha256 string, content binary, bytes_per_id int, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
     frames = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("frame", T.BinaryType())])
-    frames = materialize(source.mapInArrow(_compress(tokenizer, end_id, dictionary, pieces), frames), "frames")
+    frames = materialize(source.mapInArrow(tidy(_compress(tokenizer, end_id, dictionary, pieces)), frames), "frames")
     total = frames.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
     dealt = frames.repartitionByRange(int(total // PART_BYTES) + 1, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "n", "frame")
     shards = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("content", T.BinaryType())])
-    dealt.select(F.spark_partition_id().alias("part"), "id", "n", "frame").mapInArrow(_shards(width, mark.digest(), to_arrow_type(id_type)), shards).write.parquet(f"{path}/shards")
+    dealt.select(F.spark_partition_id().alias("part"), "id", "n", "frame").mapInArrow(tidy(_shards(width, mark.digest(), to_arrow_type(id_type))), shards).write.parquet(f"{path}/shards")
 
 
 def _read_back(dictionary: bytes, id_type: pa.DataType):
@@ -398,7 +398,7 @@ def read_store(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> Dat
     base = sums.join(parts, "part").select("part", "shard", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("base"))
     rows = shards.select("part", "shard", "ids", "content").join(small_enough(base, shards.count(), BROADCAST_ROWS), ["part", "shard"]).select("ids", "content", "base")
     out = T.StructType([T.StructField("id", id_type), *(T.StructField(x, T.LongType()) for x in ("start", "n_tokens", "ids_crc32"))])
-    return rows.mapInArrow(_read_back(dictionary, to_arrow_type(id_type)), out).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(_read_back(dictionary, to_arrow_type(id_type))), out).withColumnRenamed("id", id_col)
 
 
 def tokenize(docs: DataFrame, *, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", pieces: int = CACHED_WORDS) -> DataFrame:
