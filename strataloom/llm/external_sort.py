@@ -9,9 +9,9 @@ L suffixes in descending order.
 
 A tuple carries its suffix's first symbol and order of arrival (the key), its
 place, the symbols before it (so that inducing reads the text only now and
-then), and common-prefix values. A queue is a set of sorted runs, the large
-ones in unnamed files of the task that are read in blocks; between them at most
-`ITEMS` tuples are in memory. Tuples are taken in chunks of whole symbols, and
+then), and common-prefix values. A queue is a set of sorted runs: at most
+`ITEMS` tuples in its own memory, the others in arrays that are read in blocks and
+lie in unnamed files of the task beyond `RESIDENT` bytes. Tuples are taken in chunks of whole symbols, and
 what a chunk's tuples induce inside it is put in its place at once; a symbol
 with more tuples than a chunk is taken in parts.
 
@@ -35,6 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+#: Bytes of arrays that a task keeps in memory before more of them go to files.
+RESIDENT = 160 << 20
 #: Tuples (of 32 bytes) that a queue keeps in memory, tuples taken at once, and runs in files before they are merged.
 ITEMS = 1 << 19
 CHUNK = 1 << 15
@@ -47,33 +49,74 @@ _WORD = np.uint64(0xFFFFFFFF)
 
 
 class Scratch:
-    """An append-only array in an unnamed file of the task."""
+    """An append-only array: in memory while all arrays of the task take less than `RESIDENT` bytes, else in an unnamed file."""
+
+    resident = 0
 
     def __init__(self, kind, width: int = 1):
-        self.file = tempfile.TemporaryFile(buffering=0)  # noqa: SIM115 - unnamed, gone with the task
         self.kind, self.width, self.n = np.dtype(kind), width, 0
         self.item = self.kind.itemsize * width
+        self.file = None
+        self.parts: list[np.ndarray] = []
 
     def append(self, values: np.ndarray) -> None:
-        raw = memoryview(np.ascontiguousarray(values, self.kind)).cast("B") if values.size else b""
+        if not values.size:
+            return
+        values = np.ascontiguousarray(values, self.kind).reshape(-1)
+        self.n += values.size // self.width
+        if self.file is None and Scratch.resident + values.nbytes <= RESIDENT:
+            Scratch.resident += values.nbytes
+            self.parts.append(values.copy())
+            return
+        if self.file is None:
+            self.file = tempfile.TemporaryFile(buffering=0)  # noqa: SIM115 - unnamed, gone with the task
+            held, self.parts = self.parts, []
+            for x in held:
+                self._write(x)
+                Scratch.resident -= x.nbytes
+        self._write(values)
+
+    def _write(self, values: np.ndarray) -> None:
+        raw = memoryview(values).cast("B")
         while len(raw):
             raw = raw[self.file.write(raw) :]
-        self.n += values.size // self.width
+
+    def _whole(self) -> np.ndarray:
+        if len(self.parts) > 1:
+            self.parts = [np.concatenate(self.parts)]
+        return self.parts[0] if self.parts else np.zeros(0, self.kind)
 
     def read(self, i: int, j: int) -> np.ndarray:
-        size, at, parts = (j - i) * self.item, i * self.item, []
-        while size:
-            parts.append(os.pread(self.file.fileno(), size, at))
-            size, at = size - len(parts[-1]), at + len(parts[-1])
-        out = np.frombuffer(b"".join(parts), self.kind)
+        if self.file is None:
+            out = self._whole()[i * self.width : j * self.width]
+        else:
+            size, at, parts = (j - i) * self.item, i * self.item, []
+            while size:
+                parts.append(os.pread(self.file.fileno(), size, at))
+                size, at = size - len(parts[-1]), at + len(parts[-1])
+            out = np.frombuffer(b"".join(parts), self.kind)
         return out if self.width == 1 else out.reshape(-1, self.width)
 
     def view(self) -> np.ndarray:
-        """The array as a file mapping, for reads at scattered places."""
-        return np.memmap(self.file, self.kind, "r", shape=(self.n,)) if self.n else np.zeros(0, self.kind)
+        """The array for reads at scattered places, a mapping of the file if it is in one."""
+        return self._whole() if self.file is None else np.memmap(self.file, self.kind, "r", shape=(self.n,))
 
     def close(self) -> None:
-        self.file.close()
+        Scratch.resident -= sum(x.nbytes for x in self.parts)
+        self.parts = []
+        if self.file is not None:
+            self.file.close()
+
+    def __del__(self) -> None:
+        if self.parts:
+            self.close()
+
+
+def zeros(kind, n: int) -> np.ndarray:
+    """An array to be filled at scattered places, mapped to an unnamed file if it is large."""
+    if n * np.dtype(kind).itemsize <= RESIDENT // 8:
+        return np.zeros(n, kind)
+    return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=(n,))
 
 
 class Symbols:
@@ -579,7 +622,7 @@ def _name(text: Symbols, places: np.ndarray, sizes: np.ndarray, m: int, items: i
         rows = np.empty((len(place), 4), np.uint64)
         rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = _cut(text.word(place), size, text), np.arange(i, i + len(place)), place, size
         queue.push(rows[np.argsort(rows[:, 0], kind="stable")])
-    order, names = Scratch("u8", 4), np.memmap(tempfile.TemporaryFile(), ">u4", "w+", shape=(m,))
+    order, names = Scratch("u8", 4), zeros(">u4", m)
     count = 0
     while len(rows := queue.front(2 * CHUNK)):
         queue.drop(rows[-1, 0])
@@ -700,7 +743,7 @@ def descending(text: Symbols, depth: int, *, items: int | None = None, base: Sym
         else:
             order.close()
             reduced = Symbols(names=True)
-            advance = np.memmap(tempfile.TemporaryFile(), np.uint8, "w+", shape=(count + 1,))
+            advance = zeros("u1", count + 1)
             for i in range(0, m, CHUNK):
                 here = np.asarray(names[i : i + CHUNK])
                 reduced.append(here)

@@ -24,9 +24,9 @@ least document of a group decides for all its places. Memory is bounded by the
 limits below, not by the shard: fragments are made distinct in batches of
 `BATCH_BYTES`, and what is known of each place of the text lies on disk.
 
-The number of shards is at least `LEAST_SHARDS` and grows with the input beyond
-`LEAST_SHARDS * SHARD_TEXT` bytes; blocks grow with the number of shards, so the
-rows between the stages (blocks times shards) stay in proportion to the input.
+The number of shards grows with the input up to `MOST_SMALL`, then the shards
+grow; blocks grow with the number of shards, so the rows between the stages
+(blocks times shards) stay in proportion to the input.
 
 Cases: null texts are empty; texts shorter than `length` keep everything;
 repeated rows of one id never remove each other (no id is smaller); a null id
@@ -37,7 +37,6 @@ other; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -47,16 +46,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.llm.external_sort import Scratch, Symbols, descending
+from strataloom.llm.external_sort import Scratch, Symbols, descending, zeros
 from strataloom.llm.session import fresh_path, materialize, spread, tidy
 from strataloom.llm.textkernel import _BYTE_CODE, _powers, mix, slices, text_bytes
 
 LENGTH = 50
 GRAM = 12
-LEAST_SHARDS = 24
-SHARD_TEXT = 4 << 30
-#: Bytes of a block: a few kilobytes for each shard, within bounds.
-BLOCK_BYTES, MOST_BLOCK_BYTES, BLOCK_SHARE = 2 << 20, 64 << 20, 8 << 10
+#: Shards: one for each SHARD_TEXT bytes of input, which one task sorts in memory; beyond MOST_SMALL of them shards
+#: grow up to LARGE_TEXT bytes of input, sorted on disk, before there are more of them.
+LEAST_SHARDS, MOST_SMALL = 24, 1600
+SHARD_TEXT, LARGE_TEXT = 3_600_000, 4 << 30
+#: Bytes of a block: 40 kilobytes for each shard, within bounds; and bytes of a block that are cut into fragments at once.
+BLOCK_BYTES, MOST_BLOCK_BYTES, BLOCK_SHARE = 1 << 20, 64 << 20, 40 << 10
+STRETCH = 2 << 20
 BUCKET_BYTES = 256 << 20
 BATCH_BYTES = 64 << 20
 #: Parts into which contexts are dealt on disk before they are compared in memory.
@@ -168,6 +170,15 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
     return gram[anchor], context(anchor - half, anchor + GRAM, 3), context(anchor, anchor + GRAM + half, 5), row, place, bytes_
 
 
+def block_fragments(data: np.ndarray, offsets: np.ndarray, length: int) -> list[np.ndarray]:
+    """fragments() of a whole block, in stretches of whole texts."""
+    found = []
+    for i, j in slices(offsets, STRETCH):
+        key, left, right, row, place, size = fragments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
+        found.append((key, left, right, row + i, place + offsets[i], size))
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else list(fragments(data, offsets, length))
+
+
 def _pack(arrays: list[np.ndarray]) -> bytes:
     import zstandard
 
@@ -227,7 +238,7 @@ def _batch_of(blocks: list[int], names: list[int], payloads: list[bytes]) -> pa.
 def _ask(shards: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, block, ids, data, offsets in _read_blocks(batches):
-            key, left, right, row, _, _ = fragments(data, offsets, length)
+            key, left, right, row, _, _ = block_fragments(data, offsets, length)
             pair = (left >> np.uint64(32) << np.uint64(32)) | (right >> np.uint64(32))
             names, payloads = [], []
             for s, p in _by_shard(key, shards):
@@ -248,7 +259,7 @@ def _send(shards: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, k, block, ids, data, offsets in _read_blocks(batches):
             wanted = np.sort(np.concatenate([_whole(_unpack(b, ("<u4",))[0]) for b in batch.column(4)[k].as_py()]))
-            key, _, _, row, place, size = (x[wanted] for x in fragments(data, offsets, length))
+            key, _, _, row, place, size = (x[wanted] for x in block_fragments(data, offsets, length))
             names, payloads = [], []
             for s, p in _by_shard(key, shards):
                 first, number = _distinct(_gather(data, place[p], size[p]), size[p])
@@ -283,7 +294,7 @@ class SharedContexts:
 
     def shared(self) -> np.ndarray:
         """A flag for each entry, on disk."""
-        out = np.memmap(tempfile.TemporaryFile(), np.bool_, "w+", shape=(self.n,))
+        out = zeros(np.bool_, self.n)
         for side in self.parts:
             for store in side:
                 rows = store.read(0, store.n)
@@ -372,7 +383,7 @@ class Shard:
     def winners(self) -> np.ndarray:
         """For each place of the text the number of the fragment with the least id whose window is equal, plus 1; 0 where that is its own. On disk."""
         starts, lows = self.starts.view(), self.lows.view()
-        out = np.memmap(tempfile.TemporaryFile(), "<u4", "w+", shape=(self.text.n,))
+        out = zeros("<u4", self.text.n)
         ends = np.append(starts[1:], self.text.n)
         held: list[np.ndarray] = []
         prefix_left = 255
@@ -523,7 +534,7 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(LEAST_SHARDS, int(total // SHARD_TEXT) + 1)
+    shards = max(LEAST_SHARDS, min(MOST_SMALL, int(total // SHARD_TEXT) + 1), int(total // LARGE_TEXT) + 1)
     size = min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, shards * BLOCK_SHARE))
     blocks = _blocks(texts, size, max(LEAST_SHARDS, int(total // BUCKET_BYTES) + 1))
     packed, answers = "block long, shard int, payload binary", "block long, payload binary"
