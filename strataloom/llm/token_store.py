@@ -64,7 +64,7 @@ PART_BYTES = 16 << 20
 CACHED_WORDS = 900_000
 RESTING_WORDS = 500_000
 #: Bytes of text that are cut into words at once.
-STRETCH = 12 << 20
+STRETCH = 4 << 20
 BROADCAST_ROWS = 1_000_000
 #: Bytes that a pre-tokenizer always parts from a letter before them, and what the encoder holds for an odd word.
 MARKS = np.isin(np.arange(256), list(b".,;:!?$#*&%"))
@@ -189,8 +189,11 @@ class Encoder:
         flat = np.frombuffer(b"".join(ids), self.kind)
         span = lengths[index]
         run = np.concatenate([[0], np.cumsum(span)])
-        at = (np.cumsum(lengths) - lengths)[index] - run[:-1]
-        out = flat[np.repeat(at, span) + np.arange(run[-1])]
+        first = np.cumsum(lengths) - lengths
+        out = np.empty(run[-1], self.kind)
+        for a in range(0, len(index), 1 << 17):  # in steps, so that the lists of places stay small
+            b = min(len(index), a + (1 << 17))
+            out[run[a] : run[b]] = flat[np.repeat(first[index[a:b]] - run[a:b], span[a:b]) + np.arange(run[a], run[b])]
         return out, run[bounds[1:]] - run[bounds[:-1]]
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
