@@ -61,8 +61,8 @@ BLOCK_BYTES, MOST_BLOCK_BYTES, BLOCK_SHARE = 1 << 20, 64 << 20, 40 << 10
 STRETCH = 2 << 20
 BUCKET_BYTES = 256 << 20
 BATCH_BYTES = 64 << 20
-#: Parts into which contexts are dealt on disk before they are compared in memory.
-CONTEXT_PARTS = 16
+#: Contexts that are compared in memory, and parts into which more are dealt on disk first.
+CONTEXT_ROWS, CONTEXT_PARTS = 2_000_000, 64
 LAST = np.iinfo(np.int64).max
 #: The byte that ends each fragment of a shard's text; UTF-8 never has it.
 END = 0xFE
@@ -225,8 +225,10 @@ def _distinct(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, number
 
 
-#: Left and right contexts, least and greatest id of distinct context pairs; pair and ordinal of places (as differences).
-_ASK = ("<u4", "<u4", "<i8", "<i8", "<u4", "<u4")
+#: Left and right contexts, least and greatest id of distinct context pairs; pair, place and length of fragments (the first two as differences).
+_ASK = ("<u4", "<u4", "<i8", "<i8", "<u4", "<u4", "<u1")
+#: The shard; places (as differences) and lengths of the fragments that are shared.
+_ANSWER = ("<u4", "<u4", "<u1")
 #: Lengths of distinct fragments; fragment, place and row of places (as differences); ids of rows; fragment bytes.
 _SEND = ("<u1", "<u4", "<u4", "<u4", "<i8", "u1")
 
@@ -238,7 +240,7 @@ def _batch_of(blocks: list[int], names: list[int], payloads: list[bytes]) -> pa.
 def _ask(shards: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, block, ids, data, offsets in _read_blocks(batches):
-            key, left, right, row, _, _ = block_fragments(data, offsets, length)
+            key, left, right, row, place, size = block_fragments(data, offsets, length)
             pair = (left >> np.uint64(32) << np.uint64(32)) | (right >> np.uint64(32))
             names, payloads = [], []
             for s, p in _by_shard(key, shards):
@@ -248,86 +250,99 @@ def _ask(shards: int, length: int):
                 np.minimum.at(low, number, owner)
                 np.maximum.at(high, number, owner)
                 names.append(s)
-                payloads.append(_pack([*((c[p[one]] >> np.uint64(32)).astype("<u4") for c in (left, right)), low, high, _steps(number), _steps(p)]))
+                payloads.append(_pack([*((c[p[one]] >> np.uint64(32)).astype("<u4") for c in (left, right)), low, high, _steps(number), _steps(place[p]), size[p].astype("<u1")]))
             if names:
                 yield _batch_of([block] * len(names), names, payloads)
 
     return run
 
 
-def _send(shards: int, length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, k, block, ids, data, offsets in _read_blocks(batches):
-            wanted = np.sort(np.concatenate([_whole(_unpack(b, ("<u4",))[0]) for b in batch.column(4)[k].as_py()]))
-            key, _, _, row, place, size = (x[wanted] for x in block_fragments(data, offsets, length))
-            names, payloads = [], []
-            for s, p in _by_shard(key, shards):
-                first, number = _distinct(_gather(data, place[p], size[p]), size[p])
-                one = p[first]
-                rows, at = np.unique(row[p], return_inverse=True)
-                names.append(s)
-                payloads.append(_pack([size[one].astype("<u1"), _steps(number), _steps(place[p]), _steps(at), ids[rows], _gather(data, place[one], size[one])]))
-            if names:
-                yield _batch_of([block] * len(names), names, payloads)
-
-    return run
+def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, k, block, ids, data, offsets in _read_blocks(batches):
+        names, payloads = [], []
+        for blob in batch.column(4)[k].as_py():
+            shard, place, size = _unpack(blob, _ANSWER)
+            place, size = _whole(place), size.astype(np.int64)
+            first, number = _distinct(_gather(data, place, size), size)
+            rows, at = np.unique(np.searchsorted(offsets, place, "right") - 1, return_inverse=True)
+            names.append(int(shard[0]))
+            payloads.append(_pack([size[first].astype("<u1"), _steps(number), _steps(place), _steps(at), ids[rows], _gather(data, place[first], size[first])]))
+        yield _batch_of([block] * len(names), names, payloads)
 
 
 class SharedContexts:
-    """The fragments of one shard that share a context with another document; contexts are compared part by part from disk."""
+    """The fragments of one shard that share a context with another document; many contexts are compared part by part from disk."""
 
     def __init__(self) -> None:
-        self.parts = [[Scratch("<u8", 4) for _ in range(CONTEXT_PARTS)] for _ in range(2)]
+        self.held: list[list[np.ndarray]] = [[], []]
+        self.size = 0
+        self.parts: list[list[Scratch]] = []
         self.n = 0
 
-    def add(self, payload: bytes) -> np.ndarray:
-        left, right, low, high, number, _ = _unpack(payload, _ASK)
-        entry = self.n + np.arange(len(left))
+    def add(self, payload: bytes) -> None:
+        left, right, low, high = _unpack(payload, _ASK)[:4]
+        entry = np.arange(self.n, self.n + len(left), dtype=np.uint64)
         self.n += len(left)
         for side, context in enumerate((left, right)):
-            rows = np.stack([context.astype(np.uint64), entry.astype(np.uint64), low.view(np.uint64), high.view(np.uint64)], axis=1)[context != 0]
+            rows = np.stack([context.astype(np.uint64), entry, low.view(np.uint64), high.view(np.uint64)], axis=1)
+            self.held[side].append(rows[context != 0])
+        self.size += len(left)
+        if self.size > CONTEXT_ROWS:
+            self._deal()
+
+    def _deal(self) -> None:
+        self.parts = self.parts or [[Scratch("<u8", 4) for _ in range(CONTEXT_PARTS)] for _ in range(2)]
+        for side, held in enumerate(self.held):
+            rows = np.concatenate(held)
             part = rows[:, 0] % np.uint64(CONTEXT_PARTS)
             order = np.argsort(part, kind="stable")
             for k, x in enumerate(np.split(rows[order], np.searchsorted(part[order], np.arange(1, CONTEXT_PARTS)))):
                 self.parts[side][k].append(x)
-        return entry
+        self.held, self.size = [[], []], 0
 
-    def shared(self) -> np.ndarray:
-        """A flag for each entry, on disk."""
-        out = zeros(np.bool_, self.n)
+    def _sets(self) -> Iterator[np.ndarray]:
+        """All rows of some contexts at a time."""
+        if not self.parts:
+            yield from (np.concatenate(held) for held in self.held if held)
+            return
+        self._deal()
         for side in self.parts:
             for store in side:
-                rows = store.read(0, store.n)
+                yield store.read(0, store.n)
                 store.close()
-                if len(rows):
-                    rows = rows[np.argsort(rows[:, 0])]
-                    first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-                    several = np.minimum.reduceat(rows[:, 2].view(np.int64), first) < np.maximum.reduceat(rows[:, 3].view(np.int64), first)
-                    out[rows[np.repeat(several, np.diff(np.append(first, len(rows)))), 1].astype(np.int64)] = True
+
+    def shared(self) -> np.ndarray:
+        """A flag for each entry, on disk if there are many."""
+        out = zeros(np.bool_, self.n)
+        for rows in self._sets():
+            if len(rows):
+                rows = rows[np.argsort(rows[:, 0])]
+                first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+                several = np.minimum.reduceat(rows[:, 2].view(np.int64), first) < np.maximum.reduceat(rows[:, 3].view(np.int64), first)
+                out[rows[np.repeat(several, np.diff(np.append(first, len(rows)))), 1].astype(np.int64)] = True
         return out
 
 
-def _answer(payloads: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """For each block the ordinals of its fragments that are shared."""
+def _answer(shard: int, payloads: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """For each block the places and lengths of its fragments that are shared."""
     contexts, kept = SharedContexts(), []
     for block, payload in payloads:
         start = contexts.n
         contexts.add(payload)
-        number, ordinal = _unpack(payload, _ASK)[4:]
-        places = Scratch("<u4")
-        places.append(number)
-        places.append(ordinal)
-        kept.append((block, start, places))
-    if not contexts.n:
-        return
+        number, place, size = _unpack(payload, _ASK)[4:]
+        places = Scratch("<u4", 2)
+        places.append(np.stack([number, place], axis=1))
+        sizes = Scratch("<u1")
+        sizes.append(size)
+        kept.append((block, start, places, sizes))
     flags = contexts.shared()
-    for block, start, places in kept:
-        n = places.n // 2
-        keep = flags[start + _whole(places.read(0, n))]
-        places_ = _whole(places.read(n, 2 * n))[keep]
+    for block, start, places, sizes in kept:
+        number, place = places.read(0, places.n).T
+        keep = flags[start + _whole(number)]
+        if keep.any():
+            yield block, _pack([np.array([shard], "<u4"), _steps(_whole(place)[keep]), sizes.read(0, sizes.n)[keep]])
         places.close()
-        if len(places_):
-            yield block, _pack([_steps(places_)])
+        sizes.close()
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -483,7 +498,7 @@ def _per_shard(solve):
                     ahead = next(rows, None)
 
             mine = own()
-            for block, payload in solve(mine):
+            for block, payload in solve(shard, mine):
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
             for _ in mine:
                 pass
@@ -492,7 +507,7 @@ def _per_shard(solve):
 
 
 def _judge(length: int):
-    def solve(payloads: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    def solve(_: int, payloads: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         shard = Shard(length)
         for block, payload in payloads:
             shard.add(block, payload)
@@ -549,7 +564,7 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     asked = dealt(blocks.select("block", "ids", "sizes", "data").mapInArrow(tidy(_ask(shards, length)), packed))
     wanted = beside(asked.mapInArrow(tidy(_per_shard(_answer)), answers), "wanted", "inner")
-    found = dealt(wanted.mapInArrow(tidy(_send(shards, length)), packed)).mapInArrow(tidy(_per_shard(_judge(length))), answers)
+    found = dealt(wanted.mapInArrow(tidy(_send), packed)).mapInArrow(tidy(_per_shard(_judge(length))), answers)
     id_type = docs.schema[id_col].dataType
     out = T.StructType([T.StructField("id", id_type), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     return beside(found, "spans", "left").mapInArrow(tidy(_cut(to_arrow_type(id_type))), out).withColumnRenamed("id", id_col)
