@@ -1,8 +1,8 @@
 r"""Chat formatting with Spark expressions only.
 
 Method. The turns of a conversation are collected as structs and sorted,
-adjacent turns of one role are merged by an array aggregation, and the blocks
-are concatenated:
+adjacent turns of one role are merged by array functions, and the blocks are
+concatenated:
 
     <turn ROLE>\n TEXT [<turn/> TEXT ...] </turn>\n     (without the blanks)
 
@@ -24,11 +24,15 @@ its whole text must fit into one row (2 GB).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CLOSE = "</turn>\n"
 NEXT = "<turn/>"
+#: Pieces that are summed or cut at once; a conversation of n turns costs about n times this at most.
+BLOCK = 256
 
 
 def escape_text(c: Column) -> Column:
@@ -47,18 +51,39 @@ def unescape_role(c: Column) -> Column:
     return unescape_text(F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\\g"), F.lit(">")))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often `use` names it inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _merge(turns: Column) -> Column:
-    """array<struct<role, texts>>: one element for each run of turns with one role."""
-    empty = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
+    """array<struct<role, texts>>: one element for each run of turns with one role.
+
+    A run begins where the role differs from the one before; its texts are the
+    slice up to the next beginning, so each turn is copied once.
+    """
+
+    def cut(t: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(t) + 1))
+        runs = F.zip_with(starts, ends, lambda a, b: F.slice(t, a, b - a))
+        return F.transform(runs, lambda run: F.struct(run[0]["role"].alias("role"), F.transform(run, lambda x: x["text"]).alias("texts")))
+
+    def begins(t: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.element_at(t, i)["role"] != F.element_at(t, F.greatest(i - 1, F.lit(1)))["role"]))
+
+    return _let(turns, lambda t: _let(begins(t), lambda starts: cut(t, starts)))
 
-    def step(acc: Column, turn: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fresh = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        grown = F.struct(turn["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))
-        return F.when((F.size(acc) > 0) & (last["role"] == turn["role"]), joined).otherwise(F.concat(acc, F.array(fresh)))
 
-    return F.aggregate(turns, empty, step)
+def _blocks(items: Column) -> Column:
+    """The items in arrays of BLOCK: work that is quadratic in an array stays small."""
+    last = lambda x: F.greatest(F.floor((F.size(x) - 1) / BLOCK).cast("int"), F.lit(0))
+    return _let(items, lambda x: F.filter(F.transform(F.sequence(F.lit(0), last(x)), lambda k: F.slice(x, k * BLOCK + 1, F.lit(BLOCK))), lambda g: F.size(g) > 0))
+
+
+def _running(sizes: Column, first: Column) -> Column:
+    """The sum before each of a few sizes, from `first` on."""
+    start = F.struct(first.alias("pos"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    return F.aggregate(sizes, start, lambda acc, n: F.struct((acc["pos"] + n).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")), lambda acc: acc["out"])
 
 
 def _segments(blocks: Column, loss_roles: tuple[str, ...]) -> Column:
@@ -77,15 +102,17 @@ def _segments(blocks: Column, loss_roles: tuple[str, ...]) -> Column:
 
 
 def _spans(segments: Column) -> Column:
-    """array<struct<start, length>> of the pieces under the loss mask."""
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
+    """array<struct<start, length>> of the pieces under the loss mask: running sums inside blocks of pieces, and over the blocks."""
+
+    def starts(sizes: Column) -> Column:
+        totals = F.transform(sizes, lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda a, n: a + n))
+        return F.flatten(F.zip_with(sizes, _running(totals, F.lit(0).cast("long")), _running))
 
-    def step(acc: Column, x: Column) -> Column:
-        n = F.char_length(x["s"]).cast("long")
-        spans = F.when(x["loss"], F.concat(acc["spans"], F.array(F.struct(acc["pos"].alias("start"), n.alias("length"))))).otherwise(acc["spans"])
-        return F.struct((acc["pos"] + n).alias("pos"), spans.alias("spans"))
+    def placed(x: Column) -> Column:
+        sizes = _blocks(F.transform(x, lambda y: F.char_length(y["s"]).cast("long")))
+        return F.zip_with(x, _let(sizes, starts), lambda y, at: F.struct(y["loss"].alias("loss"), at.alias("start"), F.char_length(y["s"]).cast("long").alias("length")))
 
-    return F.aggregate(segments, start, step, lambda acc: acc["spans"])
+    return F.transform(F.filter(_let(segments, placed), lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
 
 
 def format_conversations(turns: DataFrame, *, conv_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -109,8 +136,16 @@ def read_turns(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape_text(F.substring(formatted, s["start"].cast("int") + 1, s["length"].cast("int")))), "")
+    """All text under the mask, unescaped, in order: the stretch of a block of spans is cut out first, then its spans."""
+
+    def stretch(f: Column, g: Column) -> Column:
+        end = F.element_at(g, -1)["start"] + F.element_at(g, -1)["length"]
+        return F.struct(g.alias("g"), g[0]["start"].alias("base"), F.substring(f, g[0]["start"].cast("int") + 1, (end - g[0]["start"]).cast("int")).alias("s"))
+
+    def texts(x: Column) -> Column:
+        return F.array_join(F.transform(x["g"], lambda y: unescape_text(F.substring(x["s"], (y["start"] - x["base"]).cast("int") + 1, y["length"].cast("int")))), "")
+
+    return F.array_join(F.transform(_let(formatted, lambda f: F.transform(_blocks(spans), lambda g: stretch(f, g))), texts), "")
 
 
 def digest(chats: DataFrame, conv_col: str = "conv_id") -> DataFrame:

@@ -1,15 +1,16 @@
 r"""Language identification by hyperdimensional profiles.
 
-Method. Every letter class has a random vector of +1 and -1. The trigram of
+Method. Every letter has a random vector of +1 and -1. The trigram of
 letters a, b, c is bound by rotating and multiplying: rot(rot(a)) * rot(b) * c.
 A document's vector bundles (adds) the vectors of all its trigrams, a language
 prototype bundles the unit vectors of its sample documents, less the mean of
 all prototypes' directions, and a document takes the language with the highest
 cosine. Letters are compared in lower case; all characters that are no letters
-are one blank class, and every text has a blank on both sides.
+are one blank, and every text has a blank on both sides.
 
-Learning takes at most `SAMPLE` labelled documents of each of the
-`MOST_LANGUAGES` most frequent labels (those with the least hash of their id).
+Learning takes at most `SAMPLE` labelled documents of each label (those with
+the least hash of their id); every label is learned, and the prototypes (two
+kilobytes each) go to the tasks.
 Every text is read whole, in learning and in prediction.
 
 Cases: a null text, or one without a letter, is `und` with score 0; a text of
@@ -31,39 +32,36 @@ from pyspark.sql import types as T
 
 from strataloom.llm.quality_net import held_out
 from strataloom.llm.session import spread, tidy
+from strataloom.llm.textkernel import mix
 
 SIZE = 512
-LETTERS = 64
 SAMPLE = 400
-MOST_LANGUAGES = 200
 SEED = 5
 UNKNOWN = "und"
 STRETCH = 1 << 20
 
-_TABLE: list[np.ndarray] = []
+_LETTER: list[np.ndarray] = []
 
 
-def _class_table() -> np.ndarray:
-    """Letter class of each code point: 0 no letter, 1-26 a-z, 27-63 other letters by a fixed mix of the code point."""
-    if not _TABLE:
-        letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        code = np.arange(0x110000, dtype=np.uint64)
-        mixed = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-        table = np.where(letter, 27 + (mixed % np.uint64(LETTERS - 27)).astype(np.int64), 0)
-        table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-        _TABLE.append(table.astype(np.uint8))
-    return _TABLE[0]
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    if not _LETTER:
+        _LETTER.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _LETTER[0]
 
 
-def _letter_vectors() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (LETTERS, SIZE))
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """The vector of +1 and -1 of each code point (0 is the blank), from a mixed hash of the code point."""
+    word = np.arange(SIZE // 64, dtype=np.uint64)
+    bits = mix(mix(points.astype(np.uint64)[:, None] + np.uint64(SEED << 32)) + word * np.uint64(0x9E3779B97F4A7C15))
+    return (np.unpackbits(bits.view(np.uint8).reshape(len(points), -1), axis=1).astype(np.int8) * 2 - 1)[:, :SIZE]
 
 
-def trigram_vectors(codes: np.ndarray) -> np.ndarray:
-    """Bound vectors of trigram codes (18 bits: three letter classes)."""
-    letters = _letter_vectors()
+def trigram_vectors(points: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Bound vectors of trigrams whose letters are given as places in `points`."""
+    letters = letter_vectors(points)
     twice, once = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    return (twice[codes >> 12] * once[(codes >> 6) & 63] * letters[codes & 63]).astype(np.float32)
+    return (twice[a] * once[b] * letters[c]).astype(np.float32)
 
 
 def bundle(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,19 +72,27 @@ def bundle(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     size = 0
 
     def flush() -> None:
-        table = _class_table()
-        points = np.frombuffer("".join(f" {t} " for _, t in group).encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = table[points].astype(np.int64)
+        text = np.frombuffer("".join(f" {t} " for _, t in group).encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = np.where(_letters()[text], text, np.uint32(0))
+        there = np.zeros(0x110000, bool)
+        there[found] = True
+        there[0] = True
+        points = np.flatnonzero(there)
+        kind = (np.cumsum(there) - 1)[found]
         sizes = np.array([len(t) + 2 for _, t in group])
         owner = np.repeat(np.arange(len(group)), sizes)
-        code = (kind[:-2] << 12) | (kind[1:-1] << 6) | kind[2:]
+        k = len(points)
+        code = (kind[:-2] * k + kind[1:-1]) * k + kind[2:]
         fine = (owner[:-2] == owner[2:]) & (code > 0)
-        used = np.zeros(1 << 18, bool)
-        used[code[fine]] = True
-        known = np.flatnonzero(used)
-        number = np.cumsum(used) - 1
-        vectors = trigram_vectors(known)
-        at, own = number[code[fine]], owner[:-2][fine]
+        if k**3 <= 1 << 24:
+            used = np.zeros(k**3, bool)
+            used[code[fine]] = True
+            known = np.flatnonzero(used)
+            at = (np.cumsum(used) - 1)[code[fine]]
+        else:
+            known, at = np.unique(code[fine], return_inverse=True)
+        vectors = trigram_vectors(points, known // (k * k), known // k % k, known % k)
+        own = owner[:-2][fine]
         cuts = np.searchsorted(own, np.arange(0, len(group) + 1, 32))
         cuts = np.append(cuts, len(own)) if len(group) % 32 else cuts
         for b in range(0, len(group), 32):
@@ -139,11 +145,10 @@ class Profiles:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Profiles:
     """Prototypes from a bounded sample of labelled rows that are not held out."""
     keys = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).filter(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & ~held_out("_id"))
-    common = keys.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LANGUAGES).select("_lang")
     place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = keys.join(F.broadcast(common), "_lang").withColumn("_place", place).filter(F.col("_place") <= sample)
+    chosen = keys.withColumn("_place", place).filter(F.col("_place") <= sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(chosen.select("_id", "_lang").distinct()), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi").select("lang", "text").coalesce(16)
+    rows = rows.join(chosen.select("_id", "_lang").distinct(), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi").select("lang", "text").coalesce(16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -6,12 +6,14 @@ occur exactly once in both sides are anchors, the longest increasing
 subsequence of their positions is kept, and the gaps between kept anchors are
 aligned in the same way. The share of the template's words that are matched in
 one dense stretch of the text is the coverage; from `LEAST_COVERAGE` on the
-license is reported.
+license is reported. A notice of under `SHORT` words must stand word for word,
+and where templates meet in the text only the one with the most matched words is
+reported, so a word like "Lesser" or a version number decides.
 
 Where to align. For each template a set of seed words is fixed such that the
 other words make up less than `LEAST_COVERAGE` of it, so every stretch that
 covers enough holds a seed. Each place of a seed opens a window of a few
-template lengths around it (places inside a stretch that is already reported
+template lengths around it, which grows while the matched stretch reaches its edge (places inside a stretch that is already reported
 are done). The seed's place is an anchor itself where a window has no other,
 as when a notice stands there twice. Texts without any seed are passed over by
 one vectorised lookup of word hashes.
@@ -40,9 +42,11 @@ from strataloom.llm.session import spread, tidy
 from strataloom.llm.textkernel import slices, text_bytes, word_hashes, word_spans
 
 LEAST_COVERAGE = 0.8
-#: Unmatched words in a row that end a stretch, and the window on each side of a seed in template lengths.
+#: Unmatched words in a row that end a stretch, and the first window on each side of a seed in template lengths.
 LONGEST_GAP = 12
 WINDOW = 1.5
+#: Templates of fewer words must stand word for word.
+SHORT = 15
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _OTHER = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
 #: Words too common to be seeds if others will do.
@@ -138,31 +142,52 @@ class Scanner:
     def scan(self, text: bytes) -> list[tuple[str, str, float, int, int, int, int]]:
         """(license, kind, coverage, matched words, first word, words spanned, occurrences) of each template found."""
         words = words_of(text)
-        best: dict[int, tuple] = {}
+        found: list[tuple[int, int, int, int]] = []  # matched words, first and last word, template
         done: dict[int, int] = {}
         for at, w in enumerate(words):
             for t in self.by_seed.get(w, ()):
-                if at < done.get(t, 0):
-                    continue
-                name, kind, template = self.templates[t]
-                reach = int(WINDOW * len(template)) + LONGEST_GAP
-                lo = max(done.get(t, 0), at - reach)
-                window = words[lo : at + reach + 1]
-                found: list[tuple[int, int]] = []
-                for place in [j for j, x in enumerate(template) if x == w]:
-                    run = densest(patience(window, template, (at - lo, place)))
-                    if len(run) > len(found):
-                        found = run
-                    if len(found) >= self.least * len(template):
-                        break
-                if len(found) >= self.least * len(template):
-                    first, last = lo + found[0][0], lo + found[-1][0]
-                    done[t] = last + 1
-                    old = best.get(t)
-                    row = (len(found) / len(template), len(found), first, last - first + 1)
-                    best[t] = (*max(row, old[:4], key=lambda r: (r[0], -r[2])), old[4] + 1) if old else (*row, 1)
+                if at >= done.get(t, 0):
+                    run = self._around(words, at, t, done.get(t, 0))
+                    if run:
+                        found.append((len(run), run[0][0], run[-1][0], t))
+                        done[t] = run[-1][0] + 1
+        # of templates that meet in the text the one with the most matched words stands there
+        kept: list[tuple[int, int, int, int]] = []
+        for x in sorted(found, key=lambda x: (-x[0], x[1], len(self.templates[x[3]][2]), x[3])):
+            if all(x[2] < y[1] or x[1] > y[2] for y in kept):
+                kept.append(x)
+        best: dict[int, tuple] = {}
+        for n, first, last, t in sorted(kept, key=lambda x: x[1]):
+            row = (n / len(self.templates[t][2]), n, first, last - first + 1)
+            old = best.get(t)
+            best[t] = (*max(row, old[:4], key=lambda r: (r[0], -r[2])), old[4] + 1) if old else (*row, 1)
         return [(*self.templates[t][:2], *row) for t, row in sorted(best.items())]
 
+    def _around(self, words: list[bytes], at: int, t: int, least: int) -> list[tuple[int, int]]:
+        """The stretch around the seed word at `at` that covers template t, or nothing. The window grows while the stretch reaches its edge."""
+        template = self.templates[t][2]
+        reach = int(WINDOW * len(template)) + LONGEST_GAP
+        while True:
+            lo, hi = max(least, at - reach), min(len(words), at + reach + 1)
+            best: list[tuple[int, int]] = []
+            for place in [j for j, x in enumerate(template) if x == words[at]]:
+                run = densest(patience(words[lo:hi], template, (at - lo, place)))
+                if len(run) > len(best):
+                    best = run
+                if self._covers(best, template):
+                    break
+            best = [(lo + i, j) for i, j in best]
+            edge = best and ((lo > least and best[0][0] - lo <= LONGEST_GAP) or (hi < len(words) and hi - best[-1][0] <= LONGEST_GAP + 1))
+            if not edge or (self._covers(best, template) and len(best) == len(template)):
+                return best if self._covers(best, template) else []
+            reach *= 2
+
+    def _covers(self, run: list[tuple[int, int]], template: list[bytes]) -> bool:
+        """A short notice must stand word for word, since each of its words may decide which license it names."""
+        if len(template) < SHORT:
+            return len(run) == len(template) and run[-1][0] - run[0][0] == len(template) - 1
+        return len(run) >= self.least * len(template)
+
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[tuple[str, str], str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
     """(id_col, license, kind, coverage, n_matched, first_word, n_words, occurrences): one row for each row of docs and template found."""

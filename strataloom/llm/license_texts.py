@@ -2,7 +2,37 @@
 
 from __future__ import annotations
 
-# Public license wordings, by (license, kind).
+# Public license wordings, and below them by (license, kind).
+_BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission. "
+)
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu_header(name: str, version: str) -> str:
+    """The notice that programs under a license of the GNU family carry."""
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software "
+        f"Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        f"{name} for more details. You should have received a copy of the {name} along with this program. If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
 TEMPLATES: dict[tuple[str, str], str] = {
     ("MIT", "notice"): "Released under the MIT License.",
     ("MIT", "text"): (
@@ -23,27 +53,42 @@ TEMPLATES: dict[tuple[str, str], str] = {
         "either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
     ("GPL-3.0", "notice"): "This work is licensed under the GNU General Public License, version 3.",
-    ("GPL-3.0", "header"): (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in "
-        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
-        "PARTICULAR PURPOSE. See the GNU General Public License for more details."
-    ),
+    ("GPL-2.0", "notice"): "This work is licensed under the GNU General Public License, version 2.",
+    ("LGPL-3.0", "notice"): "This work is licensed under the GNU Lesser General Public License, version 3.",
+    ("AGPL-3.0", "notice"): "This work is licensed under the GNU Affero General Public License, version 3.",
+    ("GPL-2.0", "header"): _gnu_header("GNU General Public License", "2"),
+    ("GPL-3.0", "header"): _gnu_header("GNU General Public License", "3"),
+    ("LGPL-2.1", "header"): _gnu_header("GNU Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "header"): _gnu_header("GNU Lesser General Public License", "3"),
+    ("AGPL-3.0", "header"): _gnu_header("GNU Affero General Public License", "3"),
     ("MPL-2.0", "header"): (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
     ("ISC", "text"): (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
-        "the above copyright notice and this permission notice appear in all copies."
+        "the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS "
+        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR "
+        "BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+        "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
+    ),
+    ("BSD-2-Clause", "text"): _BSD_CONDITIONS + _BSD_DISCLAIMER,
+    ("BSD-3-Clause", "text"): _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER,
+    ("Unlicense", "text"): (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+        "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+        "under copyright law."
     ),
-    ("BSD-3-Clause", "text"): (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
-        "contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ("CC0-1.0", "notice"): (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."
     ),
+    ("CC-BY-SA-4.0", "notice"): "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ("CC-BY-SA-4.0", "short notice"): "Licensed under CC BY-SA 4.0.",
+    ("CC-BY-4.0", "short notice"): "Licensed under CC BY 4.0.",
     ("CC-BY-NC-4.0", "notice"): "Licensed under CC BY-NC 4.0.",
     ("CC-BY-4.0", "notice"): "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ("all-rights-reserved", "notice"): "All rights reserved.",

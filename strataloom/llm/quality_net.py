@@ -2,16 +2,15 @@ r"""Quality classifier: a byte-level convolutional network in numpy.
 
 Method. A text's UTF-8 bytes are cut into overlapping chunks that cover all of
 it. Bytes are embedded, `FILTERS` learned filters of `WIDTH` bytes slide over
-each chunk, and each filter's rectified response is pooled over the chunk by
-its maximum (and by its mean, which tells a few hits from many). A document's
-features are the means over its chunks; a small hidden layer combines them
-into one probability. Everything is trained by Adam on the labelled sample,
-with a fixed seed.
+each chunk byte by byte, and each filter's rectified response is pooled by its
+maximum over all chunks of the document; its mean over the chunks stands beside
+it, which tells a few hits from many. A small hidden layer combines both into
+one probability. Everything is trained by Adam on the labelled sample, with a
+fixed seed; the whole text of each of its documents takes part in every pass.
 
 Learning takes at most `SAMPLE` labelled documents (those with the least hash
-of their id among the permitted ones) and, of a long document, at most
-`TRAIN_CHUNKS` chunks spread evenly over it in each pass; scoring reads every
-chunk of every document.
+of their id among the permitted ones, of equal ids that of their text). Where
+labels of one id contradict each other it counts as good.
 
 Cases: a null or empty text is one chunk of padding and gets the score that
 the network gives to it; a text shorter than a chunk is padded; very long
@@ -35,19 +34,19 @@ from pyspark.sql import types as T
 from strataloom.llm.session import spread, tidy
 from strataloom.llm.textkernel import text_bytes
 
-SAMPLE = 3000
-TRAIN_CHUNKS = 12
-EPOCHS = 14
+SAMPLE = 1500
+EPOCHS = 12
 CHUNK = 512
 STEP = 448  # neighbours share 64 bytes
 EMBED = 6
 WIDTH = 8
-STRIDE = 2
 FILTERS = 24
 HIDDEN = 16
 SEED = 11
 THRESHOLD = 0.3
-_AT = np.arange(0, CHUNK - WIDTH + 1, STRIDE)
+_AT = np.arange(0, CHUNK - WIDTH + 1)
+#: Chunks whose responses are in memory at once.
+BLOCK = 128
 
 
 def chunks(data: np.ndarray) -> np.ndarray:
@@ -79,11 +78,11 @@ class Network:
     def _windows(self, x: np.ndarray) -> np.ndarray:
         e = self.p["embed"][x]  # n, CHUNK, EMBED
         n = len(x)
-        view = np.lib.stride_tricks.as_strided(e, (n, len(_AT), WIDTH * EMBED), (e.strides[0], STRIDE * e.strides[1], e.strides[2]))
+        view = np.lib.stride_tricks.as_strided(e, (n, len(_AT), WIDTH * EMBED), (e.strides[0], e.strides[1], e.strides[2]))
         return np.ascontiguousarray(view).reshape(n * len(_AT), WIDTH * EMBED)
 
     def pooled(self, x: np.ndarray) -> np.ndarray:
-        """Chunk features: maximum and mean of each filter."""
+        """Chunk features: maximum and mean of each filter over the chunk."""
         out = np.empty((len(x), 2 * FILTERS), np.float32)
         for i in range(0, len(x), 64):
             h = self._windows(x[i : i + 64]) @ self.p["filters"] + self.p["bias"]
@@ -92,7 +91,7 @@ class Network:
         return out
 
     def probability(self, features: np.ndarray) -> np.ndarray:
-        """Of document features (means of chunk features)."""
+        """Of document features."""
         if self.constant is not None:
             return np.full(len(features), self.constant)
         f = (features - self.shift) / self.scale
@@ -107,25 +106,81 @@ class Network:
 
         def flush() -> None:
             pooled = self.pooled(np.concatenate(held))
-            counts = [c for _, c in owner]
-            sums = np.add.reduceat(pooled.astype(np.float64), np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0)
-            for (i, _), s in zip(owner, sums, strict=True):
-                features[i] += s
+            heads = np.concatenate([[0], np.cumsum([c for _, c in owner])[:-1]]).astype(np.int64)
+            tops = np.maximum.reduceat(pooled[:, :FILTERS], heads, axis=0)
+            sums = np.add.reduceat(pooled[:, FILTERS:].astype(np.float64), heads, axis=0)
+            for (i, _), top, total in zip(owner, tops, sums, strict=True):
+                features[i, :FILTERS] = np.maximum(features[i, :FILTERS], top)
+                features[i, FILTERS:] += total
 
         totals = np.ones(n)
         for i in range(n):
             c = chunks(data[offsets[i] : offsets[i + 1]])
             totals[i] = len(c)
-            for k in range(0, len(c), 4096):
-                held.append(c[k : k + 4096])
+            for k in range(0, len(c), 2048):
+                held.append(c[k : k + 2048])
                 owner.append((i, len(held[-1])))
                 size += len(held[-1])
-                if size >= 2048:
+                if size >= 1024:
                     flush()
                     held, owner, size = [], [], 0
         if held:
             flush()
-        return self.probability((features / totals[:, None]).astype(np.float32))
+        features[:, FILTERS:] /= totals[:, None]
+        return self.probability(features.astype(np.float32))
+
+    def gradient(self, texts: list[np.ndarray], labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """(mean loss, its gradient) of documents given as chunks; long ones are gone through in blocks, twice."""
+        p = self.p
+        counts = np.array([len(c) for c in texts])
+        owner = np.repeat(np.arange(len(texts)), counts)
+        x = np.concatenate(texts)
+        kept = len(x) <= BLOCK
+        steps = [(i, min(len(x), i + BLOCK)) for i in range(0, len(x), BLOCK)]
+        pooled = np.empty((len(x), 2 * FILTERS), np.float32)
+        place = np.empty((len(x), FILTERS), np.int64)
+        for i, j in steps:
+            win = self._windows(x[i:j])
+            h = np.maximum(win @ p["filters"] + p["bias"], 0).reshape(j - i, len(_AT), FILTERS)
+            place[i:j] = h.argmax(axis=1)
+            pooled[i:j, :FILTERS] = np.take_along_axis(h, place[i:j, None], 1)[:, 0]
+            pooled[i:j, FILTERS:] = h.mean(axis=1)
+        heads = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        top = np.maximum.reduceat(pooled[:, :FILTERS], heads, axis=0)
+        mean = np.add.reduceat(pooled[:, FILTERS:], heads, axis=0) / counts[:, None]
+        # the first chunk of each document that holds a filter's maximum gets its gradient
+        hit = pooled[:, :FILTERS] == top[owner]
+        run = np.cumsum(hit, axis=0)
+        before = np.concatenate([np.zeros((1, FILTERS), np.int64), run])[heads]
+        hit &= run - before[owner] == 1
+        f = ((np.concatenate([top, mean], axis=1) - self.shift) / self.scale).astype(np.float32)
+        t = np.tanh(f @ p["w1"] + p["b1"])
+        z = np.clip(t @ p["w2"] + p["b2"], -30, 30)
+        loss = float(np.mean(np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - z * labels))
+        dz = (1 / (1 + np.exp(-z)) - labels) / len(texts)
+        g = {"w2": t.T @ dz, "b2": dz.sum(keepdims=True)}
+        dt = dz[:, None] * p["w2"] * (1 - t * t)
+        g["w1"], g["b1"] = f.T @ dt, dt.sum(axis=0)
+        dfeature = (dt @ p["w1"].T) / self.scale
+        dtop, dmean = dfeature[:, :FILTERS], dfeature[:, FILTERS:] / counts[:, None] / len(_AT)
+        g["filters"], g["bias"], g["embed"] = np.zeros_like(p["filters"]), np.zeros(FILTERS, np.float32), np.zeros((256, EMBED))
+        for i, j in steps:
+            if not kept:
+                win = self._windows(x[i:j])
+                h = np.maximum(win @ p["filters"] + p["bias"], 0).reshape(j - i, len(_AT), FILTERS)
+            dh = np.repeat(dmean[owner[i:j], None], len(_AT), axis=1).astype(np.float32)
+            chunk, filter_ = np.nonzero(hit[i:j])
+            dh[chunk, place[i + chunk, filter_], filter_] += dtop[owner[i + chunk], filter_]
+            dh = (dh * (h > 0)).reshape(-1, FILTERS)
+            g["filters"] += win.T @ dh
+            g["bias"] += dh.sum(axis=0)
+            dwin = (dh @ p["filters"].T).reshape(j - i, len(_AT), WIDTH, EMBED)
+            de = np.zeros((j - i, CHUNK, EMBED), np.float32)
+            for k in range(WIDTH):
+                de[:, _AT + k] += dwin[:, :, k]
+            flat = x[i:j].ravel()
+            g["embed"] += np.stack([np.bincount(flat, de[:, :, k].ravel(), 256) for k in range(EMBED)], axis=1)
+        return loss, g
 
 
 def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = EPOCHS, seed: int = SEED, batch: int = 48, rate: float = 4e-3) -> Network:
@@ -137,7 +192,7 @@ def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = EPOCHS, seed:
         return net
     rng = np.random.default_rng(seed + 1)
     every = [chunks(np.frombuffer(t, np.uint8)) for t in texts]
-    first = np.stack([net.pooled(c[:: max(1, len(c) // 2)][:2]).mean(axis=0) for c in every[:400]])
+    first = np.array([np.concatenate([x[:, :FILTERS].max(axis=0), x[:, FILTERS:].mean(axis=0)]) for x in (net.pooled(c) for c in every)])
     net.shift, net.scale = first.mean(axis=0), first.std(axis=0) + 1e-3
     p = net.p
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
@@ -147,36 +202,7 @@ def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = EPOCHS, seed:
         order = rng.permutation(len(texts))
         for i in range(0, len(order), batch):
             docs = order[i : i + batch]
-            parts = []
-            for d in docs:
-                c = every[d]
-                parts.append(c if len(c) <= TRAIN_CHUNKS else c[np.sort(rng.choice(len(c), TRAIN_CHUNKS, replace=False))])
-            counts = np.array([len(c) for c in parts])
-            x = np.concatenate(parts)
-            owner = np.repeat(np.arange(len(docs)), counts)
-            win = net._windows(x)
-            h = np.maximum(win @ p["filters"] + p["bias"], 0).reshape(len(x), len(_AT), FILTERS)
-            top = h.argmax(axis=1)
-            pooled = np.concatenate([np.take_along_axis(h, top[:, None], 1)[:, 0], h.mean(axis=1)], axis=1)
-            feats = np.add.reduceat(pooled, np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0) / counts[:, None]
-            f = ((feats - net.shift) / net.scale).astype(np.float32)
-            t = np.tanh(f @ p["w1"] + p["b1"])
-            z = t @ p["w2"] + p["b2"]
-            dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - labels[docs]) / len(docs)
-            g = {"w2": t.T @ dz, "b2": dz.sum(keepdims=True)}
-            dt = dz[:, None] * p["w2"] * (1 - t * t)
-            g["w1"], g["b1"] = f.T @ dt, dt.sum(axis=0)
-            dpool = ((dt @ p["w1"].T) / net.scale / counts[:, None])[owner].astype(np.float32)
-            dh = np.repeat(dpool[:, None, FILTERS:] / len(_AT), len(_AT), axis=1)
-            np.put_along_axis(dh, top[:, None], np.take_along_axis(dh, top[:, None], 1) + dpool[:, None, :FILTERS], 1)
-            dh = (dh * (h > 0)).reshape(-1, FILTERS)
-            g["filters"], g["bias"] = win.T @ dh, dh.sum(axis=0)
-            dwin = (dh @ p["filters"].T).reshape(len(x), len(_AT), WIDTH, EMBED)
-            de = np.zeros((len(x), CHUNK, EMBED), np.float32)
-            for k in range(WIDTH):
-                de[:, _AT + k] += dwin[:, :, k]
-            flat = x.ravel()
-            g["embed"] = np.stack([np.bincount(flat, de[:, :, k].ravel(), 256) for k in range(EMBED)], axis=1)
+            _, g = net.gradient([every[d] for d in docs], labels[docs])
             step += 1
             lr = rate * min(1, step / 20) * (1 - 0.9 * step / total)
             for k, v in p.items():
@@ -199,20 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     # ids whose text is missing give no row; a few spare ones make up for them
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("_id"))
-    span = CHUNK + 2 * TRAIN_CHUNKS * STEP  # a longer text gives evenly spread pieces of this many bytes in all
-
-    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                raw = text.encode()
-                if len(raw) > span:
-                    at = np.linspace(0, len(raw) - CHUNK, 2 * TRAIN_CHUNKS).astype(int)
-                    raw = b"".join(raw[a : a + STEP] for a in at)
-                out.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["id", "raw", "label"])
-
-    got = rows.select("id", "text", F.col("_label").cast("int").alias("label")).mapInArrow(tidy(trim), T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("raw", T.BinaryType()), T.StructField("label", T.IntegerType())])).collect()
+    got = rows.select("id", F.col("text").cast("binary").alias("raw"), F.col("_label").cast("int").alias("label")).orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample).collect()
     got.sort(key=lambda r: (str(r.id), bytes(r.raw)))
     return train([bytes(r.raw) for r in got], np.array([r.label for r in got], np.float32))
 
