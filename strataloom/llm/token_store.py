@@ -64,7 +64,7 @@ PART_BYTES = 16 << 20
 CACHED_WORDS = 900_000
 RESTING_WORDS = 500_000
 #: Bytes of text that are cut into words at once.
-STRETCH = 4 << 20
+STRETCH = 2 << 20
 BROADCAST_ROWS = 1_000_000
 #: Bytes that a pre-tokenizer always parts from a letter before them, and what the encoder holds for an odd word.
 MARKS = np.isin(np.arange(256), list(b".,;:!?$#*&%"))
@@ -91,12 +91,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        before = spec.get("pre_tokenizer") or {}
+        before = self.tokenizer.pre_tokenizer
+        before = json.loads(before.__getstate__()) if before is not None else {}
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        added = [x["content"] for x in spec.get("added_tokens", [])]
-        loose = [x for x in spec.get("added_tokens", []) if any(c.isspace() for c in x["content"]) or x.get("lstrip") or x.get("rstrip") or x.get("single_word")]
-        self.by_word = plain and not spec.get("normalizer") and not loose and not spec.get("truncation") and not spec.get("padding")
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        added = [x.content for x in tokens]
+        loose = [x for x in tokens if any(c.isspace() for c in x.content) or x.lstrip or x.rstrip or x.single_word]
+        self.by_word = plain and self.tokenizer.normalizer is None and not loose and not self.tokenizer.truncation and not self.tokenizer.padding
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.odd = re.compile("|".join([r"(?<![^\n ])[^\S\n ]|[^\S\n](?![^\n])", *map(re.escape, added)]))
         self.marks = MARKS & ~np.isin(np.arange(256), list("".join(added).encode()))
