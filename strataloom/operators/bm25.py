@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.tables import B, K1, LENGTH_FLOOR, MIN_SCORE, TOP_K
+from strataloom.sources.shared import write_out
 
 BROADCAST_TERMS = 1_000_000
 
@@ -31,7 +32,8 @@ def scores(queries: DataFrame, counts: DataFrame, *, query: str, doc: str) -> Da
     Only the document terms that some query holds are joined. The terms of the
     queries are broadcast if their number is within a limit.
     """
-    asked = queries.groupBy(query, "token").agg(F.count("*").alias("times"))
+    asked = write_out(queries.groupBy(query, "token").agg(F.count("*").alias("times")), "asked")
+    counts = write_out(counts, "counts")  # read three times: for the hits, their frequencies and the corpus
     terms = asked.select("token").distinct()
     wanted = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
     hits = counts.join(wanted, "token", "left_semi")

@@ -148,6 +148,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, *, by: str = "seed_set") -> Dat
     Mass at nodes without outgoing weight returns through the seeds; a seed
     outside the graph has a rank; a set whose weights sum to nothing is all 0.
     """
+    edges = write_out(edges, "edges")
     return _rank_by_arrays(edges, seeds, by) if edges.count() <= ARRAY_EDGES else _rank_by_joins(edges, seeds, by)
 
 

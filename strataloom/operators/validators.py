@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -79,21 +80,39 @@ def merge_cited(groups: DataFrame, cited: DataFrame) -> DataFrame:
     return first.join(used, "group", "left").select("group", F.coalesce("docs", "first").alias("docs"), F.when(F.col("_m") == 1, "mechanical").otherwise("bm25").alias("source"))
 
 
-def annotate(requests: DataFrame, complete: Callable[[str], str], *, retries: int = 5) -> DataFrame:
-    """requests(batch, prompt) -> (batch, body) by a completion function; concurrency follows the partitions. Failed calls are tried again, then give a null body."""
+class Refused(Exception):
+    """A completion call that may be tried again (429, 502, 503, 504 or an error body), after `wait` seconds if the service named them."""
+
+    def __init__(self, wait: float | None = None):
+        super().__init__("the service is busy")
+        self.wait = wait
+
+
+def annotate(requests: DataFrame, complete: Callable[[str], str], *, retries: int = 5, most_wait: float = 60.0, at_once: int = 10, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """requests(batch, prompt) -> (batch, body, error) by a completion function.
+
+    At most `at_once` calls run at a time: one for each of so many partitions.
+    A Refused or OSError is tried again up to `retries` times after the named
+    time or 2**n seconds, `most_wait` at most; then the body is null and the
+    error says why. Any other exception fails the job.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out, errors = [], []
             for prompt in pdf.prompt:
-                body = None
-                for _ in range(retries):
+                body, error = None, None
+                for n in range(retries + 1):
                     try:
-                        body = complete(prompt)
+                        body, error = complete(prompt), None
                         break
-                    except OSError:
-                        continue
+                    except (Refused, OSError) as x:
+                        error = f"{type(x).__name__}: {x}"
+                        if n < retries:
+                            wait = getattr(x, "wait", None)
+                            sleep(min(most_wait, 2.0**n if wait is None else wait))
                 out.append(body)
-            yield pd.DataFrame({"batch": pdf.batch, "body": out})
+                errors.append(error)
+            yield pd.DataFrame({"batch": pdf.batch, "body": out, "error": errors})
 
-    return requests.select("batch", "prompt").mapInPandas(run, f"batch {requests.schema['batch'].dataType.simpleString()}, body string")
+    return requests.select("batch", "prompt").coalesce(at_once).mapInPandas(run, f"batch {requests.schema['batch'].dataType.simpleString()}, body string, error string")

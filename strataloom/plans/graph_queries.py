@@ -30,8 +30,7 @@ def residual_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_dump(spark: SparkSession, d: str) -> DataFrame:
-    e = graph(spark, d).filter("src like 'n%' or dst like 'n%'")
-    return g.in_order(e).select("src", "dst", "kind", "ord")
+    return g.in_order(graph(spark, d)).select("src", "dst", "kind", "ord")
 
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +138,7 @@ SQL = {
     "edge_counts": f"with {GRAPH_SQL} select kind, count(*) as n, round(sum(w), 6) as total_w from graph group by kind",
     "out_weight": f"with {GRAPH_SQL} select src, round(sum(w), 6) as out_w from graph group by src",
     "residual_references": f"with {GRAPH_SQL}, r as (select 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem union select dst, src from contains union select 'c' || l_suppkey, 'p' || l_partkey from lineitem) select src, dst from r where not exists (select 1 from graph where graph.src = r.src and graph.dst = r.dst)",
-    "graph_dump": f"with {GRAPH_SQL} select src, dst, kind, case kind when 'ContainsMember' then 0 when 'Calls' then 3 when 'References' then 4 else 5 end as ord from graph where src like 'n%' or dst like 'n%'",
+    "graph_dump": f"with {GRAPH_SQL} select src, dst, kind, case kind when 'ContainsMember' then 0 when 'Calls' then 3 when 'References' then 4 else 5 end as ord from graph",
     "ppr_nation_seed": f"with recursive {_PPR_SQL} select node, round(rank, 6) as rank from rounds where k = 30 and (node like 'n%' or node like 'c%' or node like 's%')",
     "reachability": "select 'r' || n_regionkey as root, kind, count(*) as n from (select n_regionkey, 'r' as kind from (select r_regionkey as n_regionkey from region) union all select n_regionkey, 'n' from nation union all select n_regionkey, 'c' from customer join nation on c_nationkey = n_nationkey union all select n_regionkey, 'o' from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey) group by 1, 2",
     "ancestry": "select 'c' || c_custkey as src, 'n' || c_nationkey as dst from customer union select 'n' || n_nationkey, 'r' || n_regionkey from nation union select 'c' || c_custkey, 'r' || n_regionkey from customer join nation on c_nationkey = n_nationkey",

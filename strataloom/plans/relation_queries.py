@@ -105,8 +105,9 @@ def _suppliers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interface_single_impl(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _suppliers(spark, d).filter("n_regionkey = 1").select("l_partkey", "l_suppkey")
-    return r.single_implementation(pairs, base="l_partkey", impl="l_suppkey")
+    """A part's interface in a region with exactly one supplier there."""
+    pairs = _suppliers(spark, d).select((F.col("l_partkey") * 10 + F.col("n_regionkey")).alias("base"), "l_suppkey")
+    return r.single_implementation(pairs, base="base", impl="l_suppkey")
 
 
 def call_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -131,9 +132,9 @@ def member_features_first_only(spark: SparkSession, d: str) -> DataFrame:
 def requirements_for_topic(spark: SparkSession, d: str) -> DataFrame:
     """Union of three paths from a customer to parts, distinct."""
     o, li, p = (read(spark, d, x) for x in ("orders", "lineitem", "part"))
-    bought = o.filter("o_custkey <= 20").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("topic"), F.col("l_partkey").alias("requirement"))
-    section = read(spark, d, "customer").filter("c_custkey <= 20").join(p, F.col("c_nationkey") == F.col("p_size")).select(F.col("c_custkey").alias("topic"), F.col("p_partkey").alias("requirement"))
-    member = p.filter("p_partkey <= 20").select(F.col("p_partkey").alias("topic"), F.col("p_partkey").alias("requirement"))
+    bought = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("topic"), F.col("l_partkey").alias("requirement"))
+    section = read(spark, d, "customer").join(p, (F.col("c_nationkey") == F.col("p_size")) & (F.col("c_custkey") % 20 == F.col("p_partkey") % 20)).select(F.col("c_custkey").alias("topic"), F.col("p_partkey").alias("requirement"))
+    member = p.select(F.col("p_partkey").alias("topic"), F.col("p_partkey").alias("requirement"))
     return bought.unionByName(section).unionByName(member).distinct()
 
 
@@ -173,7 +174,7 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
 
 def set_intersection(spark: SparkSession, d: str) -> DataFrame:
     """Shared parts of two suppliers of one nation."""
-    sp = _suppliers(spark, d).filter("n_nationkey < 5").select("n_nationkey", "l_suppkey", "l_partkey")
+    sp = _suppliers(spark, d).select("n_nationkey", "l_suppkey", "l_partkey")
     b = sp.select("n_nationkey", F.col("l_suppkey").alias("other"), "l_partkey")
     return sp.join(b, ["n_nationkey", "l_partkey"]).filter("l_suppkey < other").groupBy("l_suppkey", "other").agg(F.count("*").alias("shared"))
 
@@ -264,7 +265,7 @@ def batch_label(spark: SparkSession, d: str) -> DataFrame:
 
 def report_order(spark: SparkSession, d: str) -> DataFrame:
     """Place of an id by its text and by its number: S10 before S2, and after it."""
-    ids = read(spark, d, "part").filter("p_partkey <= 300").select(F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("topic"))
+    ids = read(spark, d, "part").select(F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("topic"))
     return ids.select("topic", F.row_number().over(Window.orderBy("topic")).alias("by_text"), F.row_number().over(Window.orderBy(tp.topic_key(F.col("topic")))).alias("by_number"))
 
 
@@ -289,17 +290,17 @@ SQL = {
     "name_lookup": f"with {_NAMES_SQL}, asked as (select distinct (l_partkey % 97)::varchar as name from lineitem union select p_name from part), g as (select name, case when count(*) = 1 then min(topic) when count(*) filter (transitive is null) = 1 then min(topic) filter (transitive is null) end as topic from names group by name), q as (select p_brand || '.' || p_name as name, max(p_partkey) as topic from part group by all) select a.name, coalesce(p.p_partkey, q.topic, g.topic) as topic from asked a left join part p on a.name = p.p_partkey::varchar left join q on a.name = q.name left join g on a.name = g.name",
     "proxy_resolution": "select distinct l_orderkey, case when l_partkey % 3 = 0 then l_partkey - 1 else l_partkey end as callee from lineitem",
     "interface_mapping": f"with {_NAMES_SQL} select a.topic, a.name, b.topic as target, b.name as target_name from names a join names b on a.transitive = b.topic",
-    "interface_single_impl": f"with {_SUPPLIERS_SQL} select l_partkey, min(l_suppkey) as l_suppkey from sup where n_regionkey = 1 group by l_partkey having count(distinct l_suppkey) = 1",
+    "interface_single_impl": f"with {_SUPPLIERS_SQL} select l_partkey * 10 + n_regionkey as base, min(l_suppkey) as l_suppkey from sup group by 1 having count(distinct l_suppkey) = 1",
     "call_edges": "with c as (select distinct l_suppkey as caller, case when (l_partkey % 100 + 1) % 10 = 0 and exists (select 1 from supplier where s_suppkey = l_partkey % 100 + 1) then l_partkey % 100 else l_partkey % 100 + 1 end as callee from lineitem where l_returnflag <> 'R'), s as (select s_suppkey from supplier where s_nationkey % 2 = 0) select distinct callee, caller from c where caller <> callee and caller in (select * from s) and callee in (select * from s)",
     "reverse_index_counts": "with x as (select distinct l_suppkey, l_partkey from lineitem) select l_suppkey, count(*) as n, array_to_string(list_sort(list(l_partkey))[1:5], ',') as first_five from x group by l_suppkey",
     "member_features_first_only": "with f as (select l_suppkey, l_partkey, min(l_linenumber) as l_linenumber from lineitem group by 1, 2) select l_suppkey, l_linenumber, count(*) as n_requirements, min(l_partkey) as first_requirement from f group by 1, 2",
-    "requirements_for_topic": "select o_custkey as topic, l_partkey as requirement from orders join lineitem on o_orderkey = l_orderkey where o_custkey <= 20 union select c_custkey, p_partkey from customer join part on c_nationkey = p_size where c_custkey <= 20 union select p_partkey, p_partkey from part where p_partkey <= 20",
+    "requirements_for_topic": "select o_custkey as topic, l_partkey as requirement from orders join lineitem on o_orderkey = l_orderkey union select c_custkey, p_partkey from customer join part on c_nationkey = p_size and c_custkey % 20 = p_partkey % 20 union select p_partkey, p_partkey from part",
     "invalidated_findings": "with i as (select l_orderkey * 10 + l_linenumber as invariant, min(case when l_linenumber <> 3 then l_orderkey end) as threat, min(case l_returnflag when 'R' then 'absent' when 'A' then 'partial' else 'present' end) as verdict from lineitem group by 1), t as (select o_orderkey as threat, o_custkey as condition, ['low','medium','high','critical','odd'][o_orderpriority[1]::int] as severity from orders where o_orderkey % 4 <> 0) select invariant, verdict, coalesce(severity, 'pending') as severity, case severity when 'critical' then 3 when 'high' then 2 when 'medium' then 1 when 'low' then 0 else -1 end as severity_rank, c_name as subject from i left join t using (threat) left join customer on condition = c_custkey where verdict in ('absent', 'partial')",
     "coverage_missing_extra": "(select c_custkey as topic, 'missing' as side from customer except select o_custkey + 50, 'missing' from orders) union all (select o_custkey + 50, 'extra' from orders except select c_custkey, 'extra' from customer)",
     "subsumption_antijoin": f"with t as (select * from {_TREE_SQL}), refs as (select c_mktsegment, 'c' || c_custkey as ref, ['n' || n_nationkey, 'r' || r_regionkey] as above from t where c_custkey % 5 < 2 union all select distinct c_mktsegment, 'n' || n_nationkey, ['r' || r_regionkey] from t where n_nationkey % 3 = 0) select c_mktsegment, ref from refs a where not exists (select 1 from refs b where a.c_mktsegment = b.c_mktsegment and list_contains(a.above, b.ref))",
     "priority_union": "with a as (select distinct o_custkey as section, o_orderkey % 50 as member from orders), b as (select distinct l_orderkey % 300 as section, l_partkey % 50 as member from lineitem) select *, 'mechanical' as source from a union all select *, 'bm25' from (select * from b except select * from a)",
     "set_difference": "select c_custkey as k from customer except select o_custkey from orders",
-    "set_intersection": f"with {_SUPPLIERS_SQL}, s as (select * from sup where n_nationkey < 5) select a.l_suppkey, b.l_suppkey as other, count(*) as shared from s a join s b using (n_nationkey, l_partkey) where a.l_suppkey < b.l_suppkey group by 1, 2",
+    "set_intersection": f"with {_SUPPLIERS_SQL} select a.l_suppkey, b.l_suppkey as other, count(*) as shared from sup a join sup b using (n_nationkey, l_partkey) where a.l_suppkey < b.l_suppkey group by 1, 2",
     "first_wins_validator": "with a as (select event_id, user_id, json_extract(props, '$.k')::int as subject from events where props is not null) select event_id, user_id, subject from a where subject is not null and subject % 9 <> 0 qualify row_number() over (partition by user_id, subject order by event_id) = 1",
     "threats_xor_rationale": "with o as (select o_orderstatus <> 'F' as t, starts_with(o_orderpriority, '1') as r from orders) select case when t and r then 'both' when not t and not r then 'neither' else 'valid' end as state, count(*) as n from o group by 1",
     "rank_with_runner_up": "with s as (select o_custkey, o_orderpriority, sum(floor(o_totalprice)::bigint)::double as score from orders group by 1, 2), w as (select *, row_number() over (partition by o_custkey order by score desc, o_orderpriority) as k, coalesce(lead(score) over (partition by o_custkey order by score desc, o_orderpriority), 0.0) as runner_up from s) select o_custkey, o_orderpriority, score, runner_up, score > 0 and score / (score + runner_up) >= 0.65 as chosen from w where k = 1",
@@ -316,5 +317,5 @@ SQL = {
     "conversation_entries": f"with {COMMENTS_SQL} select audit_id, comment_id, row_number() over (partition by audit_id order by case comment_type when 'info' then 0 when 'question' then 1 else 2 end, created_at)::int as entry from comments where status <> 'hidden'",
     "notes_joined": "select p_brand, md5(string_agg('- ' || p_name, chr(10) order by p_partkey)) as notes_md5 from part group by p_brand",
     "batch_label": "select s_nationkey, arg_min(s_name, s_suppkey) || case when count(*) > 1 then ' +' || (count(*) - 1) else '' end as label from supplier group by s_nationkey",
-    "report_order": "select 'S' || p_partkey as topic, row_number() over (order by 'S' || p_partkey)::int as by_text, row_number() over (order by p_partkey)::int as by_number from part where p_partkey <= 300",
+    "report_order": "select 'S' || p_partkey as topic, row_number() over (order by 'S' || p_partkey)::int as by_text, row_number() over (order by p_partkey)::int as by_number from part",
 }

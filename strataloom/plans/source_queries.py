@@ -23,7 +23,7 @@ def doc_comments(spark: SparkSession, d: str) -> DataFrame:
 
 def syntax_nodes(spark: SparkSession, d: str) -> DataFrame:
     """A tree for each order: a unit with one call for each line item."""
-    li = read(spark, d, "lineitem").filter("l_orderkey % 50 = 0")
+    li = read(spark, d, "lineitem")
     item = F.struct((F.col("l_orderkey") * 100 + F.col("l_partkey") + 1000000).alias("id"), F.lit("FunctionCall").alias("nodeType"), F.struct(F.lit("Identifier").alias("nodeType"), F.col("l_partkey").alias("referencedDeclaration")).alias("expression"))
     tree = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("nodes")).select(F.col("l_orderkey").cast("string").alias("file"), F.to_json(F.struct(F.col("l_orderkey").alias("id"), F.lit("SourceUnit").alias("nodeType"), "nodes")).alias("json"))
     return syntax.flatten(tree).groupBy("file", "kind").agg(F.count("*").alias("n"), F.max(F.size("path")).alias("depth"), F.sum("refers_to").alias("refs"))
@@ -41,7 +41,7 @@ def verdict_validator(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     schema = read(spark, d, "events").schema
-    out = st.drain(st.windowed_counts(st.open_stream(spark, d, "events.parquet", schema), late="60 days"), "windows")
+    out = st.drain_updates(st.windowed_counts(st.open_stream(spark, d, "events.parquet", schema), late="60 days"), "windows", ["window", "event_type"])
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -64,7 +64,7 @@ SQL = {
     "markdown_blocks": r"""with l as (select unnest(string_split('# Title' || chr(10) || '- item' || chr(10) || '> said' || chr(10) || '```' || chr(10) || '---' || chr(10) || chr(10) || '## Sub' || chr(10) || text, chr(10))) as line from conversations), k as (select line, length(regexp_extract(line, '^(#{1,6})\s', 1)) as level from l)
       select case when regexp_matches(line, '^\s*```') then 'fence' when level > 0 then 'heading' when regexp_matches(line, '^\s*([-*+]|\d+\.)\s') then 'item' when regexp_matches(line, '^\s*>') then 'quote' when regexp_matches(line, '^\s*(-{3,}|\*{3,}|_{3,})\s*$') then 'rule' when trim(line) = '' then 'blank' else 'paragraph' end as kind, case when level > 0 then level::int end as level, count(*) as n from k group by 1, 2""",
     "doc_comments": "select p_partkey, unnest(['untagged', 'notice', 'param']) as tag, unnest([p_name, 'about ' || p_brand || ' more', 'a ' || p_type]) as text from part",
-    "syntax_nodes": "with li as (select * from lineitem where l_orderkey % 50 = 0), n as (select l_orderkey, count(*) as n, sum(l_partkey)::bigint as refs from li group by 1) select l_orderkey::varchar as file, 'SourceUnit' as kind, 1::bigint as n, 0 as depth, null::bigint as refs from n union all select l_orderkey::varchar, 'FunctionCall', n, 1, null from n union all select l_orderkey::varchar, 'Identifier', n, 2, refs from n",
+    "syntax_nodes": "with li as (select * from lineitem), n as (select l_orderkey, count(*) as n, sum(l_partkey)::bigint as refs from li group by 1) select l_orderkey::varchar as file, 'SourceUnit' as kind, 1::bigint as n, 0 as depth, null::bigint as refs from n union all select l_orderkey::varchar, 'FunctionCall', n, 1, null from n union all select l_orderkey::varchar, 'Identifier', n, 2, refs from n",
     "stream_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "stream_sessions": "with g as (select *, case when epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts) >= 21600 then 1 else 0 end as new from events), s as (select user_id, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from g), c as (select user_id, s, count(*) as n from s group by 1, 2) select user_id, count(*) as n_sessions, max(n) as longest from c group by 1",
     "status_upsert": "with c as (select conv_id * 1000 + turn as comment_id, case when (conv_id * 1000 + turn) % 7 = 0 then 'hidden' else 'active' end as status, 0::bigint as a from conversations union all select event_id % 100 * 1000, case when event_id % 2 = 0 then 'hidden' else 'resolved' end, event_id + 1 from events where event_type = 'view') select comment_id, arg_max(status, a) as status from c group by comment_id",

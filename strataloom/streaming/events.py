@@ -15,7 +15,7 @@ def open_stream(spark: SparkSession, folder: str, pattern: str, schema) -> DataF
 
 
 def windowed_counts(events: DataFrame, *, size: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Tumbling counts and sums by event type; later rows than the watermark are dropped."""
+    """Tumbling counts and sums by event type; rows later than the watermark are dropped, unless the stream runs in complete mode."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
@@ -25,14 +25,36 @@ def session_counts(events: DataFrame, *, gap: str = "6 hours", late: str = "1 da
     return timed.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return its last result, kept in the shared folder."""
+def _run(stream: DataFrame, name: str, mode: str) -> tuple[str, list[int]]:
+    """Run a stream over all that is there: (folder of the outputs, batches that have one)."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/strataloom-stream-{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/{n}")).start()
-    query.awaitTermination()
-    last = max(p["batchId"] for p in query.recentProgress)
-    return spark.read.schema(stream.schema).parquet(f"{base}/out/{last}")
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/{n}")).start().awaitTermination()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return f"{base}/out", sorted(int(x.getPath().getName()) for x in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """The last result of a stream over all that is there, kept in the shared folder; nothing arrived: no rows."""
+    out, batches = _run(stream, name, mode)
+    read = stream.sparkSession.read.schema(stream.schema)
+    return read.parquet(f"{out}/{batches[-1]}") if batches else stream.sparkSession.createDataFrame([], stream.schema)
+
+
+def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """The state of a stream that was run in update mode: the last update of each key.
+
+    The watermark works here: rows that are later are dropped, and the state of
+    windows that it has passed is let go.
+    """
+    out, batches = _run(stream, name, "update")
+    spark = stream.sparkSession
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema).parquet(*(f"{out}/{n}" for n in batches)).withColumn("_n", F.regexp_extract(F.input_file_name(), r"/out/(\d+)/", 1).cast("long"))
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_n").alias("_v")).select(*keys, "_v.*")
 
 
 def upsert_latest(stored: DataFrame, batch: DataFrame, keys: list[str], at: str) -> DataFrame:

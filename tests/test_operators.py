@@ -167,3 +167,47 @@ def test_stream_pieces(spark):
 def test_annotator(spark):
     df = spark.createDataFrame([(1, "p")], "batch int, prompt string")
     assert validators.annotate(df, str.upper).first().body == "P"
+
+
+def test_annotate_waits_and_gives_up(spark):
+    from strataloom.operators import validators
+
+    def busy(prompt):
+        raise validators.Refused(3.0)
+
+    row = validators.annotate(spark.createDataFrame([(1, "p")], "batch long, prompt string"), busy, retries=2, sleep=lambda s: None).first()
+    assert row.body is None and row.error.startswith("Refused")
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """Four files in order of time, a batch each: the last one holds a row that is later than the watermark of the batch before."""
+    import datetime as dt
+
+    from strataloom.streaming import events as st
+
+    schema = "ts timestamp, event_type string, value double"
+    day = lambda n, h=0: dt.datetime(2024, 1, n, h)
+    for k, rows in enumerate([[(day(1, 1), "a", 1.0)], [(day(9), "a", 2.0)], [(day(9, 2), "a", 16.0)], [(day(1, 2), "a", 4.0), (day(9, 1), "a", 8.0)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/x{k}")
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        next((tmp_path / f"x{k}").glob("part-*.parquet")).rename(tmp_path / "in" / f"{k}.parquet")
+        import os
+
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {r.window.start.day: (r.n, r.total) for r in st.drain_updates(st.windowed_counts(stream), "late", ["window", "event_type"]).collect()}
+    assert got == {1: (1, 1.0), 9: (3, 26.0)}
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema(schema).parquet(f"{tmp_path}/none")
+    assert st.drain_updates(st.windowed_counts(empty), "empty", ["window", "event_type"]).collect() == []
+
+
+def test_function_edges_cover(spark):
+    """A direct write covers an effective one, a call covers a reference, loops and unnamed ends go."""
+    from strataloom.operators import edges
+
+    topics = spark.createDataFrame([(t,) for t in "fgvwe"], "topic string")
+    rows = [("f", "call", "g"), ("f", "call", "f"), ("f", "write", "v"), ("f", "effective_write", "v"), ("f", "effective_write", "w"), ("f", "reference", "g"), ("f", "reference", "w"), ("f", "reference", "e"), ("f", "event", "x")]
+    got = {(r.src, r.dst, r.kind) for r in edges.function_edges(spark.createDataFrame(rows, "fn string, stage string, target string"), topics).collect()}
+    assert got == {("f", "g", "Calls"), ("f", "v", "WritesState"), ("f", "w", "WritesState"), ("f", "e", "References")}
