@@ -390,6 +390,9 @@ class _ChunkMinima:
         return out
 
 
+#: Levels of recursion over names up to the next leftmost S suffix; below them a thirtieth or less of the text is left,
+#: which is named by the first `depth` bytes.
+LEVELS = 2
 #: Steps of induction that are put into one chunk; where a chain is longer, the chunk gets shorter.
 STEPS = 48
 
@@ -564,12 +567,13 @@ def _induce(text: Symbols, base: Symbols, origin: np.ndarray | None, weights, to
 # --- leftmost S suffixes -------------------------------------------------------------------------
 
 
-def _leftmost(text: Symbols, cap: int) -> tuple[Scratch, Scratch, int]:
+def _leftmost(text: Symbols, cap: int, whole: bool) -> tuple[Scratch, Scratch, int]:
     """Places of leftmost S suffixes and symbols of each that name it, in descending order, and the largest symbol.
 
     A name covers the substring up to the next leftmost S suffix, that one's run
     of equal symbols and the symbol behind the run, so no name is the beginning
-    of another; beyond `cap` symbols it is cut.
+    of another; beyond `cap` symbols it is cut. With `whole` every name has `cap`
+    symbols.
     """
     places, sizes = Scratch("i8"), Scratch("i8")
     top, following_small, run, edge = 0, True, 1, text.n
@@ -603,7 +607,7 @@ def _leftmost(text: Symbols, cap: int) -> tuple[Scratch, Scratch, int]:
             nexts = np.append((found + lengths + 1)[1:], star_end)
             if found[-1] == b:  # decided now, with the run that was seen in the block behind
                 nexts[-1] = star_end
-            size = np.minimum(np.minimum(nexts - found, cap), text.n + 1 - found)
+            size = np.minimum(np.minimum(cap if whole else nexts - found, cap), text.n + 1 - found)
             places.append(found[::-1])
             sizes.append(size[::-1])
             star_end = int(found[0] + lengths[0] + 1)
@@ -729,7 +733,8 @@ def descending(text: Symbols, depth: int, *, items: int | None = None, base: Sym
         return
     base = base or text
     cap = -(-depth // (1 << level)) + 1
-    places, sizes, top = _leftmost(text, cap)
+    last = level >= LEVELS or 2 << level >= depth  # names of `depth` bytes, which need no further recursion
+    places, sizes, top = _leftmost(text, cap, last)
     m = places.n
     low = TupleQueue(items)
     end = np.zeros((1, 4), np.uint64)
@@ -738,7 +743,7 @@ def descending(text: Symbols, depth: int, *, items: int | None = None, base: Sym
     if m:
         star = _Star(places.view())
         order, names, count = _name(text, places.view(), sizes.view(), m, items)
-        if count == m or 2 << level >= depth:
+        if count == m or last:
             low.add_run(_Sorted(order, text, base, origin, star, depth))
         else:
             order.close()

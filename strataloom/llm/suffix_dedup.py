@@ -400,6 +400,10 @@ class Shard:
         starts, lows = self.starts.view(), self.lows.view()
         out = zeros("<u4", self.text.n)
         ends = np.append(starts[1:], self.text.n)
+        owner = zeros("<u4", self.text.n)
+        for i in range(0, len(starts), 1 << 18):
+            j = min(len(starts), i + (1 << 18))
+            owner[starts[i] : ends[j - 1]] = np.repeat(np.arange(i, j, dtype=np.uint32), np.diff(np.append(starts[i:j], ends[j - 1])))
         held: list[np.ndarray] = []
         prefix_left = 255
 
@@ -409,7 +413,7 @@ class Shard:
             many = np.bincount(group)[group] > 1
             place, group = place[many], group[many]
             if len(place):
-                frag = np.searchsorted(starts, place, "right") - 1
+                frag = owner[place]
                 low = np.asarray(lows[frag])
                 by = np.lexsort((low, group))
                 head = by[np.flatnonzero(np.concatenate([[True], group[by][1:] != group[by][:-1]]))]
@@ -419,7 +423,7 @@ class Shard:
 
         for rows, prefix in descending(self.text.finish(), self.length, items=self.items):
             place = rows[:, 1].astype(np.int64)
-            frag = np.searchsorted(starts, place, "right") - 1
+            frag = owner[place]
             window = np.flatnonzero(ends[frag] - 1 - place >= self.length)
             if not len(window):
                 prefix_left = min(prefix_left, int(prefix.min()))
