@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame; all but the last return the columns of documents.
 Between the stages run() writes to the shared folder, so a lost executor costs
 one stage's tasks at most.
+
+Cases, for every stage: a null text is empty; a null id is a row of its own and
+never the one that stays of a group that has ids; repeated rows are rows of
+their own, but near-dedup keeps one of those that agree in id and text; ties are
+broken by the least id; very long texts are read whole; an empty table gives an
+empty table; columns beyond those of documents are kept as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from strataloom.llm.session import materialize
 
 
 #: Fewer cached pieces than the operator's default: workers here also carry what earlier stages loaded.
-CACHED_PIECES = 150_000
+CACHED_PIECES = 100_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
