@@ -23,6 +23,8 @@ the seed and the source only: reruns agree.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,12 +106,15 @@ def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", limit: int = 1_000_00
     if total == ids:
         side = drawn.filter("_copies > 0")
         out = docs.join(F.broadcast(side) if total <= limit else side, docs[id_col] == side["_id"])
-    else:  # repeated ids: the k-th row of an id takes the k-th count
-        k = lambda *by: F.row_number().over(Window.partitionBy(*by[:1]).orderBy(*by[1:]))
-        side = drawn.withColumn("_k", k("_id", "_size", "_copies")).filter("_copies > 0").drop("_size")
-        numbered = docs.withColumn("_k", k(id_col, word_count(F.col(names.get("text_col", "text"))), F.xxhash64(*docs.columns)))
-        out = numbered.join(side, numbered[id_col].eqNullSafe(side["_id"]) & (numbered["_k"] == side["_k"]))
-    return out.select(*[docs[c] if total == ids else numbered[c] for c in docs.columns], again.alias("_again")).drop("_again")
+    else:  # repeated or missing ids: of the rows with one id and size the k-th takes the k-th count
+        size, place = (f"_mix_{x}_{uuid.uuid4().hex}" for x in ("size", "place"))
+        side = drawn.withColumn(place, F.row_number().over(Window.partitionBy("_id", "_size").orderBy("_copies"))).filter("_copies > 0")
+        sized = docs.withColumn(size, word_count(F.col(names.get("text_col", "text"))))
+        numbered = sized.withColumn(place, F.row_number().over(Window.partitionBy(id_col, size).orderBy(F.xxhash64(*docs.columns))))
+        out = numbered.join(side, numbered[id_col].eqNullSafe(side["_id"]) & (numbered[size] == side["_size"]) & (numbered[place] == side[place]))
+    kept = [(docs if total == ids else numbered)[c] for c in docs.columns]
+    extra = f"_mix_{uuid.uuid4().hex}"
+    return out.select(*kept, again.alias(extra)).drop(extra)
 
 
 MIX_SQL = r"""

@@ -58,8 +58,8 @@ DICTIONARY_BYTES = 64 << 10
 #: Documents whose ids train the dictionary, and the bytes that each gives at most (from a place that its id decides).
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_BYTES = 16 << 10
-SHARD_BYTES = 4 << 20
-PART_BYTES = 16 << 20
+SHARD_BYTES = 1 << 20
+PART_BYTES = 8 << 20
 #: Words that a worker keeps at most while it encodes and between tasks; beyond that the older half goes.
 CACHED_WORDS = 900_000
 RESTING_WORDS = 500_000
