@@ -22,7 +22,7 @@ from strataloom.llm.session import materialize
 
 
 #: Fewer cached pieces than the operator's default: workers here also carry what earlier stages loaded.
-CACHED_PIECES = 100_000
+CACHED_PIECES = 50_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
