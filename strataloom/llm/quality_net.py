@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from strataloom.llm.session import spread, tidy
 from strataloom.llm.textkernel import text_bytes
 
-SAMPLE = 1500
-EPOCHS = 12
+SAMPLE = 600
+EPOCHS = 10
 CHUNK = 512
 STEP = 448  # neighbours share 64 bytes
 EMBED = 6
