@@ -78,7 +78,9 @@ def severity_rank(c: Column) -> Column:
 
 def status_of(c: Column) -> Column:
     """Comment status: unknown ones are active."""
-    return F.when(c.isin("active", "hidden", "resolved"), c).otherwise("active")
+    from strataloom.functions.code import comment_status_of
+
+    return comment_status_of(c)
 
 
 def author_of(id_: Column, system: dict[int, str]) -> Column:

@@ -61,3 +61,12 @@ def dump(views: dict[str, DataFrame], kinds: list[str], path: str) -> list[str]:
     for n in names:
         views[n].write.mode("overwrite").json(f"{path}/{n}")
     return names
+
+
+def append_log(rows: DataFrame, folder: str) -> None:
+    """Rows as JSON lines, after those that the log folder already holds; a retried task adds none twice."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(folder)
+
+
+def read_log(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(folder)
