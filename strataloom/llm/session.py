@@ -49,7 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20)
 
 
 def spread(df: DataFrame) -> DataFrame:
