@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import chat, decontaminate, language_id, license_scan, minhash, mixing, quality_net, quality_rules, suffix_dedup, token_store
+from strataloom.llm import bpe, chat, decontaminate, language_id, license_scan, minhash, mixing, quality_net, quality_rules, runs, suffix_dedup, token_store, trie
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +71,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_classifier, op3_minhash, op4_language_id, op5_decontamination, op6_mixing, op7_suffix_dedup, op8_token_ids, op9_quality_rules, op10_license_scan)}
-SQL: dict[str, str] = {"op1_chat_format": chat.DIGEST_SQL, "op5_decontamination": decontaminate.CONTAMINATED_SQL, "op6_mixing": mixing.MIX_SQL}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each behind the first turns of its hundred's first conversation."""
+    return trie.trie_of(trie.shared_heads(trie.sequences(_read(spark, sf_dir, "conversations"))))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of all documents, a tenth of which repeat a stretch of their own words, and the texts with runs collapsed."""
+    return runs.digest(runs.find_runs(runs.with_repeats(_read(spark, sf_dir, "documents"))))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents by ranks of adjacent parts, and the texts that they decode to."""
+    import public_tokenizers
+
+    return bpe.digest(bpe.encode_decode(_read(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_classifier, op3_minhash, op4_language_id, op5_decontamination, op6_mixing, op7_suffix_dedup, op8_token_ids, op9_quality_rules, op10_license_scan, op11_prefix_trie, op12_periodic_runs, op13_bpe)}
+SQL: dict[str, str] = {"op1_chat_format": chat.DIGEST_SQL, "op5_decontamination": decontaminate.CONTAMINATED_SQL, "op6_mixing": mixing.MIX_SQL, "op11_prefix_trie": trie.TRIE_SQL}
