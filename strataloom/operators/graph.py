@@ -1,26 +1,36 @@
 """Typed weighted graphs: edges, personalized PageRank, closure, components, layers and batches.
 
 Edges are rows (src, dst, kind, w). Loops over rounds cut their plan by a
-written table each round; small graphs (a checked number of edges) are solved
-by compressed arrays inside one task for each seed set instead.
+written table each round. Where a graph's counted edges fit a task, tasks take
+blocks of columns (seed sets, targets) with a copy of the edges each, or weakly
+connected parts of the graph.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from strataloom.functions.tables import BATCH_SIZE, DAMPING, EDGE_KINDS, ROUNDS
 from strataloom.sources.shared import write_out
 
 #: Above this many edges PageRank runs as joins.
-ARRAY_EDGES = 2_000_000
-MAX_ROUNDS = 1000
+ARRAY_EDGES = 4_000_000
+#: Columns (seed sets or targets) of a block at most, and numbers in its matrix of nodes by columns.
+BLOCK_COLUMNS, BLOCK_CELLS = 64, 16 << 20
+#: Edges (and entries) of a weakly connected part that one task solves.
+PART_EDGES = 2_000_000
+#: Numbers that one step holds at once beside its matrices.
+CELLS = 1 << 20
 
 Extractor = Callable[[dict[str, DataFrame]], DataFrame]
 
@@ -92,44 +102,86 @@ def pagerank_arrays(src: np.ndarray, dst: np.ndarray, w: np.ndarray, seeds: dict
     return dict(zip(nodes, rank, strict=True))
 
 
-def _rank_by_arrays(edges: DataFrame, seeds: DataFrame, by: str) -> DataFrame:
-    rows = edges.groupBy("src", "dst").agg(F.sum("w").alias("w")).toPandas()  # at most ARRAY_EDGES rows
-    names = np.array(sorted(set(rows.src) | set(rows.dst)))
-    place = {n: i for i, n in enumerate(names.tolist())}
-    s, d, w = np.array([place[x] for x in rows.src], np.int64), np.array([place[x] for x in rows.dst], np.int64), rows.w.to_numpy(float)
-    out = np.bincount(s, w, len(names))
-    q = w / out[s] if len(s) else w
-    shared = edges.sparkSession.sparkContext.broadcast((names, s, d, q, out <= 0))
-    node_type = edges.schema["src"].dataType.simpleString()
-    by_type = seeds.schema[by].dataType.simpleString()
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        names, s, d, q, loose = shared.value
-        group = group.groupby("node", as_index=False).weight.sum()
-        total = group.weight.sum()
-        inside = np.searchsorted(names, group.node.to_numpy())
-        inside = np.where((inside < len(names)) & (names[np.minimum(inside, len(names) - 1)] == group.node.to_numpy()), inside, -1) if len(names) else np.full(len(group), -1)
-        extra = group.node.to_numpy()[inside < 0]
-        n = len(names) + len(extra)
-        at = inside.copy()
-        at[inside < 0] = len(names) + np.arange(len(extra))
-        restart = np.zeros(n)
-        if total > 0:
-            restart[at] = group.weight.to_numpy() / total
-        loose = np.concatenate([loose, np.ones(len(extra), bool)])
+def edge_flow(edges: DataFrame) -> DataFrame:
+    """(src, dst, q): parallel edges summed, q the share of the source's outgoing weight."""
+    flow = edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return flow.join(flow.groupBy("src").agg(F.sum("w").alias("out_w")), "src").select("src", "dst", (F.col("w") / F.col("out_w")).alias("q"))
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    whole = column.combine_chunks()
+    return whole if isinstance(whole, pa.Array) else pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], column.type)
+
+
+class _Arrays:
+    """One block's graph as arrays: names of the nodes, and rows of edges sorted by where they add up."""
+
+    def __init__(self, flow: pa.Table, more: pa.ChunkedArray, *, back: bool):
+        coded = _one(pa.chunked_array([*flow["src"].chunks, *flow["dst"].chunks, *more.chunks], more.type)).dictionary_encode()
+        self.names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        n = flow.num_rows
+        src, dst = code[:n], code[n : 2 * n]
+        self.more, self.size = code[2 * n :], len(self.names)
+        self.loose = np.ones(self.size, bool)
+        self.loose[src] = False
+        to, frm = (src, dst) if back else (dst, src)
+        order = np.argsort(to, kind="stable")
+        self.frm, self.q = frm[order], flow["q"].to_numpy()[order]
+        self.to, self.first = np.unique(to[order], return_index=True)
+
+    def step(self, x: np.ndarray) -> np.ndarray:
+        """The damped sum over the edges of the rows of x (nodes by columns)."""
+        out = np.zeros_like(x)
+        if not len(self.frm):
+            return out
+        rows = max(1, CELLS // x.shape[1])
+        for a in range(0, len(self.frm), rows):
+            b = min(len(self.frm), a + rows)
+            i, j = int(np.searchsorted(self.first, a, side="right")) - 1, int(np.searchsorted(self.first, b))
+            out[self.to[i:j]] += np.add.reduceat(x[self.frm[a:b]] * (DAMPING * self.q[a:b, None]), np.maximum(self.first[i:j], a) - a, axis=0)
+        return out
+
+
+def _spread_over(flow: DataFrame, blocks: int) -> DataFrame:
+    """A copy of the edges for each block of columns."""
+    return flow.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+
+def _blocks_of(columns: int, nodes: int) -> tuple[int, int]:
+    """(number of blocks, columns in each): a block's matrix of nodes by columns stays near BLOCK_CELLS."""
+    wide = max(1, min(BLOCK_COLUMNS, BLOCK_CELLS // max(1, nodes)))
+    return -(-columns // wide), wide
+
+
+def _rank_by_blocks(flow: DataFrame, nodes: int, seeds: DataFrame, by: str) -> DataFrame:
+    sets = seeds.groupBy(by).agg(F.sum("weight").alias("total"))
+    blocks, _ = _blocks_of(sets.count(), nodes)
+    rows = seeds.groupBy(by, "node").agg(F.sum("weight").alias("weight")).join(sets, by).select(F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int").alias("_block"), F.col(by).alias("_by"), "node", F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(0.0).alias("r"))
+    out = StructType([StructField("_by", seeds.schema[by].dataType), StructField("node", seeds.schema["node"].dataType), StructField("rank", DoubleType())])
+    by_type = to_arrow_type(seeds.schema[by].dataType)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows:
+            return to_arrow_schema(out).empty_table()
+        g = _Arrays(left, right["node"], back=False)
+        keys = _one(right["_by"]).dictionary_encode()
+        column = keys.indices.to_numpy(zero_copy_only=False)
+        restart = np.zeros((g.size, len(keys.dictionary)))
+        np.add.at(restart, (g.more, column), right["r"].to_numpy())
         rank = restart.copy()
         for _ in range(ROUNDS):
-            rank = (1 - DAMPING) * restart + DAMPING * (np.bincount(d, rank[s] * q, n) + rank[loose].sum() * restart)
-        return pd.DataFrame({by: key[0], "node": np.concatenate([names, extra]) if len(extra) else names, "rank": rank})
+            rank = g.step(rank) + (1 - DAMPING + DAMPING * rank[g.loose].sum(axis=0)) * restart
+        at, k = np.nonzero(rank + restart)
+        return pa.table({"_by": keys.dictionary.take(pa.array(k)).cast(by_type), "node": g.names.take(pa.array(at)), "rank": rank[at, k]})
 
-    return seeds.groupBy(by).applyInPandas(run, f"{by} {by_type}, node {node_type}, rank double")
+    spread = _spread_over(flow, blocks)
+    return spread.groupBy("_block").cogroup(rows.groupBy("_block")).applyInArrow(run, out).withColumnRenamed("_by", by)
 
 
-def _rank_by_joins(edges: DataFrame, seeds: DataFrame, by: str) -> DataFrame:
-    flow = edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    flow = write_out(flow.join(flow.groupBy("src").agg(F.sum("w").alias("out_w")), "src").select("src", "dst", (F.col("w") / F.col("out_w")).alias("q")), "flow")
+def _rank_by_joins(flow: DataFrame, seeds: DataFrame, by: str) -> DataFrame:
     restart = seeds.groupBy(by, "node").agg(F.sum("weight").alias("weight"))
-    restart = write_out(restart.withColumn("r", F.col("weight") / F.sum("weight").over(Window.partitionBy(by))).select(by, "node", "r"), "restart")
+    total = F.sum("weight").over(Window.partitionBy(by))
+    restart = write_out(restart.withColumn("r", F.when(total > 0, F.col("weight") / total).otherwise(0.0)).select(by, "node", "r"), "restart")
     linked = flow.select(F.col("src").alias("node")).distinct()
     rank = restart.withColumnRenamed("r", "rank")
     for _ in range(ROUNDS):
@@ -138,18 +190,84 @@ def _rank_by_joins(edges: DataFrame, seeds: DataFrame, by: str) -> DataFrame:
         back = restart.join(dangling, by, "left").select(by, "node", (F.col("r") * (1 - DAMPING + DAMPING * F.coalesce("loose", F.lit(0.0)))).alias("got"))
         step = moved.select(by, "node", (F.col("got") * DAMPING).alias("got")).unionByName(back)
         rank = write_out(step.groupBy(by, "node").agg(F.sum("got").alias("rank")), "rank")
-    every = nodes_of(edges).join(seeds.select(by).distinct().hint("broadcast"))
-    return every.unionByName(restart.select("node", by)).distinct().join(rank, [by, "node"], "left").select(by, "node", F.coalesce("rank", F.lit(0.0)).alias("rank"))
+    return rank
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, *, by: str = "seed_set") -> DataFrame:
-    """(by, node, rank): 30 rounds at 0.85 for each seed set of seeds(by, node, weight).
+    """(by, node, rank): 30 rounds at 0.85 for each seed set of seeds(by, node, weight); nodes that a set does not reach have no row.
 
     Mass at nodes without outgoing weight returns through the seeds; a seed
-    outside the graph has a rank; a set whose weights sum to nothing is all 0.
+    outside the graph has a rank; the seeds of a set whose weights sum to nothing
+    have 0. Up to ARRAY_EDGES edges a task takes a block of seed sets and a copy
+    of the edges, so that one pass of them serves all its sets; beyond that the
+    reached rows of all sets are joined with the edges each round. Both give the
+    same ranks.
     """
-    edges = write_out(edges, "edges")
-    return _rank_by_arrays(edges, seeds, by) if edges.count() <= ARRAY_EDGES else _rank_by_joins(edges, seeds, by)
+    flow = write_out(edge_flow(edges), "flow")
+    if flow.count() > ARRAY_EDGES:
+        return _rank_by_joins(flow, seeds, by)
+    return _rank_by_blocks(flow, nodes_of(flow).count(), seeds, by)
+
+
+def kernels(flow: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(seed, target, k, l) of pairs(seed, target): what a unit at the seed brings to the target, and to nodes without a way out, after 0 to 30 steps.
+
+    The rank of a target is a sum over the steps of a set's seeds, so sets that
+    share targets share the work: columns are targets, and one backward pass of the
+    edges serves a block of them, however many sets ask (see set_ranks).
+    """
+    blocks, _ = _blocks_of(pairs.select("target").distinct().count(), nodes_of(flow).count())
+    rows = pairs.select(F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int").alias("_block"), "seed", "target").distinct()
+    kind = pairs.schema["seed"].dataType
+    numbers = ArrayType(DoubleType())
+    out = StructType([StructField("seed", kind), StructField("target", kind), StructField("k", numbers), StructField("l", numbers)])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows:
+            return to_arrow_schema(out).empty_table()
+        asked = pa.chunked_array([*right["seed"].chunks, *right["target"].chunks], right["seed"].type)
+        g = _Arrays(left, asked, back=True)
+        m = right.num_rows
+        seed, target = g.more[:m], g.more[m:]
+        tops, column = np.unique(target, return_inverse=True)
+        x = np.zeros((g.size, len(tops) + 1))
+        x[tops, np.arange(len(tops))] = 1.0
+        x[g.loose, -1] = 1.0
+        steps, lost = np.empty((m, ROUNDS + 1)), np.empty((m, ROUNDS + 1))
+        for j in range(ROUNDS + 1):
+            steps[:, j], lost[:, j] = x[seed, column], x[seed, -1]
+            if j < ROUNDS:
+                x = g.step(x)
+        bounds = pa.array(np.arange(0, (m + 1) * (ROUNDS + 1), ROUNDS + 1, dtype=np.int32))
+        return pa.table({"seed": right["seed"], "target": right["target"], "k": pa.ListArray.from_arrays(bounds, pa.array(steps.ravel())), "l": pa.ListArray.from_arrays(bounds, pa.array(lost.ravel()))})
+
+    return _spread_over(flow, blocks).groupBy("_block").cogroup(rows.groupBy("_block")).applyInArrow(run, out)
+
+
+def set_ranks(known: DataFrame, seeds: DataFrame, wanted: DataFrame, *, by: str) -> DataFrame:
+    """(by, node, rank) of wanted(by, node), by the kernels (seed, target, k, l) of its pairs with seeds(by, node, weight)."""
+    total = seeds.groupBy(by).agg(F.sum("weight").alias("_total"))
+    rows = wanted.select(by, "node").distinct().join(seeds.select(by, F.col("node").alias("seed"), "weight").groupBy(by, "seed").agg(F.sum("weight").alias("weight")), by).join(total.filter("_total > 0"), by)
+    terms = rows.join(known.withColumnRenamed("target", "node"), ["seed", "node"]).groupBy(by, "node").agg(F.collect_list(F.struct((F.col("weight") / F.col("_total")).alias("w"), "k", "l")).alias("t"))
+    out = StructType([wanted.schema[by], wanted.schema["node"], StructField("rank", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column(2)
+            if not len(t):
+                continue
+            inner, bounds = t.flatten(), t.offsets.to_numpy()[:-1] - t.offsets.to_numpy()[0]
+            w = inner.field("w").to_numpy()[:, None]
+            u, lost = (np.add.reduceat(w * inner.field(x).flatten().to_numpy().reshape(-1, ROUNDS + 1), bounds, axis=0) for x in ("k", "l"))
+            # rank after n steps: u[n] plus what came back at the seeds after i steps, u[n - i] times `back[i - 1]`
+            back, rank = np.zeros((len(t), ROUNDS)), u[:, ROUNDS].copy()
+            for i in range(ROUNDS):
+                at_ends = lost[:, i] + (back[:, :i] * lost[:, i - 1 :: -1][:, :i]).sum(axis=1) if i else lost[:, 0]
+                back[:, i] = 1 - DAMPING + DAMPING * at_ends
+                rank += back[:, i] * u[:, ROUNDS - 1 - i]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rank)], names=batch.schema.names[:2] + ["rank"])
+
+    return terms.mapInArrow(run, out)
 
 
 def top_contributions(edges: DataFrame, ranks: DataFrame, targets: DataFrame, k: int) -> DataFrame:
@@ -169,7 +287,7 @@ def reach(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
     pairs = write_out(pairs.select("src", "dst").distinct(), "pairs")
     new = write_out(seeds.select("root", "node").distinct(), "reach")
     found = [new]
-    for _ in range(MAX_ROUNDS):
+    while True:
         seen = reduce(DataFrame.union, found)
         step = new.join(pairs, new["node"] == pairs["src"]).select("root", F.col("dst").alias("node")).distinct()
         new = write_out(step.join(seen, ["root", "node"], "left_anti"), "reach")
@@ -178,7 +296,6 @@ def reach(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
         found.append(new)
         if len(found) > 8:
             found = [write_out(reduce(DataFrame.union, found), "reach")]
-    raise RuntimeError("reachability did not settle")
 
 
 def closure(pairs: DataFrame) -> DataFrame:
@@ -187,30 +304,249 @@ def closure(pairs: DataFrame) -> DataFrame:
     return reach(pairs, first).select(F.col("root").alias("src"), F.col("node").alias("dst"))
 
 
-def strong_components(pairs: DataFrame) -> DataFrame:
-    """(node, component): component is the least node that reaches it and is reached from it."""
-    far = write_out(closure(pairs), "closure")
-    back = far.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = far.join(back, ["src", "dst"], "left_semi")
-    nodes = nodes_of(pairs)
-    both = mutual.select(F.col("src").alias("node"), F.col("dst").alias("peer")).unionByName(nodes.select("node", F.col("node").alias("peer")))
-    return both.groupBy("node").agg(F.min("peer").alias("component"))
+def weak_components(pairs: DataFrame) -> DataFrame:
+    """(node, part): the least node of the weakly connected part around each node of pairs(src, dst).
 
+    Star contraction: each round links every node to the least of its neighbours
+    and itself, seen first from the larger, then from the smaller side, until all
+    links are stars; rounds grow with the logarithm of the longest path.
+    """
+    links = pairs.filter("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+    links, before = write_out(links, "links"), None
+    while True:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = write_out(large, "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        links = write_out(small, "links")
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    stars = links.groupBy("u").agg(F.min("v").alias("part")).withColumnRenamed("u", "node")
+    return nodes_of(pairs).join(stars, "node", "left").select("node", F.coalesce("part", "node").alias("part"))
+
+
+def _grouped(pairs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges by part, nodes by part, (part, n)): weakly connected parts with their number of edges; written."""
+    parts = write_out(nodes.select("node").distinct().join(weak_components(pairs), "node", "left").select("node", F.coalesce("part", "node").alias("part")), "parts")
+    edges = write_out(pairs.select("src", "dst").distinct().join(parts.withColumnRenamed("node", "src"), "src").select("part", "src", "dst"), "part-edges")
+    sizes = write_out(parts.join(edges.groupBy("part").agg(F.count("*").alias("n")), "part", "left").groupBy("part").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")), "part-sizes")
+    return edges, parts, sizes
+
+
+def _condensed(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(component, layer) of each node 0..n-1: components are numbered as they close, so after all that they reach; the layer is the longest path from a source."""
+    order = np.argsort(src, kind="stable")
+    heads, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    index, low, comp = [0] * n, [0] * n, [-1] * n
+    at, count, closed, stack = first[:n], 0, 0, []
+    for start in range(n):
+        if index[start]:
+            continue
+        path = [start]
+        count += 1
+        index[start] = low[start] = count
+        stack.append(start)
+        while path:
+            v = path[-1]
+            if at[v] < first[v + 1]:
+                u = heads[at[v]]
+                at[v] += 1
+                if not index[u]:
+                    count += 1
+                    index[u] = low[u] = count
+                    stack.append(u)
+                    path.append(u)
+                elif comp[u] < 0:
+                    low[v] = min(low[v], index[u])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == index[v]:
+                while True:
+                    u = stack.pop()
+                    comp[u] = closed
+                    if u == v:
+                        break
+                closed += 1
+    component = np.array(comp, np.int64)
+    a, b = component[src], component[dst]
+    outer = a != b
+    layer = [0] * closed
+    links = sorted(set(zip((-a[outer]).tolist(), b[outer].tolist(), strict=True)))  # sources first: what closed last
+    for x, y in links:
+        layer[y] = max(layer[y], layer[-x] + 1)
+    return component, np.array(layer, np.int64)[component] if n else component
+
+
+def _coded(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """(distinct values, the places of each column's values among them)."""
+    coded = _one(pa.chunked_array([c for x in columns for c in x.chunks], columns[0].type)).dictionary_encode()
+    cuts = np.cumsum([len(x) for x in columns])[:-1]
+    return coded.dictionary, np.split(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), cuts)
+
+
+def condense(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component, layer): the least node of each strong component, and the longest path of components that ends at it.
+
+    A strong component lies inside a weakly connected part, so parts of up to
+    PART_EDGES edges are solved each in one task by one depth-first pass, linear in
+    the edges. Larger parts are coloured: every node takes the least node that
+    reaches it, and those that reach back to their colour's node inside the colour
+    are its component; the others go on. No closure is written either way.
+    """
+    nodes = nodes_of(pairs) if nodes is None else nodes.select("node")
+    edges, parts, sizes = _grouped(pairs, nodes)
+    small = sizes.filter(F.col("n") <= PART_EDGES).select("part")
+    out = StructType([StructField("node", parts.schema["node"].dataType), StructField("component", parts.schema["node"].dataType), StructField("layer", IntegerType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, (node, src, dst) = _coded(left["node"], right["src"], right["dst"])
+        order = pc.sort_indices(names).to_numpy()
+        comp, layer = _condensed(src, dst, len(names))
+        least = np.full(int(comp.max(initial=-1)) + 1, -1)
+        place = order[::-1]
+        least[comp[place]] = place  # the least name of a component is written last
+        return pa.table({"node": names.take(pa.array(node)), "component": names.take(pa.array(least[comp[node]])), "layer": pa.array(layer[node], pa.int32())})
+
+    done = parts.join(small, "part").groupBy("part").cogroup(edges.join(small, "part").groupBy("part")).applyInArrow(run, out)
+    big = sizes.filter(F.col("n") > PART_EDGES).select("part")
+    if not big.head(1):
+        return done
+    wide = write_out(edges.join(big, "part").select("src", "dst"), "wide")
+    comp = _coloured(wide, parts.join(big, "part").select("node"))
+    return done.unionByName(comp.join(_layers(wide, comp), "component").select("node", "component", "layer"))
+
+
+def _coloured(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) by forward-backward colouring; rounds grow with the longest shortest path."""
+    left = write_out(nodes.select("node").distinct(), "left")
+    links = write_out(pairs.filter("src != dst").distinct(), "links")
+    found = []
+    while left.head(1):
+        colour = write_out(left.select("node", F.col("node").alias("c")), "colour")
+        while True:  # the least colour that arrives
+            came = links.join(colour, links["src"] == colour["node"]).groupBy("dst").agg(F.min("c").alias("m"))
+            step = write_out(colour.join(came, colour["node"] == came["dst"], "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")), "colour")
+            colour = step.select("node", "c")
+            if not step.filter("moved").head(1):
+                break
+        inside = links.join(colour.select(F.col("node").alias("src"), "c"), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("d")), "dst").filter("c = d").select("c", F.col("dst").alias("src"), F.col("src").alias("dst"))
+        roots = colour.filter("node = c").select(F.col("c").alias("root"), "node")
+        members = write_out(reach(inside.select("src", "dst"), roots).join(colour, "node").filter("root = c").select("node", F.col("c").alias("component")), "members")
+        found.append(members)
+        left = write_out(left.join(members, "node", "left_anti"), "left")
+        links = write_out(links.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"), "links")
+    return write_out(reduce(DataFrame.unionByName, found), "components") if found else left.select("node", F.col("node").alias("component"))
 
-def layers(pairs: DataFrame, components: DataFrame | None = None) -> DataFrame:
-    """(component, layer): the longest path, in components, from one without predecessors."""
-    comp = write_out(components if components is not None else strong_components(pairs), "components")
+
+def _layers(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """(component, layer) by rounds: as many as the longest path has components."""
     a, b = comp.select(F.col("node").alias("src"), F.col("component").alias("a")), comp.select(F.col("node").alias("dst"), F.col("component").alias("b"))
     links = write_out(pairs.join(a, "src").join(b, "dst").filter("a != b").select("a", "b").distinct(), "condensed")
     level = write_out(comp.select("component").distinct().withColumn("layer", F.lit(0)), "layers")
-    for _ in range(MAX_ROUNDS):
+    while True:
         up = links.join(level, links["a"] == level["component"]).groupBy("b").agg((F.max("layer") + 1).alias("up"))
-        new = write_out(level.join(up, level["component"] == up["b"], "left").select("component", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer")), "layers")
-        moved = new.agg(F.sum("layer")).first() != level.agg(F.sum("layer")).first()
-        level = new
-        if not moved:
+        new = write_out(level.join(up, level["component"] == up["b"], "left").select("component", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), (F.coalesce("up", F.lit(0)) > F.col("layer")).alias("moved")), "layers")
+        level = new.select("component", "layer")
+        if not new.filter("moved").head(1):
             return level
-    raise RuntimeError("layers did not settle")
+
+
+def strong_components(pairs: DataFrame) -> DataFrame:
+    """(node, component): component is the least node that reaches it and is reached from it."""
+    return condense(pairs).select("node", "component")
+
+
+def layers(pairs: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """(component, layer): the longest path, in components, from one without predecessors."""
+    if components is None:
+        return condense(pairs).select("component", "layer").distinct()
+    return _layers(pairs, write_out(components, "components"))
+
+
+def fold_components(pairs: DataFrame, direct: DataFrame, *, lift: dict[str, Column], dedup: list[Column]) -> DataFrame:
+    """(node, the columns of `lift`): what each node and all that it reaches over pairs(src, dst) have in `direct` (node, ...).
+
+    `lift` makes an entry of a direct row, its columns by name (the origin is
+    F.col("node")); entries that agree in `dedup`, expressions over the lifted
+    columns, are one: the least of them, by all columns. Members of a strong
+    component share one set, and edges inside it add nothing.
+
+    Entries are numbered, and sets of numbers travel from callees to callers, each
+    node's component once: in one pass for each weakly connected part of at most
+    PART_EDGES edges and entries, by rounds of new (entry, node) rows for larger
+    ones. What is written is edges and results, no closure.
+    """
+    lifted = direct.select("node", *[c.alias(k) for k, c in lift.items()])
+    keys = [c.alias(f"_k{i}") for i, c in enumerate(dedup)]
+    entries = lifted.select("node", F.struct(*[k for k in lift]).alias("e"), *keys)
+    names = [f"_k{i}" for i in range(len(dedup))]
+    # one number for each entry of a node; equal keys from different nodes are settled on the result
+    local = entries.groupBy("node", *names).agg(F.min("e").alias("e"))
+    local = write_out(local.select("node", "e", *names, F.monotonically_increasing_id().alias("n")), "entries")
+    nodes = nodes_of(pairs, local.select("node"))
+    edges, parts, sizes = _grouped(pairs, nodes)
+    held = write_out(local.select("node", "n").join(parts, "node"), "part-entries")
+    sizes = sizes.join(held.groupBy("part").agg(F.count("*").alias("m")), "part", "left").na.fill(0, ["m"])
+    fits = (F.col("n") <= PART_EDGES) & (F.col("m") <= PART_EDGES)
+    small, big = sizes.filter(fits).select("part"), write_out(sizes.filter(~fits).select("part"), "big-parts")
+    out = StructType([StructField("node", parts.schema["node"].dataType), StructField("n", LongType())])
+
+    rows = held.join(small, "part").select("part", F.col("node").alias("src"), F.lit(None).cast(nodes.schema["node"].dataType).alias("dst"), "n").unionByName(edges.join(small, "part").select("part", "src", "dst", F.lit(None).cast("long").alias("n")))
+
+    def fold(table: pa.Table) -> pa.Table:
+        is_edge = pc.is_valid(table["dst"])
+        batches = list(_folded(table.filter(pc.invert(is_edge)), table.filter(is_edge), to_arrow_schema(out)))
+        return pa.Table.from_batches(batches, to_arrow_schema(out))
+
+    pairs_out = rows.groupBy("part").applyInArrow(fold, out)
+    if big.head(1):
+        back = edges.join(big, "part").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        roots = held.join(big, "part").select(F.col("n").alias("root"), "node")
+        pairs_out = pairs_out.unionByName(reach(back, roots).select("node", F.col("root").alias("n")))
+    result = pairs_out.join(local.select("n", "e", *names), "n").groupBy("node", *names).agg(F.min("e").alias("e"))
+    return result.select("node", "e.*")
+
+
+def _folded(entries: pa.Table, edges: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(node, n) of one part: sets of entry numbers from callees to callers; a component's set goes when its last caller has it."""
+    names, (owner, src, dst) = _coded(entries["src"], edges["src"], edges["dst"])
+    comp, _ = _condensed(src, dst, len(names))
+    count = int(comp.max(initial=-1)) + 1
+    a, b = comp[src], comp[dst]
+    outer = a != b
+    links = np.unique(np.stack([a[outer], b[outer]]), axis=1) if outer.any() else np.zeros((2, 0), np.int64)
+    first = np.searchsorted(links[0], np.arange(count + 1))
+    waiting = np.bincount(links[1], minlength=count)
+    order = np.argsort(comp[owner], kind="stable")
+    own, numbers = np.searchsorted(comp[owner][order], np.arange(count + 1)), entries["n"].to_numpy()[order]
+    member = np.argsort(comp, kind="stable")
+    of = np.searchsorted(comp[member], np.arange(count + 1))
+    sets: dict[int, np.ndarray] = {}
+    kept_names, kept_n, size = [], [], 0
+    for c in range(count):  # components close after all that they reach
+        parts = [numbers[own[c] : own[c + 1]]]
+        for callee in links[1][first[c] : first[c + 1]].tolist():
+            parts.append(sets[callee])
+            waiting[callee] -= 1
+            if not waiting[callee]:
+                del sets[callee]
+        whole = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.unique(parts[0])
+        if waiting[c]:
+            sets[c] = whole
+        if len(whole):
+            who = member[of[c] : of[c + 1]]
+            kept_names.append(np.repeat(who, len(whole)))
+            kept_n.append(np.tile(whole, len(who)))
+            size += len(kept_n[-1])
+        if size > 1 << 20 or c == count - 1 and size:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(kept_names))), pa.array(np.concatenate(kept_n))], schema=schema)
+            kept_names, kept_n, size = [], [], 0
 
 
 def tarjan(nodes: list, succ: dict) -> list[list]:
@@ -292,7 +628,8 @@ def call_batches(calls: DataFrame, members: DataFrame, *, by: str) -> DataFrame:
             if callee != caller:
                 succ.setdefault(callee, []).append(caller)
                 callees.setdefault(caller, set()).add(callee)
-        parts = tarjan(everyone, {k: [x for x in v if x in set(everyone)] for k, v in succ.items() if k in set(everyone)})
+        known = set(everyone)
+        parts = tarjan(everyone, {k: [x for x in v if x in known] for k, v in succ.items() if k in known})
         of = {m: i for i, p in enumerate(parts) for m in p}
         layer = dict.fromkeys(range(len(parts)), 0)
         for i in range(len(parts) - 1, -1, -1):  # components close after their successors

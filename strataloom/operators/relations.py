@@ -142,12 +142,12 @@ def transitive_effects(calls: DataFrame, direct: DataFrame, *, keep_try: bool) -
     calls(caller, callee, in_try); direct(fn, effect, target). Reverts pass
     keep_try=False: a call inside try does not carry them.
     """
-    from strataloom.operators.graph import reach
+    from strataloom.operators.graph import fold_components
 
     used = calls if keep_try else calls.filter(~F.col("in_try"))
-    fns = direct.select("fn").union(calls.select("caller")).union(calls.select("callee")).distinct()
-    far = reach(used.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), fns.select(F.col("fn").alias("root"), F.col("fn").alias("node")))
-    return far.join(direct.withColumnRenamed("fn", "node"), "node").select(F.col("root").alias("fn"), F.col("node").alias("origin"), "effect", "target").distinct()
+    own = direct.select(F.col("fn").alias("node"), "effect", "target")
+    lift = {"origin": F.col("node"), "effect": F.col("effect"), "target": F.col("target")}
+    return fold_components(used.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), own, lift=lift, dedup=[F.col("origin"), F.col("effect"), F.col("target")]).withColumnRenamed("node", "fn")
 
 
 def invalidated(invariants: DataFrame, validations: DataFrame, threats: DataFrame, conditions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from strataloom.functions.tables import TOP_EDGES
 from strataloom.operators import graph as g
 from strataloom.operators import relations as r
 from strataloom.operators import resolve
+from strataloom.sources.shared import write_out
 from strataloom.plans.tables import GRAPH_SQL, call_pairs, contains_pairs, graph, node, read, reference_pairs
 
 
@@ -38,8 +39,11 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ppr_nation_seed(spark: SparkSession, d: str) -> DataFrame:
-    ranks = g.pagerank(graph(spark, d), _seeds(spark, d).filter("seed_set = 3"))
-    return ranks.filter("node like 'n%' or node like 'c%' or node like 's%'").select("node", F.round("rank", 6).alias("rank"))
+    """Ranks of nations, customers and suppliers for one nation as seed; 0 where it does not reach."""
+    edges = write_out(graph(spark, d), "edges")
+    ranks = g.pagerank(edges, _seeds(spark, d).filter("seed_set = 3"))
+    shown = "node like 'n%' or node like 'c%' or node like 's%'"
+    return g.nodes_of(edges).filter(shown).join(ranks.filter(shown), "node", "left").select("node", F.round(F.coalesce("rank", F.lit(0.0)), 6).alias("rank"))
 
 
 def ppr_multi_seed(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +52,7 @@ def ppr_multi_seed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ppr_top_edges(spark: SparkSession, d: str) -> DataFrame:
-    e = graph(spark, d)
+    e = write_out(graph(spark, d), "edges")
     ranks = g.pagerank(e, _seeds(spark, d).filter("seed_set = 3"))
     targets = read(spark, d, "customer").filter("c_nationkey = 3").select(node("c", "c_custkey").alias("node"))
     return g.top_contributions(e, ranks, targets, TOP_EDGES).select("dst", "src", "kind", F.round("contribution", 6).alias("contribution"), "place")

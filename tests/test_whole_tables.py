@@ -37,7 +37,7 @@ def _plain_rounds(edges, refs, section):
     """{ref: (choice, phase, candidates)} of one section; refs {ref: {(candidate, scope)}}."""
     done = {}
     for _ in range(4):
-        seeds = Counter({section: 1.0}) + Counter(c for c, _ in done.values())
+        seeds = Counter({section: 1.0}) + Counter({c for c, _ in done.values()})
         ranks = _plain_ranks(edges, seeds)
         left = [r for r in refs if r not in done]
         picked = {}
