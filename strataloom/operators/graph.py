@@ -116,17 +116,18 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
 class _Arrays:
     """One block's graph as arrays: names of the nodes, and rows of edges sorted by where they add up."""
 
-    def __init__(self, flow: pa.Table, more: pa.ChunkedArray, *, back: bool):
-        coded = _one(pa.chunked_array([*flow["src"].chunks, *flow["dst"].chunks, *more.chunks], more.type)).dictionary_encode()
+    def __init__(self, edges: pa.Table, more: pa.ChunkedArray, *, back: bool):
+        coded = _one(pa.chunked_array([*edges["src"].chunks, *edges["dst"].chunks, *more.chunks], more.type)).dictionary_encode()
         self.names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        n = flow.num_rows
-        src, dst = code[:n], code[n : 2 * n]
+        n = edges.num_rows
+        src, dst, w = code[:n], code[n : 2 * n], edges["w"].to_numpy()
         self.more, self.size = code[2 * n :], len(self.names)
         self.loose = np.ones(self.size, bool)
         self.loose[src] = False
+        q = w / np.bincount(src, w, self.size)[src] if n else w
         to, frm = (src, dst) if back else (dst, src)
         order = np.argsort(to, kind="stable")
-        self.frm, self.q = frm[order], flow["q"].to_numpy()[order]
+        self.frm, self.q = frm[order], q[order]
         self.to, self.first = np.unique(to[order], return_index=True)
 
     def step(self, x: np.ndarray) -> np.ndarray:
@@ -142,20 +143,19 @@ class _Arrays:
         return out
 
 
-def _spread_over(flow: DataFrame, blocks: int) -> DataFrame:
+def _spread_over(edges: DataFrame, blocks: int) -> DataFrame:
     """A copy of the edges for each block of columns."""
-    return flow.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return edges.select("src", "dst", "w").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
 
-def _blocks_of(columns: int, nodes: int) -> tuple[int, int]:
-    """(number of blocks, columns in each): a block's matrix of nodes by columns stays near BLOCK_CELLS."""
-    wide = max(1, min(BLOCK_COLUMNS, BLOCK_CELLS // max(1, nodes)))
-    return -(-columns // wide), wide
+def _blocks_of(columns: int, edges: int) -> int:
+    """The number of blocks of columns: a block's matrix of nodes by columns stays near BLOCK_CELLS, taking as many nodes as edges."""
+    return -(-columns // max(1, min(BLOCK_COLUMNS, BLOCK_CELLS // max(1, edges)))) or 1
 
 
-def _rank_by_blocks(flow: DataFrame, nodes: int, seeds: DataFrame, by: str) -> DataFrame:
+def _rank_by_blocks(edges: DataFrame, n_edges: int, seeds: DataFrame, by: str, every: bool) -> DataFrame:
     sets = seeds.groupBy(by).agg(F.sum("weight").alias("total"))
-    blocks, _ = _blocks_of(sets.count(), nodes)
+    blocks = _blocks_of(sets.count(), n_edges)
     rows = seeds.groupBy(by, "node").agg(F.sum("weight").alias("weight")).join(sets, by).select(F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int").alias("_block"), F.col(by).alias("_by"), "node", F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(0.0).alias("r"))
     out = StructType([StructField("_by", seeds.schema[by].dataType), StructField("node", seeds.schema["node"].dataType), StructField("rank", DoubleType())])
     by_type = to_arrow_type(seeds.schema[by].dataType)
@@ -171,11 +171,10 @@ def _rank_by_blocks(flow: DataFrame, nodes: int, seeds: DataFrame, by: str) -> D
         rank = restart.copy()
         for _ in range(ROUNDS):
             rank = g.step(rank) + (1 - DAMPING + DAMPING * rank[g.loose].sum(axis=0)) * restart
-        at, k = np.nonzero(rank + restart)
+        at, k = np.nonzero(np.ones_like(rank) if every else rank + restart)
         return pa.table({"_by": keys.dictionary.take(pa.array(k)).cast(by_type), "node": g.names.take(pa.array(at)), "rank": rank[at, k]})
 
-    spread = _spread_over(flow, blocks)
-    return spread.groupBy("_block").cogroup(rows.groupBy("_block")).applyInArrow(run, out).withColumnRenamed("_by", by)
+    return _spread_over(edges, blocks).groupBy("_block").cogroup(rows.groupBy("_block")).applyInArrow(run, out).withColumnRenamed("_by", by)
 
 
 def _rank_by_joins(flow: DataFrame, seeds: DataFrame, by: str) -> DataFrame:
@@ -193,8 +192,8 @@ def _rank_by_joins(flow: DataFrame, seeds: DataFrame, by: str) -> DataFrame:
     return rank
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, *, by: str = "seed_set") -> DataFrame:
-    """(by, node, rank): 30 rounds at 0.85 for each seed set of seeds(by, node, weight); nodes that a set does not reach have no row.
+def pagerank(edges: DataFrame, seeds: DataFrame, *, by: str = "seed_set", every: bool = False) -> DataFrame:
+    """(by, node, rank): 30 rounds at 0.85 for each seed set of seeds(by, node, weight); nodes that a set does not reach have no row, or 0 if `every`.
 
     Mass at nodes without outgoing weight returns through the seeds; a seed
     outside the graph has a rank; the seeds of a set whose weights sum to nothing
@@ -203,20 +202,25 @@ def pagerank(edges: DataFrame, seeds: DataFrame, *, by: str = "seed_set") -> Dat
     reached rows of all sets are joined with the edges each round. Both give the
     same ranks.
     """
-    flow = write_out(edge_flow(edges), "flow")
-    if flow.count() > ARRAY_EDGES:
-        return _rank_by_joins(flow, seeds, by)
-    return _rank_by_blocks(flow, nodes_of(flow).count(), seeds, by)
-
-
-def kernels(flow: DataFrame, pairs: DataFrame) -> DataFrame:
+    edges = write_out(edges.select("src", "dst", "w"), "edges")
+    n = edges.count()
+    if n <= ARRAY_EDGES:
+        return _rank_by_blocks(edges, n, seeds, by, every)
+    rank = _rank_by_joins(write_out(edge_flow(edges), "flow"), seeds, by)
+    if not every:
+        return rank
+    zeros = nodes_of(edges).withColumn(by, F.explode(F.array(*[F.lit(r[0]) for r in seeds.select(by).distinct().collect()])))
+    return zeros.join(rank, [by, "node"], "full").select(by, "node", F.coalesce("rank", F.lit(0.0)).alias("rank"))
+
+
+def kernels(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(seed, target, k, l) of pairs(seed, target): what a unit at the seed brings to the target, and to nodes without a way out, after 0 to 30 steps.
 
     The rank of a target is a sum over the steps of a set's seeds, so sets that
     share targets share the work: columns are targets, and one backward pass of the
     edges serves a block of them, however many sets ask (see set_ranks).
     """
-    blocks, _ = _blocks_of(pairs.select("target").distinct().count(), nodes_of(flow).count())
+    blocks = _blocks_of(pairs.select("target").distinct().count(), edges.count())
     rows = pairs.select(F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int").alias("_block"), "seed", "target").distinct()
     kind = pairs.schema["seed"].dataType
     numbers = ArrayType(DoubleType())
@@ -241,7 +245,7 @@ def kernels(flow: DataFrame, pairs: DataFrame) -> DataFrame:
         bounds = pa.array(np.arange(0, (m + 1) * (ROUNDS + 1), ROUNDS + 1, dtype=np.int32))
         return pa.table({"seed": right["seed"], "target": right["target"], "k": pa.ListArray.from_arrays(bounds, pa.array(steps.ravel())), "l": pa.ListArray.from_arrays(bounds, pa.array(lost.ravel()))})
 
-    return _spread_over(flow, blocks).groupBy("_block").cogroup(rows.groupBy("_block")).applyInArrow(run, out)
+    return _spread_over(edges, blocks).groupBy("_block").cogroup(rows.groupBy("_block")).applyInArrow(run, out)
 
 
 def set_ranks(known: DataFrame, seeds: DataFrame, wanted: DataFrame, *, by: str) -> DataFrame:
@@ -304,37 +308,69 @@ def closure(pairs: DataFrame) -> DataFrame:
     return reach(pairs, first).select(F.col("root").alias("src"), F.col("node").alias("dst"))
 
 
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of one partition to stars: every node with the least of the part that these links alone connect."""
+    tables = list(batches)
+    if not tables:
+        return
+    links = pa.Table.from_batches(tables)
+    names, (a, b) = _coded(links["u"], links["v"])
+    place = np.empty(len(names), np.int64)
+    order = pc.sort_indices(names).to_numpy()
+    place[order] = np.arange(len(names))
+    up = list(range(len(names)))
+    for x, y in zip(place[a].tolist(), place[b].tolist(), strict=True):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    for x in range(len(up)):  # a parent is less than its children, so it is settled before them
+        up[x] = up[up[x]]
+    root = np.array(up)
+    far = np.flatnonzero(root != np.arange(len(root)))
+    yield pa.RecordBatch.from_arrays([names.take(pa.array(order[far])), names.take(pa.array(order[root[far]]))], names=["u", "v"])
+
+
 def weak_components(pairs: DataFrame) -> DataFrame:
     """(node, part): the least node of the weakly connected part around each node of pairs(src, dst).
 
-    Star contraction: each round links every node to the least of its neighbours
-    and itself, seen first from the larger, then from the smaller side, until all
-    links are stars; rounds grow with the logarithm of the longest path.
+    Every partition first joins what its own links connect. Then star contraction:
+    each round links every node to the least of its neighbours and itself, seen
+    first from the larger, then from the smaller side, until all links are stars;
+    rounds grow with the logarithm of the longest path.
     """
-    links = pairs.filter("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    links, before = write_out(links, "links"), None
+    kind = pairs.schema["src"].dataType.simpleString()
+    links = pairs.filter("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    links, before = write_out(links.mapInArrow(_local_stars, f"u {kind}, v {kind}").distinct(), "links"), None
     while True:
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        several = links.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+        chained = links.join(links.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+        if now == before or not several.unionByName(chained).head(1):  # stars: each node has one link, to a node that has none
+            break
+        before = now
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = write_out(large, "links")
+        large = write_out(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         links = write_out(small, "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     stars = links.groupBy("u").agg(F.min("v").alias("part")).withColumnRenamed("u", "node")
     return nodes_of(pairs).join(stars, "node", "left").select("node", F.coalesce("part", "node").alias("part"))
 
 
-def _grouped(pairs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges by part, nodes by part, (part, n)): weakly connected parts with their number of edges; written."""
-    parts = write_out(nodes.select("node").distinct().join(weak_components(pairs), "node", "left").select("node", F.coalesce("part", "node").alias("part")), "parts")
-    edges = write_out(pairs.select("src", "dst").distinct().join(parts.withColumnRenamed("node", "src"), "src").select("part", "src", "dst"), "part-edges")
-    sizes = write_out(parts.join(edges.groupBy("part").agg(F.count("*").alias("n")), "part", "left").groupBy("part").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")), "part-sizes")
-    return edges, parts, sizes
+def weak_parts(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, part) of nodes and of the ends of pairs; written."""
+    every = nodes_of(pairs, nodes.select("node")).join(weak_components(pairs), "node", "left")
+    return write_out(every.select("node", F.coalesce("part", "node").alias("part")), "parts")
+
+
+def _large(rows: DataFrame) -> DataFrame | None:
+    """(part) of the parts with more than PART_EDGES rows, or None."""
+    large = rows.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > PART_EDGES).select("part")
+    return write_out(large, "large-parts") if large.head(1) else None
 
 
 def _condensed(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -399,9 +435,10 @@ def condense(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     reaches it, and those that reach back to their colour's node inside the colour
     are its component; the others go on. No closure is written either way.
     """
-    nodes = nodes_of(pairs) if nodes is None else nodes.select("node")
-    edges, parts, sizes = _grouped(pairs, nodes)
-    small = sizes.filter(F.col("n") <= PART_EDGES).select("part")
+    parts = weak_parts(pairs, nodes_of(pairs) if nodes is None else nodes)
+    edges = write_out(pairs.select("src", "dst").distinct().join(parts.withColumnRenamed("node", "src"), "src").select("part", "src", "dst"), "part-edges")
+    large = _large(edges)
+    small = (lambda df: df) if large is None else (lambda df: df.join(large, "part", "left_anti"))
     out = StructType([StructField("node", parts.schema["node"].dataType), StructField("component", parts.schema["node"].dataType), StructField("layer", IntegerType())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -413,12 +450,11 @@ def condense(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         least[comp[place]] = place  # the least name of a component is written last
         return pa.table({"node": names.take(pa.array(node)), "component": names.take(pa.array(least[comp[node]])), "layer": pa.array(layer[node], pa.int32())})
 
-    done = parts.join(small, "part").groupBy("part").cogroup(edges.join(small, "part").groupBy("part")).applyInArrow(run, out)
-    big = sizes.filter(F.col("n") > PART_EDGES).select("part")
-    if not big.head(1):
+    done = small(parts).groupBy("part").cogroup(small(edges).groupBy("part")).applyInArrow(run, out)
+    if large is None:
         return done
-    wide = write_out(edges.join(big, "part").select("src", "dst"), "wide")
-    comp = _coloured(wide, parts.join(big, "part").select("node"))
+    wide = write_out(edges.join(large, "part", "left_semi").select("src", "dst"), "wide")
+    comp = _coloured(wide, parts.join(large, "part", "left_semi").select("node"))
     return done.unionByName(comp.join(_layers(wide, comp), "component").select("node", "component", "layer"))
 
 
@@ -469,7 +505,7 @@ def layers(pairs: DataFrame, components: DataFrame | None = None) -> DataFrame:
     return _layers(pairs, write_out(components, "components"))
 
 
-def fold_components(pairs: DataFrame, direct: DataFrame, *, lift: dict[str, Column], dedup: list[Column]) -> DataFrame:
+def fold_components(pairs: DataFrame, direct: DataFrame, *, lift: dict[str, Column], dedup: list[Column], parts: DataFrame | None = None) -> DataFrame:
     """(node, the columns of `lift`): what each node and all that it reaches over pairs(src, dst) have in `direct` (node, ...).
 
     `lift` makes an entry of a direct row, its columns by name (the origin is
@@ -489,27 +525,26 @@ def fold_components(pairs: DataFrame, direct: DataFrame, *, lift: dict[str, Colu
     # one number for each entry of a node; equal keys from different nodes are settled on the result
     local = entries.groupBy("node", *names).agg(F.min("e").alias("e"))
     local = write_out(local.select("node", "e", *names, F.monotonically_increasing_id().alias("n")), "entries")
-    nodes = nodes_of(pairs, local.select("node"))
-    edges, parts, sizes = _grouped(pairs, nodes)
-    held = write_out(local.select("node", "n").join(parts, "node"), "part-entries")
-    sizes = sizes.join(held.groupBy("part").agg(F.count("*").alias("m")), "part", "left").na.fill(0, ["m"])
-    fits = (F.col("n") <= PART_EDGES) & (F.col("m") <= PART_EDGES)
-    small, big = sizes.filter(fits).select("part"), write_out(sizes.filter(~fits).select("part"), "big-parts")
-    out = StructType([StructField("node", parts.schema["node"].dataType), StructField("n", LongType())])
-
-    rows = held.join(small, "part").select("part", F.col("node").alias("src"), F.lit(None).cast(nodes.schema["node"].dataType).alias("dst"), "n").unionByName(edges.join(small, "part").select("part", "src", "dst", F.lit(None).cast("long").alias("n")))
+    parts = weak_parts(pairs, local) if parts is None else parts
+    kind = parts.schema["node"].dataType
+    out = StructType([StructField("node", kind), StructField("n", LongType())])
+    held = local.join(parts, "node").select("part", F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst"), "n")
+    edges = pairs.select("src", "dst").distinct().join(parts.withColumnRenamed("node", "src"), "src").select("part", "src", "dst", F.lit(None).cast("long").alias("n"))
+    rows = write_out(held.unionByName(edges), "part-rows")
 
     def fold(table: pa.Table) -> pa.Table:
         is_edge = pc.is_valid(table["dst"])
         batches = list(_folded(table.filter(pc.invert(is_edge)), table.filter(is_edge), to_arrow_schema(out)))
         return pa.Table.from_batches(batches, to_arrow_schema(out))
 
-    pairs_out = rows.groupBy("part").applyInArrow(fold, out)
-    if big.head(1):
-        back = edges.join(big, "part").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        roots = held.join(big, "part").select(F.col("n").alias("root"), "node")
-        pairs_out = pairs_out.unionByName(reach(back, roots).select("node", F.col("root").alias("n")))
-    result = pairs_out.join(local.select("n", "e", *names), "n").groupBy("node", *names).agg(F.min("e").alias("e"))
+    large = _large(rows)
+    small = rows if large is None else rows.join(large, "part", "left_anti")
+    found = small.groupBy("part").applyInArrow(fold, out)
+    if large is not None:
+        wide = write_out(rows.join(large, "part", "left_semi"), "wide")
+        back = wide.filter("dst is not null").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        found = found.unionByName(reach(back, wide.filter("dst is null").select(F.col("n").alias("root"), F.col("src").alias("node"))).select("node", F.col("root").alias("n")))
+    result = found.join(local.select("n", "e", *names), "n").groupBy("node", *names).agg(F.min("e").alias("e"))
     return result.select("node", "e.*")
 
 

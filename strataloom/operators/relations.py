@@ -136,18 +136,26 @@ def pinned(pairs: DataFrame) -> DataFrame:
     return both.groupBy("section", "ref").agg(F.min("pin").alias("pin"), F.count_distinct("pin").alias("_n")).filter("_n = 1").drop("_n")
 
 
-def transitive_effects(calls: DataFrame, direct: DataFrame, *, keep_try: bool) -> DataFrame:
+def transitive_effects(calls: DataFrame, direct: DataFrame, *, keep_try: bool, parts: DataFrame | None = None) -> DataFrame:
     """(fn, origin, effect, target): effects of all functions that fn reaches, itself included, each once.
 
     calls(caller, callee, in_try); direct(fn, effect, target). Reverts pass
-    keep_try=False: a call inside try does not carry them.
+    keep_try=False: a call inside try does not carry them. `parts` (node, part) of
+    all calls serves both graphs (see call_parts).
     """
     from strataloom.operators.graph import fold_components
 
     used = calls if keep_try else calls.filter(~F.col("in_try"))
     own = direct.select(F.col("fn").alias("node"), "effect", "target")
     lift = {"origin": F.col("node"), "effect": F.col("effect"), "target": F.col("target")}
-    return fold_components(used.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), own, lift=lift, dedup=[F.col("origin"), F.col("effect"), F.col("target")]).withColumnRenamed("node", "fn")
+    return fold_components(used.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), own, lift=lift, dedup=[F.col("origin"), F.col("effect"), F.col("target")], parts=parts).withColumnRenamed("node", "fn")
+
+
+def call_parts(calls: DataFrame, direct: DataFrame) -> DataFrame:
+    """(node, part): the weakly connected parts of the whole call graph, functions without calls included."""
+    from strataloom.operators.graph import weak_parts
+
+    return weak_parts(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), direct.select(F.col("fn").alias("node")))
 
 
 def invalidated(invariants: DataFrame, validations: DataFrame, threats: DataFrame, conditions: DataFrame) -> DataFrame:

@@ -40,10 +40,8 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
 
 def ppr_nation_seed(spark: SparkSession, d: str) -> DataFrame:
     """Ranks of nations, customers and suppliers for one nation as seed; 0 where it does not reach."""
-    edges = write_out(graph(spark, d), "edges")
-    ranks = g.pagerank(edges, _seeds(spark, d).filter("seed_set = 3"))
-    shown = "node like 'n%' or node like 'c%' or node like 's%'"
-    return g.nodes_of(edges).filter(shown).join(ranks.filter(shown), "node", "left").select("node", F.round(F.coalesce("rank", F.lit(0.0)), 6).alias("rank"))
+    ranks = g.pagerank(graph(spark, d), _seeds(spark, d).filter("seed_set = 3"), every=True)
+    return ranks.filter("node like 'n%' or node like 'c%' or node like 's%'").select("node", F.round("rank", 6).alias("rank"))
 
 
 def ppr_multi_seed(spark: SparkSession, d: str) -> DataFrame:
@@ -99,8 +97,9 @@ def affinity_batches(spark: SparkSession, d: str) -> DataFrame:
 def transitive_effects(spark: SparkSession, d: str) -> DataFrame:
     calls = _calls(spark, d).select(F.col("src").alias("caller"), F.col("dst").alias("callee"), (F.col("src") % 4 == 0).alias("in_try"))
     direct = read(spark, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("fn"), F.when(F.col("p_size") % 2 == 0, "revert").otherwise("write").alias("effect"), F.col("p_size").alias("target"))
-    reverts = r.transitive_effects(calls, direct.filter("effect = 'revert'"), keep_try=False)
-    return reverts.unionByName(r.transitive_effects(calls, direct.filter("effect = 'write'"), keep_try=True))
+    parts = r.call_parts(calls, direct)
+    reverts = r.transitive_effects(calls, direct.filter("effect = 'revert'"), keep_try=False, parts=parts)
+    return reverts.unionByName(r.transitive_effects(calls, direct.filter("effect = 'write'"), keep_try=True, parts=parts))
 
 
 def chain_following(spark: SparkSession, d: str) -> DataFrame:

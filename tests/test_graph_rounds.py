@@ -48,7 +48,7 @@ def test_ranks_of_targets_equal_full_ranks(spark):
     seeds = spark.createDataFrame([(k, n, w) for k, s in sets.items() for n, w in s.items()], "section long, node long, weight double")
     wanted = spark.createDataFrame([(k, n) for k in sets for n in range(0, 45, 2)], "section long, node long")
     pairs = seeds.select("section", F.col("node").alias("seed")).join(wanted.withColumnRenamed("node", "target"), "section").select("seed", "target").distinct()
-    got = {(r.section, r.node): r["rank"] for r in graph.set_ranks(graph.kernels(graph.edge_flow(edges), pairs), seeds, wanted, by="section").collect()}
+    got = {(r.section, r.node): r["rank"] for r in graph.set_ranks(graph.kernels(edges, pairs), seeds, wanted, by="section").collect()}
     full = {(r.section, r.node): r["rank"] for r in graph.pagerank(edges, seeds, by="section").collect()}
     src, dst, w = (np.array(x) for x in zip(*[(a, b, c) for a, b, _, c in rows], strict=True))
     for k, s in sets.items():
