@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -30,7 +31,7 @@ BLOCK_COLUMNS, BLOCK_CELLS = 64, 16 << 20
 #: Edges (and entries) of a weakly connected part that one task solves.
 PART_EDGES = 2_000_000
 #: Numbers that one step holds at once beside its matrices.
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 Extractor = Callable[[dict[str, DataFrame]], DataFrame]
 
@@ -43,9 +44,14 @@ def edge_kinds(spark) -> DataFrame:
 def edges_of(pairs: DataFrame, kind: str) -> DataFrame:
     """(src, dst, kind, w) of pairs(src, dst), each once, mirrored if the kind goes both ways; no null ends."""
     w, both = next((w, both) for k, w, both in EDGE_KINDS if k == kind)
-    one = pairs.select("src", "dst").filter("src is not null and dst is not null")
-    out = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if both else one
-    return out.distinct().select("src", "dst", F.lit(kind).alias("kind"), F.lit(w).alias("w"))
+    one = pairs.filter("src is not null and dst is not null")
+    if both:  # each pair once whichever way it stands, then both ways
+        one = one.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+        there, back = (F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in ("ab", "ba"))
+        out = one.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, back))))
+    else:
+        out = one.select("src", "dst").distinct()
+    return out.select("src", "dst", F.lit(kind).alias("kind"), F.lit(w).alias("w"))
 
 
 def build(tables: dict[str, DataFrame], extractors: list[tuple[Callable[[dict], bool], Extractor]]) -> DataFrame:
@@ -143,9 +149,10 @@ class _Arrays:
         return out
 
 
-def _spread_over(edges: DataFrame, blocks: int) -> DataFrame:
-    """A copy of the edges for each block of columns."""
-    return edges.select("src", "dst", "w").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def _by_block(edges: DataFrame, rows: DataFrame, blocks: int) -> PandasCogroupedOps:
+    """A copy of the edges for each block of columns, beside the block's rows; as many tasks as blocks, which are not merged."""
+    copies = edges.select("src", "dst", "w").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return copies.repartition(2 * blocks, "_block").groupBy("_block").cogroup(rows.repartition(2 * blocks, "_block").groupBy("_block"))
 
 
 def _blocks_of(columns: int, edges: int) -> int:
@@ -174,7 +181,7 @@ def _rank_by_blocks(edges: DataFrame, n_edges: int, seeds: DataFrame, by: str, e
         at, k = np.nonzero(np.ones_like(rank) if every else rank + restart)
         return pa.table({"_by": keys.dictionary.take(pa.array(k)).cast(by_type), "node": g.names.take(pa.array(at)), "rank": rank[at, k]})
 
-    return _spread_over(edges, blocks).groupBy("_block").cogroup(rows.groupBy("_block")).applyInArrow(run, out).withColumnRenamed("_by", by)
+    return _by_block(edges, rows, blocks).applyInArrow(run, out).withColumnRenamed("_by", by)
 
 
 def _rank_by_joins(flow: DataFrame, seeds: DataFrame, by: str) -> DataFrame:
@@ -245,7 +252,7 @@ def kernels(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         bounds = pa.array(np.arange(0, (m + 1) * (ROUNDS + 1), ROUNDS + 1, dtype=np.int32))
         return pa.table({"seed": right["seed"], "target": right["target"], "k": pa.ListArray.from_arrays(bounds, pa.array(steps.ravel())), "l": pa.ListArray.from_arrays(bounds, pa.array(lost.ravel()))})
 
-    return _spread_over(edges, blocks).groupBy("_block").cogroup(rows.groupBy("_block")).applyInArrow(run, out)
+    return _by_block(edges, rows, blocks).applyInArrow(run, out)
 
 
 def set_ranks(known: DataFrame, seeds: DataFrame, wanted: DataFrame, *, by: str) -> DataFrame:

@@ -42,7 +42,7 @@ def reference_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supply_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "lineitem").select(node("s", "l_suppkey").alias("src"), node("p", "l_partkey").alias("dst")).distinct()
+    return read(spark, d, "lineitem").select(node("s", "l_suppkey").alias("src"), node("p", "l_partkey").alias("dst"))
 
 
 def graph(spark: SparkSession, d: str) -> DataFrame:
