@@ -102,3 +102,37 @@ def recursive_ancestry(rows: DataFrame) -> DataFrame:
         if relation == "ancestor":
             out = out.unionByName(far.select(F.col("dst").alias("topic"), F.col("src").alias("other"), F.lit("descendant").alias("relation")))
     return out
+
+
+def doc_panel(shown: DataFrame, above: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(panel, scope, subscope, ref, sort_key, mentions): the contexts of what a panel shows, one group for each scope.
+
+    shown(panel, topic); above(topic, ancestor); contexts(topic, scope, subscope,
+    ref, sort_key, mention). A topic with an ancestor in the same panel stands
+    inside that one already and brings no contexts of its own; topics without
+    ancestors stay, those without contexts bring none. Groups of one scope are one,
+    and a reference that several topics share stands once with the least place.
+    """
+    shown = shown.select("panel", "topic").distinct()
+    inside = shown.join(above, "topic").join(shown.withColumnRenamed("topic", "ancestor"), ["panel", "ancestor"], "left_semi").select("panel", "topic").distinct()
+    tops = shown.join(inside, ["panel", "topic"], "left_anti")
+    return merged(tops.join(contexts, "topic").drop("topic").withColumnRenamed("panel", "topic")).withColumnRenamed("topic", "panel")
+
+
+def nested_groups(refs: DataFrame, *, by: str = "topic") -> DataFrame:
+    """(by, groups): references nested by scope and subscope, array<struct<scope, sort_key, refs, inner array<struct<subscope, sort_key, refs>>>>.
+
+    refs(by, scope, subscope, ref, sort_key); a null subscope is the scope itself.
+    References stand by place, then id; groups by the least place in them, then
+    name. Each level is built from the one below, so no row holds more than one
+    topic's groups.
+    """
+    items = lambda: F.transform(F.array_sort(F.collect_list(F.struct("sort_key", "ref"))), lambda x: x["ref"])
+    once = refs.groupBy(by, "scope", "subscope", "ref").agg(F.min("sort_key").alias("sort_key"))
+    parts = once.groupBy(by, "scope", "subscope").agg(items().alias("refs"), F.min("sort_key").alias("sort_key"))
+    own = F.when(F.col("subscope").isNull(), F.col("refs"))
+    inner = F.when(F.col("subscope").isNotNull(), F.struct("sort_key", "subscope", "refs"))
+    scopes = parts.groupBy(by, "scope").agg(F.min("sort_key").alias("sort_key"), F.coalesce(F.max(own), F.expr("slice(max(refs), 1, 0)")).alias("refs"), F.array_sort(F.collect_list(inner)).alias("inner"))
+    swap = F.transform("inner", lambda x: F.struct(x["subscope"].alias("subscope"), x["sort_key"].alias("sort_key"), x["refs"].alias("refs")))
+    whole = scopes.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("sort_key", "scope", "refs", swap.alias("inner")))).alias("groups"))
+    return whole.select(by, F.transform("groups", lambda x: F.struct(x["scope"].alias("scope"), x["sort_key"].alias("sort_key"), x["refs"].alias("refs"), x["inner"].alias("inner"))).alias("groups"))

@@ -77,9 +77,9 @@ def subjects_in_order(nodes: DataFrame, roots: DataFrame, subjects: DataFrame, *
 
 
 def population(nodes: DataFrame, declarations: DataFrame) -> DataFrame:
-    """The nodes at or below a declaration (node_id) in scope, each once."""
-    tops = nodes.join(declarations.select("node_id").distinct(), "node_id", "left_semi").select("file", "enter", "leave")
-    return nodes.join(within(nodes.select("file", "enter"), tops).select("file", "enter").distinct(), ["file", "enter"], "left_semi")
+    """The nodes at or below a declaration (file, enter, leave) in scope, each once."""
+    held = within(nodes.select("file", "enter"), declarations.select("file", "enter", "leave").distinct())
+    return nodes.join(held.select("file", "enter").distinct(), ["file", "enter"], "left_semi")
 
 
 def _own_text(c: str) -> Column:

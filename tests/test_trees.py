@@ -328,7 +328,7 @@ def test_stubbed_trees_round_trip(programs):
 
 def test_population(programs):
     units, nodes = programs
-    some = nodes.filter("kind = 'FunctionDefinition' and file in ('1', '2')").select("node_id")
+    some = nodes.filter("kind = 'FunctionDefinition' and file in ('1', '2')")
     got = {(r.file, r.enter) for r in trees.population(nodes.filter("file < '3'"), some).collect()}
     want = set()
     for k, u in enumerate(units):
@@ -337,3 +337,59 @@ def test_population(programs):
             a = next(i for i, n in enumerate(order) if n["nodeType"] == "FunctionDefinition")
             want |= {(str(k), a + i) for i in range(len(preorder(order[a])))}
     assert got == want
+
+
+def _plain_references(text: str, known: dict) -> list[tuple]:
+    """A scan by code point: at each identifier the longest known dotted name, else the identifier."""
+    word = lambda c: c.isascii() and (c.isalnum() or c in "_$")
+    out, i, chain = [], 0, False
+    while i < len(text):
+        begins = word(text[i]) and not text[i].isdigit() and (i == 0 or not (word(text[i - 1]) or text[i - 1] == ".") or chain)
+        if not begins:
+            i, chain = i + 1, False
+            continue
+        ends, j = [], i
+        while True:
+            while j < len(text) and word(text[j]):
+                j += 1
+            ends.append(j)
+            if j + 1 < len(text) and text[j] == "." and word(text[j + 1]) and not text[j + 1].isdigit():
+                j += 1
+            else:
+                break
+        hits = [e for e in ends if text[i:e] in known]
+        end = max(hits, default=ends[0])
+        out.append((i, text[i:end], known.get(text[i:end], 0)))
+        chain = end < len(text) and text[end] == "." and end != ends[-1]
+        i = end + 1 if chain else end
+    return out
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_references_from_left_to_right(spark, monkeypatch, limit):
+    from strataloom.operators import names
+
+    monkeypatch.setattr(names, "TABLE_NAMES", limit)
+    rng = random.Random(9)
+    simple = ["a", "bb", "C", "$x", "_y", "go1"]
+    known = {**{s: rng.choice([1, 1, 2]) for s in simple[:4]}, **{f"{a}.{b}": rng.choice([1, 2]) for a in simple for b in simple if rng.random() < 0.3}, "C.a.bb": 1, "unused.name": 3}
+    rows = [(n, f"T{k}{n}") for n, many in known.items() for k in range(many)] + [(None, "T"), ("bb", None)]
+    texts = ["".join(rng.choice([*simple, *simple, ".", ".", " ", "1", "é", "-"]) for _ in range(rng.randint(0, 25))) for _ in range(150)] + ["", None, "a.", ".a", "a..bb", "1a.bb", "C.a.bb.C"]
+    got = {}
+    for r in names.scan(spark.createDataFrame(list(enumerate(texts)), "section int, body string"), spark.createDataFrame(rows, "name string, topic string"), key="section", text="body").collect():
+        got.setdefault(r.section, []).append((r.pos, r.start, r.reference, r.n_candidates, r.status, r.topic))
+    for k, text in enumerate(texts):
+        want = [(p, at, ref, n, ("unknown", "resolved", "ambiguous")[min(n, 2)], f"T0{ref}" if n == 1 else None) for p, (at, ref, n) in enumerate(_plain_references(text or "", known))]
+        assert sorted(got.get(k, [])) == want
+
+
+def test_panels_drop_what_stands_inside(spark):
+    from strataloom.operators import contexts
+
+    shown = spark.createDataFrame([(1, "A"), (1, "B"), (1, "B"), (1, "D"), (2, "B"), (2, "Z")], "panel int, topic string")
+    above = spark.createDataFrame([("B", "A"), ("D", "X"), ("A", "R")], "topic string, ancestor string")
+    ctx = spark.createDataFrame([("A", "s", None, 1, 5, "m"), ("B", "s", None, 2, 4, "m"), ("D", "s", None, 1, 3, "k"), ("D", "t", "u", 9, 1, "k")], "topic string, scope string, subscope string, ref int, sort_key int, mention string")
+    got = {(r.panel, r.scope, r.subscope, r.ref, r.sort_key, tuple(r.mentions)) for r in contexts.doc_panel(shown, above, ctx).collect()}
+    assert got == {(1, "s", None, 1, 3, ("k", "m")), (1, "t", "u", 9, 1, ("k",)), (2, "s", None, 2, 4, ("m",))}
+    nest = contexts.nested_groups(ctx.select(ctx.topic, "scope", "subscope", "ref", "sort_key")).filter("topic = 'D'").first().groups
+    assert [(g.scope, list(g.refs), [(x.subscope, list(x.refs)) for x in g.inner]) for g in nest] == [("t", [], [("u", [9])]), ("s", [1], [])]
