@@ -51,6 +51,11 @@ def audit_snapshot(tables: dict[str, DataFrame], audit: Column | int) -> dict[st
     return {name: df.filter(F.col("audit_id") == audit) for name, df in tables.items()}
 
 
+def snapshot_counts(table: DataFrame) -> DataFrame:
+    """(audit_id, n): the rows that each audit's snapshot of a table has, for all audits by one grouping."""
+    return table.groupBy("audit_id").agg(F.count("*").alias("n"))
+
+
 def audit_links(links: DataFrame, entities: DataFrame, key: str) -> DataFrame:
     """Link rows with the audit of their entity."""
     return links.join(entities.select(key, "audit_id"), key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -364,12 +366,8 @@ def applied_entities(spark: SparkSession, d: str) -> DataFrame:
 def audit_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each of an audit's tables, for every audit."""
     tables = {"features": read(spark, d, "supplier").select(F.col("s_nationkey").alias("audit_id")), "requirements": read(spark, d, "customer").select(F.col("c_nationkey").alias("audit_id"))}
-    out = None
-    for audit in range(25):
-        for name, rows in entities.audit_snapshot(tables, audit).items():
-            part = rows.groupBy("audit_id").agg(F.count("*").alias("n")).select("audit_id", F.lit(name).alias("entity"), "n")
-            out = part if out is None else out.unionByName(part)
-    return out
+    parts = [entities.snapshot_counts(rows).select("audit_id", F.lit(name).alias("entity"), "n") for name, rows in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def identifier_occurrences(spark: SparkSession, d: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.operators import validators as v
-from strataloom.plans.tables import comments, read
+from strataloom.plans.tables import comments, read, spread
 from strataloom.sources import syntax
+from strataloom.sources.shared import shared_folder
 from strataloom.streaming import events as st
+from strataloom.streaming import state
 
 
 def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +30,7 @@ def syntax_nodes(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem")
     item = F.struct((F.col("l_orderkey") * 100 + F.col("l_partkey") + 1000000).alias("id"), F.lit("FunctionCall").alias("nodeType"), F.struct(F.lit("Identifier").alias("nodeType"), F.col("l_partkey").alias("referencedDeclaration")).alias("expression"))
     tree = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("nodes")).select(F.col("l_orderkey").cast("string").alias("file"), F.to_json(F.struct(F.col("l_orderkey").alias("id"), F.lit("SourceUnit").alias("nodeType"), "nodes")).alias("json"))
-    return syntax.flatten(tree).groupBy("file", "kind").agg(F.count("*").alias("n"), F.max(F.size("path")).alias("depth"), F.sum("refers_to").alias("refs"))
+    return syntax.flatten(spread(tree)).groupBy("file", "kind").agg(F.count("*").alias("n"), F.max(F.size("path")).alias("depth"), F.sum("refers_to").alias("refs"))
 
 
 def verdict_validator(spark: SparkSession, d: str) -> DataFrame:
@@ -59,8 +63,34 @@ def status_upsert(spark: SparkSession, d: str) -> DataFrame:
     return st.upsert_latest(once, batch, ["comment_id"], "at").select("comment_id", "status")
 
 
-QUERIES = {f.__name__: f for f in (markdown_blocks, doc_comments, syntax_nodes, verdict_validator, stream_windows, stream_sessions, status_upsert)}
+def comment_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Comments, statuses and votes made of all events, run as a stream with state: what is shown after the last batch."""
+    e = st.open_stream(spark, d, "events.parquet", read(spark, d, "events").schema)
+    kind = F.when(F.col("event_type") == "purchase", "vote").when(F.col("event_type") == "error", "vote").when(F.col("event_type") == "view", "status").when(F.col("event_id") % 3 == 0, "unvote").otherwise("comment")
+    comment, none = F.col("event_id") % 300, F.lit(None)
+    said = kind == "comment"
+    rows = e.select(
+        (comment % 7).cast("long").alias("audit_id"), comment.cast("long").alias("comment_id"), kind.alias("kind"), F.col("event_id").cast("long").alias("seq"),
+        F.when(said, F.concat(F.lit("N"), (F.col("event_id") % 50).cast("string"))).alias("target"), F.when(said, F.array(F.concat(F.lit("M"), (F.col("event_id") % 11).cast("string")), F.concat(F.lit("M"), (F.col("user_id") % 5).cast("string")))).alias("mentions"),
+        F.when(kind == "status", F.when(F.col("event_id") % 4 == 0, "hidden").otherwise("active")).alias("status"), F.when(kind.isin("vote", "unvote"), F.col("user_id")).cast("long").alias("user_id"), F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(none).cast("int").alias("vote"),
+    )
+    before = spark.conf.get(state.STORE, None)
+    state.use_rocksdb(spark)
+    try:
+        base = f"{shared_folder(spark)}/strataloom-comments-{uuid.uuid4().hex}"
+        state.write_by_audit(state.comment_updates(rows), base)
+    finally:
+        spark.conf.unset(state.STORE) if before is None else spark.conf.set(state.STORE, before)
+    return state.latest(spark, base).withColumn("mentions", F.array_join("mentions", ","))
+
+
+QUERIES = {f.__name__: f for f in (markdown_blocks, doc_comments, syntax_nodes, verdict_validator, stream_windows, stream_sessions, status_upsert, comment_stream)}
 SQL = {
+    "comment_stream": """with e as (select event_id % 300 as comment_id, event_id as seq, user_id, case when event_type in ('purchase', 'error') then 'vote' when event_type = 'view' then 'status' when event_id % 3 = 0 then 'unvote' else 'comment' end as kind, case event_type when 'purchase' then 1 when 'error' then -1 else 0 end as vote from events),
+      v as (select comment_id, user_id, arg_max(vote, seq) as vote from e where kind in ('vote', 'unvote') group by 1, 2), t as (select comment_id, count(*) filter (vote > 0) as up, count(*) filter (vote < 0) as down from v group by 1),
+      m as (select comment_id, string_agg(distinct x, ',' order by x) as mentions from (select comment_id, unnest(['M' || (seq % 11), 'M' || (user_id % 5)]) as x from e where kind = 'comment') group by 1),
+      c as (select comment_id, 'N' || (arg_max(seq, seq) filter (kind = 'comment') % 50) as target, coalesce(case when (max(seq) filter (kind = 'status')) % 4 = 0 then 'hidden' when max(seq) filter (kind = 'status') is not null then 'active' end, 'active') as status, max(seq) as seq from e group by 1)
+      select comment_id % 7 as audit_id, comment_id, target, status, target is not null and status <> 'hidden' as visible, coalesce(mentions, '') as mentions, coalesce(up, 0) - coalesce(down, 0) as score, coalesce(up, 0) as up, coalesce(down, 0) as down, seq from c left join t using (comment_id) left join m using (comment_id)""",
     "markdown_blocks": r"""with l as (select unnest(string_split('# Title' || chr(10) || '- item' || chr(10) || '> said' || chr(10) || '```' || chr(10) || '---' || chr(10) || chr(10) || '## Sub' || chr(10) || text, chr(10))) as line from conversations), k as (select line, length(regexp_extract(line, '^(#{1,6})\s', 1)) as level from l)
       select case when regexp_matches(line, '^\s*```') then 'fence' when level > 0 then 'heading' when regexp_matches(line, '^\s*([-*+]|\d+\.)\s') then 'item' when regexp_matches(line, '^\s*>') then 'quote' when regexp_matches(line, '^\s*(-{3,}|\*{3,}|_{3,})\s*$') then 'rule' when trim(line) = '' then 'blank' else 'paragraph' end as kind, case when level > 0 then level::int end as level, count(*) as n from k group by 1, 2""",
     "doc_comments": "select p_partkey, unnest(['untagged', 'notice', 'param']) as tag, unnest([p_name, 'about ' || p_brand || ' more', 'a ' || p_type]) as text from part",
