@@ -629,23 +629,34 @@ def tarjan(nodes: list, succ: dict) -> list[list]:
 
 
 def greedy_batches(groups: list[list], shared: dict, limit: int = BATCH_SIZE) -> list[list]:
-    """Groups of one layer packed into batches of at most `limit` members; each batch grows by the group that shares most callees with it."""
-    left = list(groups)
-    out = []
-    while left:
-        batch = left.pop(0)
-        members, callees = list(batch), set().union(*(shared.get(m, set()) for m in batch))
-        while len(members) < limit:
-            best, most = None, 0
-            for k, g in enumerate(left):
-                common = len(callees & set().union(*(shared.get(m, set()) for m in g)))
-                if len(members) + len(g) <= limit and common > most:
-                    best, most = k, common
-            if best is None:
+    """Groups of one layer packed into batches of at most `limit` members; each batch grows by the group that shares most callees with it, the first of equal ones.
+
+    An index from callee to groups keeps the shared numbers of a growing batch, so
+    only groups that share something are looked at.
+    """
+    wants = [set().union(*(shared.get(m, set()) for m in g)) for g in groups]
+    users: dict = {}
+    for k, want in enumerate(wants):
+        for callee in want:
+            users.setdefault(callee, []).append(k)
+    used, out = [False] * len(groups), []
+    for first in range(len(groups)):
+        if used[first]:
+            continue
+        members, callees, common, k = [], set(), {}, first
+        while True:
+            used[k] = True
+            common.pop(k, None)
+            members += groups[k]
+            for callee in wants[k] - callees:
+                callees.add(callee)
+                users[callee] = [j for j in users[callee] if not used[j]]
+                for j in users[callee]:
+                    common[j] = common.get(j, 0) + 1
+            fits = [(-n, j) for j, n in common.items() if len(members) + len(groups[j]) <= limit]
+            if len(members) >= limit or not fits:
                 break
-            g = left.pop(best)
-            members += g
-            callees |= set().union(*(shared.get(m, set()) for m in g))
+            k = min(fits)[1]
         out.append(members)
     lone = [b for b in out if len(b) == 1 and not shared.get(b[0])]
     rest = [b for b in out if not (len(b) == 1 and not shared.get(b[0]))]

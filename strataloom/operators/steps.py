@@ -8,9 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.sources.shared import shared_folder
+
 
 def condensed(texts: DataFrame, topics: DataFrame, condense: Callable[[list[str]], str]) -> DataFrame:
     """(declaration, text): texts(declaration, ord, text) after one proxy hop; a single text passes through, several go to the condenser in order."""
@@ -122,6 +127,41 @@ def chunks(rows: DataFrame, *, by: str, order: list[str], size: int) -> DataFram
     return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / size).cast("int"))
 
 
+def merge_tree(items: DataFrame, merge: Callable[[DataFrame], DataFrame], *, by: str, folder: str | None = None) -> DataFrame:
+    """(by, body): the answers of each `by` merged two and two, round by round, until one is left.
+
+    items(by, place, body) with places 0, 1, 2, ... in each `by`. merge takes
+    (by, place, left, right) rows and returns (by, place, body), a model's answers
+    for instance; an answer without partner goes on as it is. The tree depends on
+    places alone, never on partitions. Every round is written to the shared
+    folder; with `folder` named, a run that was broken off goes on behind its last
+    whole round and asks nothing again.
+    """
+    spark = items.sparkSession
+    folder = folder or f"{shared_folder(spark)}/strataloom-merge-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    first = items.select(by, F.col("place").cast("long").alias("place"), "body")
+    schema, k = first.schema, 0
+
+    def merged(rows: DataFrame) -> DataFrame:
+        pair = F.expr("place div 2").alias("place")
+        left = rows.filter("place % 2 = 0").select(by, pair, F.col("body").alias("left"))
+        right = rows.filter("place % 2 = 1").select(by, pair, F.col("body").alias("right"))
+        answers = merge(left.join(right, [by, "place"])).select(by, "place", "body")
+        return answers.unionByName(left.join(right, [by, "place"], "left_anti").withColumnRenamed("left", "body"))
+
+    make = lambda: first
+    while True:
+        at = f"{folder}/round={k}"
+        if not fs.exists(path(f"{at}/_SUCCESS")):
+            make().write.mode("overwrite").parquet(at)
+        rows = spark.read.schema(schema).parquet(at)
+        if not rows.filter("place > 0").head(1):
+            return rows.select(by, "body")
+        make, k = lambda rows=rows: merged(rows), k + 1
+
+
 def section_text(sections: DataFrame, parts: DataFrame) -> DataFrame:
     """(section, text): `Section: title`, then its parts by place, one to a line."""
     body = parts.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("body"))

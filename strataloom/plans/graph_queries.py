@@ -9,8 +9,9 @@ from strataloom.functions.tables import TOP_EDGES
 from strataloom.operators import graph as g
 from strataloom.operators import relations as r
 from strataloom.operators import resolve
-from strataloom.sources.shared import write_out
+from strataloom.plans import kb
 from strataloom.plans.tables import GRAPH_SQL, call_pairs, contains_pairs, graph, node, read, reference_pairs
+from strataloom.sources.shared import write_out
 
 
 def edge_dedup_undirected(spark: SparkSession, d: str) -> DataFrame:
@@ -89,9 +90,11 @@ def dag_layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def affinity_batches(spark: SparkSession, d: str) -> DataFrame:
-    calls = _calls(spark, d).select(F.lit(0).alias("audit"), F.col("dst").alias("callee"), F.col("src").alias("caller"))
-    members = read(spark, d, "part").select(F.lit(0).alias("audit"), F.col("p_partkey").alias("member"))
-    return g.call_batches(calls, members, by="audit")
+    """Functions of every contract (an audit of its own) in batches by call layer and shared callees."""
+    members = kb.functions(spark, d).select(F.col("component").alias("audit"), F.col("topic").alias("member"))
+    of = lambda name: members.select(F.col("audit").alias(f"{name}_audit"), F.col("member").alias(name))
+    calls = kb.calls(spark, d).select(F.col("fn").alias("caller"), "callee").distinct().join(of("caller"), "caller").join(of("callee"), "callee").filter("caller_audit = callee_audit").withColumnRenamed("caller_audit", "audit")
+    return g.call_batches(calls.select("audit", "callee", "caller"), members, by="audit")
 
 
 def transitive_effects(spark: SparkSession, d: str) -> DataFrame:

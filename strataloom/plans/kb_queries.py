@@ -496,6 +496,13 @@ def rendered_members(spark: SparkSession, d: str) -> DataFrame:
     return steps.rendered(kb.functions(spark, d), kb.effects(spark, d), kb.calls(spark, d)).select("member", F.md5(F.col("json").cast("binary")).alias("json_md5"))
 
 
+def synthesis_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of two parts of each document, merged two and two; the merger writes both answers in brackets."""
+    two = steps.chunks(read(spark, d, "part").select(F.col("p_size").alias("document"), "p_partkey"), by="document", order=["p_partkey"], size=2)
+    items = two.groupBy("document", F.col("chunk").alias("place")).agg(F.array_join(F.array_sort(F.collect_list("p_partkey")), " ").alias("body"))
+    return steps.merge_tree(items, lambda pairs: pairs.select("document", "place", F.concat(F.lit("("), "left", F.lit(" "), "right", F.lit(")")).alias("body")), by="document")
+
+
 def synthesis_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Requirements of a document in chunks of two."""
     rows = read(spark, d, "part").select(F.col("p_size").alias("document"), "p_partkey")
@@ -516,7 +523,7 @@ QUERIES = {
         features_of_topics, requirements_of_members, members_with_feature, member_documents, contract_summaries, technical_sections, section_tree,
         contexts_merged, contexts_in_order, contexts_undominated, context_groups_order, expanded_groups_order, branch_groups, mutations_of_variables, ancestry_counts, in_scope_ancestry, variable_flows, recursive_ancestry, tree_shake,
         listing_contracts, topic_rows, scope_round_trip, user_links, new_entity_ids, applied_entities, audit_snapshot, identifier_occurrences, comment_plan, new_mentions, first_semantic, semantics_of_declarations, natspec_texts, specific_mentions,
-        condensed_texts, parsed_requirements, parsed_behaviors, validated_conditions, eligible_members, direct_io, distinct_effects, effect_clauses, revert_messages, rendered_members, synthesis_chunks, section_texts,
+        condensed_texts, parsed_requirements, parsed_behaviors, validated_conditions, eligible_members, direct_io, distinct_effects, effect_clauses, revert_messages, synthesis_tree, rendered_members, synthesis_chunks, section_texts,
     )
 }
 
@@ -599,6 +606,11 @@ select distinct fn as src, target as dst, kind, w::double as w from ranked where
     "revert_messages": f"{_W} select distinct site || '-' || l_partkey || '-' || l_suppkey || '-' || l_returnflag || '-' || l_linestatus as site, case when l_linestatus = 'F' then 'require' else 'revert' end as kind, coalesce(case when l_suppkey % 4 = 1 then s.name end, case when l_linestatus = 'F' then case when l_partkey % 2 = 0 then 'why ' || l_partkey end else 'msg ' || l_partkey end) as message from lines left join signals s on s.topic = 'e' || l_suppkey and s.kind = 'Error' where l_returnflag = 'A'",
     "rendered_members": f"""{_W}, w as (select fn, list(distinct target order by target) filter (effect = 'write') as w, list(distinct target order by target) filter (effect = 'event') as e from effects group by fn), c as (select fn, list(distinct callee order by callee) as c from calls group by fn)
 select topic as member, md5(to_json({{'topic': topic, 'name': name, 'visibility': visibility, 'writes': coalesce(w, []), 'emits': coalesce(e, []), 'calls': coalesce(c, [])}})::varchar) as json_md5 from functions left join w on w.fn = topic left join c on c.fn = topic""",
+    "synthesis_tree": """with recursive c as (select p_size as document, p_partkey, (row_number() over (partition by p_size order by p_partkey) - 1) // 2 as place from part),
+      items as (select document, place, string_agg(p_partkey::varchar, ' ' order by p_partkey) as body, count(*) over (partition by document) as n from c group by 1, 2),
+      round as (select document, place, body, n from items union all
+        select l.document, l.place // 2, case when r.body is null then l.body else '(' || l.body || ' ' || r.body || ')' end, (l.n + 1) // 2 from round l left join (select * from round) r on r.document = l.document and r.n = l.n and r.place = l.place + 1 where l.n > 1 and l.place % 2 = 0)
+      select document, body from round where n = 1""",
     "synthesis_chunks": "select p_size as document, p_partkey, ((row_number() over (partition by p_size order by p_partkey) - 1) // 2)::int as chunk from part",
     "section_texts": "with b as (select l_orderkey, string_agg(l_returnflag || ' ' || l_partkey, chr(10) order by l_linenumber, l_returnflag || ' ' || l_partkey) as body from lineitem where l_linenumber > 1 group by 1) select o_orderkey as section, md5(concat_ws(chr(10), 'Section: ' || o_orderpriority, body)) as text_md5 from orders left join b on l_orderkey = o_orderkey",
 }

@@ -125,3 +125,53 @@ def test_seeds_of_comments(spark):
     known = spark.createDataFrame([(1, "T0"), (1, "T0"), (1, "X")], "section long, node string")
     got = {r.node: r.weight for r in resolve.comment_seeds(chains, known).collect()}
     assert got["T0"] == 2.0 and got["T1"] == 0.5 and got["X"] == 1.0 and min(got.values()) == 2.0**-resolve.MAX_SEED_DEPTH
+
+
+def _plain_batches(groups, shared, limit):
+    """Every group is weighed for every place of a batch."""
+    left, out = list(groups), []
+    while left:
+        members = list(left.pop(0))
+        while len(members) < limit:
+            have = set().union(*(shared.get(m, set()) for m in members))
+            sizes = [len(have & set().union(*(shared.get(m, set()) for m in g))) if len(members) + len(g) <= limit else 0 for g in left]
+            if not sizes or max(sizes) == 0:
+                break
+            members += left.pop(sizes.index(max(sizes)))
+        out.append(members)
+    lone = [b for b in out if len(b) == 1 and not shared.get(b[0])]
+    flat = [m for b in lone for m in b]
+    return [b for b in out if b not in lone] + [flat[i : i + limit] for i in range(0, len(flat), limit)]
+
+
+def test_batches_equal_plain_form():
+    rng = random.Random(8)
+    for _ in range(200):
+        n = rng.randint(0, 25)
+        groups, k = [], 0
+        while k < n:
+            size = rng.choice([1, 1, 1, 2, 6])
+            groups.append(list(range(k, k + size)))
+            k += size
+        shared = {m: set(rng.sample(range(8), rng.randint(0, 3))) for m in range(k)}
+        assert graph.greedy_batches(groups, shared, 5) == _plain_batches(groups, shared, 5)
+
+
+def test_merge_tree_goes_on_behind_its_last_round(spark, tmp_path):
+    from strataloom.operators import steps
+
+    rows = [(d, p, f"{d}{p}") for d, n in (("a", 7), ("b", 1), ("c", 2), ("d", 4)) for p in range(n)]
+    asked = []
+
+    def merge(pairs):
+        asked.append(pairs.count())
+        if len(asked) == 2:
+            raise RuntimeError("broken off")
+        return pairs.select("doc", "place", F.concat(F.lit("("), "left", "right", F.lit(")")).alias("body"))
+
+    items = spark.createDataFrame(rows, "doc string, place int, body string")
+    with pytest.raises(RuntimeError):
+        steps.merge_tree(items, merge, by="doc", folder=f"{tmp_path}/run")
+    got = {r.doc: r.body for r in steps.merge_tree(items.repartition(7), merge, by="doc", folder=f"{tmp_path}/run").collect()}
+    assert got == {"a": "(((a0a1)(a2a3))((a4a5)a6))", "b": "b0", "c": "(c0c1)", "d": "((d0d1)(d2d3))"}
+    assert asked == [6, 3, 3, 1]  # 6 pairs once; the second round twice, as it was broken off
