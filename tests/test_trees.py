@@ -393,3 +393,21 @@ def test_panels_drop_what_stands_inside(spark):
     assert got == {(1, "s", None, 1, 3, ("k", "m")), (1, "t", "u", 9, 1, ("k",)), (2, "s", None, 2, 4, ("m",))}
     nest = contexts.nested_groups(ctx.select(ctx.topic, "scope", "subscope", "ref", "sort_key")).filter("topic = 'D'").first().groups
     assert [(g.scope, list(g.refs), [(x.subscope, list(x.refs)) for x in g.inner]) for g in nest] == [("t", [], [("u", [9])]), ("s", [1], [])]
+
+
+def test_faults_and_types_of_nodes(spark):
+    from strataloom.sources import kinds
+
+    good = {"id": 1, "nodeType": "FunctionDefinition", "kind": "function", "stateMutability": "view", "visibility": "public", "virtual": None, "parameters": {"id": 2, "nodeType": "ParameterList", "parameters": []}, "returnParameters": {"id": 3, "nodeType": "ParameterList", "parameters": []}}
+    bad = {"id": 4, "nodeType": "Assignment", "operator": "=>", "leftHandSide": {"id": 5, "nodeType": "Identifier", "name": "a"}, "extra": {"id": 6, "nodeType": "Strange"}}
+    odd = {"id": 7, "nodeType": "FunctionCall", "kind": 5, "tryCall": "no", "names": [], "expression": {"id": 8, "nodeType": "MemberAccess", "memberName": "m", "referencedDeclaration": 9, "expression": {"id": 9, "nodeType": "Identifier", "name": "b", "referencedDeclaration": -1}}}
+    nodes = syntax.flatten(spark.createDataFrame([(k, json.dumps(t)) for k, t in (("good", good), ("bad", bad), ("odd", odd))], "file string, json string")).cache()
+    got = {(r.file, tuple(r.path), r.field, r.reason) for r in kinds.node_faults(nodes).collect()}
+    assert got == {
+        ("bad", (), "operator", "unknown value"), ("bad", (), "rightHandSide", "missing"), ("bad", (0,), "referencedDeclaration", "missing"), ("bad", (1,), None, "unknown kind"),
+        ("odd", (), "kind", "not a STRING"), ("odd", (), "tryCall", "not a BOOLEAN"),
+    }
+    r = kinds.typed(nodes, "FunctionDefinition").first()
+    assert (r.kind, r.stateMutability, r.visibility, r.implemented, r.virtual) == ("function", "view", "public", None, None)
+    call = kinds.typed(nodes, "FunctionCall").first()
+    assert (call.kind, call.tryCall, call.names) == (None, None, [])
