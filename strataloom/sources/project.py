@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import normalize_path
@@ -37,3 +37,35 @@ def security_notes(spark: SparkSession, path: str) -> str | None:
 def source_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, text) of source files below a folder."""
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def documents(spark: SparkSession, root: str, listed: DataFrame, *, strict: bool = True) -> DataFrame:
+    """(pos, path, is_technical, text) of the listed documents (see document_list) below a folder.
+
+    Files are read by Spark where they lie; the list decides order and flags. A
+    listed file that is not there is an error, or has a null text if not strict.
+    """
+    base = root.rstrip("/")
+    texts = source_texts(spark, base).select(normalize_path(F.regexp_replace("path", "^file:(//)?", ""), base).alias("path"), "text")
+    rows = listed.withColumn("path", normalize_path(F.col("path"), base)).join(texts, "path", "left").select("pos", "path", "is_technical", "text")
+    if strict and (lost := [r.path for r in rows.filter("text is null").select("path").limit(20).collect()]):
+        raise FileNotFoundError(f"listed documents that are not there: {', '.join(sorted(lost))}")
+    return rows
+
+
+def numbered(parts: DataFrame, *, first: int = 1) -> DataFrame:
+    """parts(pos, k, ...) with id: consecutive numbers by document, then place, whatever the order of tasks.
+
+    Each document takes as many numbers as it has parts, so a number follows from
+    its place and the sizes of the documents before it (one row a document).
+    """
+    sizes = parts.groupBy("pos").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("pos").orderBy("k")) - 1
+    return parts.join(sizes.select("pos", before.alias("_before")), "pos").withColumn("id", (F.col("_before") + place + first).cast("long")).drop("_before")
+
+
+def comments(spark: SparkSession, path: str, *, kind: str = "parquet", **options: str) -> DataFrame:
+    """The comments table of a store (a folder, or kind `jdbc` with its options) without hidden ones; the filter reaches the store."""
+    reader = spark.read.format(kind).options(**options)
+    return (reader.load() if kind == "jdbc" else reader.load(path)).filter("status is null or status <> 'hidden'")
