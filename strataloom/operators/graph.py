@@ -30,6 +30,8 @@ ARRAY_EDGES = 4_000_000
 BLOCK_COLUMNS, BLOCK_CELLS = 64, 16 << 20
 #: Edges (and entries) of a weakly connected part that one task solves.
 PART_EDGES = 2_000_000
+#: Rows of small parts that are dealt to one task, about.
+DEAL_ROWS = 500_000
 #: Numbers that one step holds at once beside its matrices.
 CELLS = 1 << 18
 
@@ -380,6 +382,12 @@ def _large(rows: DataFrame) -> DataFrame | None:
     return write_out(large, "large-parts") if large.head(1) else None
 
 
+def _dealt(rows: DataFrame, total: int) -> DataFrame:
+    """rows + _deal: parts dealt to tasks, many small ones to each; an answer for several parts at once is that of each."""
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism + total // DEAL_ROWS
+    return rows.withColumn("_deal", F.pmod(F.xxhash64("part"), F.lit(tasks)))
+
+
 def _condensed(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(component, layer) of each node 0..n-1: components are numbered as they close, so after all that they reach; the layer is the longest path from a source."""
     order = np.argsort(src, kind="stable")
@@ -457,7 +465,8 @@ def condense(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         least[comp[place]] = place  # the least name of a component is written last
         return pa.table({"node": names.take(pa.array(node)), "component": names.take(pa.array(least[comp[node]])), "layer": pa.array(layer[node], pa.int32())})
 
-    done = small(parts).groupBy("part").cogroup(small(edges).groupBy("part")).applyInArrow(run, out)
+    total = parts.count() + edges.count()
+    done = _dealt(small(parts), total).groupBy("_deal").cogroup(_dealt(small(edges), total).groupBy("_deal")).applyInArrow(run, out)
     if large is None:
         return done
     wide = write_out(edges.join(large, "part", "left_semi").select("src", "dst"), "wide")
@@ -546,7 +555,7 @@ def fold_components(pairs: DataFrame, direct: DataFrame, *, lift: dict[str, Colu
 
     large = _large(rows)
     small = rows if large is None else rows.join(large, "part", "left_anti")
-    found = small.groupBy("part").applyInArrow(fold, out)
+    found = _dealt(small, rows.count()).groupBy("_deal").applyInArrow(fold, out)
     if large is not None:
         wide = write_out(rows.join(large, "part", "left_semi"), "wide")
         back = wide.filter("dst is not null").select(F.col("dst").alias("src"), F.col("src").alias("dst"))

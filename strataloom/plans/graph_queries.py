@@ -10,7 +10,7 @@ from strataloom.operators import graph as g
 from strataloom.operators import relations as r
 from strataloom.operators import resolve
 from strataloom.plans import kb
-from strataloom.plans.tables import GRAPH_SQL, call_pairs, contains_pairs, graph, node, read, reference_pairs
+from strataloom.plans.tables import GRAPH_SQL, call_pairs, contains_pairs, graph, node, read
 from strataloom.sources.shared import write_out
 
 
@@ -146,6 +146,19 @@ SQL = {
     "residual_references": f"with {GRAPH_SQL}, r as (select 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem union select dst, src from contains union select 'c' || l_suppkey, 'p' || l_partkey from lineitem) select src, dst from r where not exists (select 1 from graph where graph.src = r.src and graph.dst = r.dst)",
     "graph_dump": f"with {GRAPH_SQL} select src, dst, kind, case kind when 'ContainsMember' then 0 when 'Calls' then 3 when 'References' then 4 else 5 end as ord from graph",
     "ppr_nation_seed": f"with recursive {_PPR_SQL} select node, round(rank, 6) as rank from rounds where k = 30 and (node like 'n%' or node like 'c%' or node like 's%')",
+    # mass is kept, so every unit of rank gives 0.15 of itself back to the seed, and all of it at a node without a way out
+    "ppr_multi_seed": f"""with recursive {GRAPH_SQL},
+flow as (select src, dst, sum(w) / (sum(sum(w)) over (partition by src)) as q from graph group by src, dst),
+rounds as (select n_nationkey as s, 'n' || n_nationkey as node, 1.0::double as rank, 0 as k from nation
+  union all
+  select s, node, v, k + 1 from (select s, node, sum(v)::double as v, k from (
+    select r.s, f.dst as node, 0.85 * r.rank * f.q as v, r.k from rounds r join flow f on f.src = r.node
+    union all select r.s, 'n' || r.s, r.rank * case when r.node in (select src from flow) then 0.15 else 1.0 end, r.k from rounds r) where k < 30 group by s, node, k))
+select s as seed_set, node, round(rank, 6) as rank from rounds where k = 30 and node like 's%'""",
+    "ppr_top_edges": f"""with recursive {_PPR_SQL},
+parts as (select dst, src, kind, round(rank * w / (select sum(w) from graph o where o.src = graph.src), 9) as c from graph join rounds on node = src and k = 30 where dst in (select 'c' || c_custkey from customer where c_nationkey = 3)),
+placed as (select *, (row_number() over (partition by dst order by c desc, src, kind))::int as place from parts)
+select dst, src, kind, round(c, 6) as contribution, place from placed where place <= 3 and (c > 0 or place = 1)""",
     "reachability": "select 'r' || n_regionkey as root, kind, count(*) as n from (select n_regionkey, 'r' as kind from (select r_regionkey as n_regionkey from region) union all select n_regionkey, 'n' from nation union all select n_regionkey, 'c' from customer join nation on c_nationkey = n_nationkey union all select n_regionkey, 'o' from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey) group by 1, 2",
     "ancestry": "select 'c' || c_custkey as src, 'n' || c_nationkey as dst from customer union select 'n' || n_nationkey, 'r' || n_regionkey from nation union select 'c' || c_custkey, 'r' || n_regionkey from customer join nation on c_nationkey = n_nationkey",
     "scc_components": f"with recursive {_CALLS_SQL}, far as (select src, dst from pc union select far.src, pc.dst from far join pc on far.dst = pc.src) select node, least(node, coalesce((select min(a.dst) from far a where a.src = node and exists (select 1 from far b where b.src = a.dst and b.dst = node)), node)) as component from (select src as node from pc union select dst from pc)",
