@@ -65,8 +65,16 @@ def parse_type(c: Column) -> Column:
 
 def code_tokens(c: Column) -> Column:
     """array<struct<class, value>> of code: operator, keyword, identifier or text, in order; operators are the longest that fit."""
-    kind = lambda x: F.when(x.isin(*CODE_OPERATORS), "operator").when(x.isin(*KEYWORDS), "keyword").when(x.rlike("^[A-Za-z_$]"), "identifier").otherwise("text")
-    return F.transform(F.regexp_extract_all(c, F.lit(_TOKEN), 0), lambda x: F.struct(kind(x).alias("class"), x.alias("value")))
+    return F.transform(code_words(c), lambda x: F.struct(token_class(x).alias("class"), x.alias("value")))
+
+
+def code_words(c: Column) -> Column:
+    """array<string>: the values of code_tokens()."""
+    return F.regexp_extract_all(c, F.lit(_TOKEN), 0)
+
+
+def token_class(x: Column) -> Column:
+    return F.when(x.isin(*CODE_OPERATORS), "operator").when(x.isin(*KEYWORDS), "keyword").when(x.rlike("^[A-Za-z_$]"), "identifier").otherwise("text")
 
 
 def with_array_field(body: Column, name: str, values: Column) -> Column:

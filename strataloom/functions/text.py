@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.tables import ABBREVIATIONS, CODE_OPERATORS, CODE_REFERENCE, COMMON_WORDS, COMPOUND_TERMS, KEYWORDS, OPERATOR_WORDS, PARTY_PREFIXES, RECOMMENDATION_PREFIXES, STOP_WORDS
+from strataloom.sources.shared import write_out
 
 
 def _replace_all(c: Column, table: tuple[tuple[str, str], ...]) -> Column:
@@ -53,15 +54,39 @@ def stem(c: Column) -> Column:
     return reduce(lambda acc, r: F.regexp_replace(acc, r[0], r[1].replace("{", "$").replace("}", "")), STEM_RULES, c)
 
 
+#: Words up to this number are broadcast with their tokens; counted first.
+BROADCAST_WORDS = 1_000_000
+
+
+def _words(df: DataFrame, keys: list[str], text: str, code: bool) -> DataFrame:
+    source = expand_operators(expand_compounds(F.col(text))) if code else F.col(text)
+    return df.select(*keys, F.explode(F.split(source, "[^A-Za-z0-9_]+")).alias("_w")).filter("_w != ''")
+
+
 def tokens(df: DataFrame, key: str | list[str], text: str, *, code: bool = False) -> DataFrame:
-    """(key..., token): one row for each token of each row's text, in no order; empty texts give none.
+    """(key..., token): one row for each token of each row's text, in no order; empty texts give none."""
+    keys = [key] if isinstance(key, str) else key
+    return _tokens_of(_words(df, keys, text, code), keys)
 
-    The steps are separate projections, so each regular expression runs once a
-    word, and most words (lower-case letters only) skip the identifier split.
+
+def token_counts(df: DataFrame, key: str | list[str], text: str, *, code: bool = False) -> DataFrame:
+    """(key..., token, n): the tokens of each row's text counted.
+
+    Words are counted first, and a word is cut to tokens once for all texts: the
+    regular expressions run over the distinct words, not over every word.
     """
     keys = [key] if isinstance(key, str) else key
-    source = expand_operators(expand_compounds(F.col(text))) if code else F.col(text)
-    words = df.select(*keys, F.explode(F.split(source, "[^A-Za-z0-9_]+")).alias("_w")).filter("_w != ''")
+    counted = write_out(_words(df, keys, text, code).groupBy(*keys, "_w").agg(F.count("*").alias("_n")), "words")
+    words = counted.select("_w").distinct()
+    cut = write_out(_tokens_of(words.select("_w", F.col("_w").alias("_word")), ["_word"]), "tokens")
+    cut = F.broadcast(cut) if cut.count() <= BROADCAST_WORDS else cut
+    # dealt out by key, so what is grouped or ranked by key after this moves no more
+    rows = counted.join(cut, F.col("_w") == F.col("_word")).select(*keys, "token", "_n").repartition(*keys)
+    return rows.groupBy(*keys, "token").agg(F.sum("_n").alias("n"))
+
+
+def _tokens_of(words: DataFrame, keys: list[str]) -> DataFrame:
+    """The steps are separate projections, so each regular expression runs once a word, and most words (lower-case letters only) skip the identifier split."""
     parts = words.select(*keys, F.explode(split_identifier(F.col("_w"))).alias("_p"))
     known = parts.select(*keys, expand_abbreviation(F.lower("_p")).alias("_l")).filter(~F.col("_l").isin(*STOP_WORDS))
     out = known.select(*keys, stem(F.col("_l")).alias("token"))

@@ -13,7 +13,11 @@ BROADCAST_TERMS = 1_000_000
 
 def term_counts(tokens: DataFrame, doc: str) -> DataFrame:
     """(doc, token, f, dl): tokens(doc, token) counted, with the document's length."""
-    counted = tokens.groupBy(doc, "token").agg(F.count("*").alias("f"))
+    return with_lengths(tokens.groupBy(doc, "token").agg(F.count("*").alias("f")), doc)
+
+
+def with_lengths(counted: DataFrame, doc: str) -> DataFrame:
+    """counted(doc, token, f) with the document's length dl."""
     return counted.withColumn("dl", F.sum("f").over(Window.partitionBy(doc)))
 
 
@@ -30,16 +34,20 @@ def scores(queries: DataFrame, counts: DataFrame, *, query: str, doc: str) -> Da
     """(query, doc, score): sum over query tokens, repeated ones counted each time; zero scores are dropped.
 
     Only the document terms that some query holds are joined. The terms of the
-    queries are broadcast if their number is within a limit.
+    queries are broadcast if their number is within a limit. Then a document's
+    terms stay in the task that sums its scores, and top_k() ranks there before
+    anything moves: what is shuffled does not grow with queries times documents.
     """
     asked = write_out(queries.groupBy(query, "token").agg(F.count("*").alias("times")), "asked")
     counts = write_out(counts, "counts")  # read three times: for the hits, their frequencies and the corpus
     terms = asked.select("token").distinct()
     wanted = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    hits = counts.join(wanted, "token", "left_semi")
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
+    hits = counts.join(wanted, "token", "left_semi").repartition(doc)
+    df = counts.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     stats = corpus_stats(counts, doc)
     weighted = asked.join(df, "token").crossJoin(F.broadcast(stats)).select(query, "token", "times", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
+    weighted = write_out(weighted, "weighted")
+    weighted = F.broadcast(weighted) if weighted.count() <= BROADCAST_TERMS else weighted
     effective = F.greatest(F.col("dl"), F.col("avgdl") * LENGTH_FLOOR)
     part = F.col("times") * F.col("idf") * (F.col("f") * (K1 + 1.0)) / (F.col("f") + K1 * (1.0 - B + B * effective / F.col("avgdl")))
     return hits.join(weighted, "token").groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")

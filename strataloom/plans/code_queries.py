@@ -30,8 +30,9 @@ def attached_types(spark: SparkSession, d: str) -> DataFrame:
 def code_token_classes(spark: SparkSession, d: str) -> DataFrame:
     """Classes of the tokens of statements made from line items."""
     li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("return "), F.lower("l_returnflag"), F.lit("Total += p"), F.col("l_partkey").cast("string"), F.lit(" * 2 >= "), F.col("l_suppkey").cast("string"), F.lit(";")).alias("s"))
-    tokens = li.select(F.explode(code.code_tokens(F.col("s"))).alias("t"))
-    return tokens.groupBy(F.col("t.class").alias("class"), F.when(F.col("t.class").isin("operator", "keyword"), F.col("t.value")).alias("value")).agg(F.count("*").alias("n"))
+    # equal tokens have one class, so it is looked up once for each
+    tokens = li.select(F.explode(code.code_words(F.col("s"))).alias("v")).groupBy("v").agg(F.count("*").alias("_n")).select("v", "_n", code.token_class(F.col("v")).alias("class"))
+    return tokens.groupBy("class", F.when(F.col("class").isin("operator", "keyword"), F.col("v")).alias("value")).agg(F.sum("_n").alias("n"))
 
 
 def comment_codecs(spark: SparkSession, d: str) -> DataFrame:

@@ -9,16 +9,17 @@ from strataloom.functions import text as t
 from strataloom.functions.tables import CODE_REFERENCE, COMMON_WORDS, COMPOUND_TERMS, KEYWORDS, OPERATOR_WORDS, PARTY_PREFIXES, RECOMMENDATION_PREFIXES
 from strataloom.operators import bm25
 from strataloom.plans.tables import read, spread
+from strataloom.sources.shared import write_out
 
 
 def tokenize_prose(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.tokens(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("token").alias("n_distinct"))
+    rows = t.token_counts(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+    return rows.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_distinct"))
 
 
 def tokenize_code(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.tokens(read(spark, d, "pages"), "page_id", "html", code=True)
-    return rows.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
+    rows = t.token_counts(spread(read(spark, d, "pages").select("page_id", "html")), "page_id", "html", code=True)
+    return rows.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("n_pages"))
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +94,8 @@ def plain_comments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _doc_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.term_counts(t.tokens(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id")
+    counted = t.token_counts(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+    return bm25.with_lengths(counted.withColumnRenamed("n", "f"), "doc_id")
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +119,7 @@ def bm25_doc_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
-    counts = _doc_tokens(spark, d)
+    counts = write_out(_doc_tokens(spark, d), "counts")
     df = counts.join(_queries(spark, d).select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     stats = bm25.corpus_stats(counts, "doc_id")
     return df.crossJoin(F.broadcast(stats)).select("token", "df", F.round(bm25.idf(F.col("n"), F.col("df")), 6).alias("idf"))
@@ -125,8 +127,8 @@ def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_floor_effect(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose length is raised to the floor."""
-    counts = _doc_tokens(spark, d)
-    lengths = counts.select("doc_id", "dl").distinct().crossJoin(F.broadcast(bm25.corpus_stats(counts, "doc_id")))
+    counts = write_out(_doc_tokens(spark, d).select("doc_id", "dl").distinct(), "lengths")
+    lengths = counts.crossJoin(F.broadcast(bm25.corpus_stats(counts, "doc_id")))
     return lengths.filter(F.col("dl") < F.col("avgdl") * bm25.LENGTH_FLOOR).select("doc_id", "dl", F.round(F.col("avgdl") * bm25.LENGTH_FLOOR, 6).alias("effective_dl"))
 
 

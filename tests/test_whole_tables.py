@@ -113,3 +113,26 @@ def test_chains_are_followed_to_their_end(spark):
 
     got = {r.topic: r.target for r in graph.follow_chain(spark.createDataFrame(rows, "topic long, next long")).collect()}
     assert got == {k: end(k) for k in after}
+
+
+def test_counted_tokens_are_the_tokens(spark):
+    from collections import Counter
+
+    from strataloom.functions import text as t
+
+    rows = [(1, "the parsedTree parsedTree HTTPServer2 acct acct x 7 _ tries"), (2, "parsedTree, addresses; usr"), (3, ""), (4, None), (5, "the of")]
+    df = spark.createDataFrame(rows, "k long, s string")
+    for code in (False, True):
+        want = Counter((r.k, r.token) for r in t.tokens(df, "k", "s", code=code).collect())
+        assert {(r.k, r.token): r.n for r in t.token_counts(df, "k", "s", code=code).collect()} == want
+
+
+def test_scores_are_ranked_before_they_move(spark, sf):
+    from strataloom.plans import text_queries
+
+    plan = text_queries.bm25_top10(spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = lambda word: [k for k, line in enumerate(plan) if word in line]
+    # from the bottom: the sums of a document, the first ten of the task, then the shuffle by item
+    partial = [k for k in at("WindowGroupLimit") if "Partial" in plan[k]]
+    moved = [k for k in at("Exchange") if "item_id" in plan[k]]
+    assert partial and moved and max(moved) < min(partial)
