@@ -57,7 +57,8 @@ GRAM = 12
 LEAST_SHARDS, MOST_SMALL = 24, 1600
 SHARD_TEXT, LARGE_TEXT = 3_600_000, 4 << 30
 #: Bytes of a block: 40 kilobytes for each shard, within bounds; and bytes of a block that are cut into fragments at once.
-BLOCK_BYTES, MOST_BLOCK_BYTES, BLOCK_SHARE = 1 << 20, 64 << 20, 40 << 10
+#: A task that cuts a block holds up to 25 bytes for each of its bytes, so the upper bound does not follow the input.
+BLOCK_BYTES, MOST_BLOCK_BYTES, BLOCK_SHARE = 1 << 20, 8 << 20, 40 << 10
 STRETCH = 2 << 20
 BUCKET_BYTES = 256 << 20
 BATCH_BYTES = 64 << 20
@@ -529,32 +530,39 @@ def _cut(id_type: pa.DataType):
                 start = _whole(start)
                 np.add.at(gone, start, 1)
                 np.add.at(gone, start + size, -1)
-            drop = np.cumsum(gone[:-1]) > 0
+            # a block has fewer than 2 ** 31 bytes
+            drop = np.cumsum(gone[:-1], dtype=np.int32, out=gone[:-1]) > 0
+            del gone
             sizes = np.diff(offsets)
-            run_ = np.concatenate([[0], np.cumsum(drop)])
-            removed = run_[offsets[1:]] - run_[offsets[:-1]]
+            before = lambda marks: np.concatenate([np.zeros(1, np.int32), np.cumsum(marks, dtype=np.int32)])[offsets].astype(np.int64)
+            removed = np.diff(before(drop))
             begins = drop.copy()
             begins[1:] &= ~drop[:-1]
             heads = offsets[:-1][sizes > 0]
             begins[heads] = drop[heads]  # matches never cross documents
-            spans = np.concatenate([[0], np.cumsum(begins)])
+            spans = np.diff(before(begins))
             kept = np.concatenate([[0], np.cumsum(sizes - removed)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1)[k].values.cast(id_type), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans[offsets[1:]] - spans[offsets[:-1]], pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(kept), pa.py_buffer(data[~drop])])],
+                [batch.column(1)[k].values.cast(id_type), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(kept), pa.py_buffer(data[~drop])])],
                 names=["id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
     return run
 
 
+def layout(total: int) -> tuple[int, int]:
+    """Number of shards and bytes of a block for so many bytes of text."""
+    shards = max(LEAST_SHARDS, min(MOST_SMALL, int(total // SHARD_TEXT) + 1), int(total // LARGE_TEXT) + 1)
+    return shards, min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, shards * BLOCK_SHARE))
+
+
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept bytes) of each row."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(LEAST_SHARDS, min(MOST_SMALL, int(total // SHARD_TEXT) + 1), int(total // LARGE_TEXT) + 1)
-    size = min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, shards * BLOCK_SHARE))
+    shards, size = layout(total)
     blocks = _blocks(texts, size, max(LEAST_SHARDS, int(total // BUCKET_BYTES) + 1))
     packed, answers = "block long, shard int, payload binary", "block long, payload binary"
 

@@ -101,3 +101,11 @@ def test_edges(spark):
 
 def test_empty(spark):
     assert sd.digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_blocks_do_not_follow_the_input():
+    from strataloom.llm.suffix_dedup import layout
+
+    assert layout(10**6) == (24, 1 << 20)
+    assert all(layout(g * 10**9)[1] <= 8 << 20 for g in (1, 6, 30, 1000))
+    assert layout(6 * 10**9)[0] == 1600
