@@ -85,13 +85,26 @@ def direct_io(effects: DataFrame, topics: DataFrame) -> DataFrame:
     return kept.groupBy("fn", "effect").agg(F.transform(F.array_sort(F.collect_list(F.struct("site", "target"))), lambda x: x["target"]).alias("targets"))
 
 
-def distinct_effects(effects: DataFrame) -> DataFrame:
-    """Effects (fn, origin, effect, target, stmt, site): reverts once for each origin, effect and error (or statement without one), others for each origin and target; the least place stands."""
+def _least_effects(effects: DataFrame, by: list[str]) -> DataFrame:
     key = F.when(F.col("effect") == "revert", F.coalesce("target", F.concat(F.lit("stmt "), F.col("stmt").cast("string")))).otherwise(F.col("target"))
-    rows = effects.withColumn("_key", key).withColumn("_n", F.row_number().over(Window.partitionBy("fn", "origin", "effect", "_key").orderBy("site")))
+    rows = effects.withColumn("_key", key).withColumn("_n", F.row_number().over(Window.partitionBy(*by, "effect", "_key").orderBy("site")))
     return rows.filter("_n = 1").drop("_key", "_n")
 
 
+def distinct_effects(effects: DataFrame) -> DataFrame:
+    """Effects (fn, origin, effect, target, stmt, site): reverts once for each origin, effect and error (or statement without one), others for each origin and target; the least place stands."""
+    return _least_effects(effects, ["fn", "origin"])
+
+
+def called_effects(calls: DataFrame, effects: DataFrame) -> DataFrame:
+    """distinct_effects() of calls(fn, origin) joined with effects(origin, effect, target, stmt, site).
+
+    All callers see the same effects of an origin, so these are made distinct
+    before callers and effects meet; the joined rows are not shuffled again.
+    """
+    return calls.select("fn", "origin").distinct().join(_least_effects(effects, ["origin"]), "origin")
+
+
 def effect_clauses(effects: DataFrame, names: DataFrame) -> DataFrame:
     """(fn, clauses): `reads (a, b) writes (c) emits (d) reverts (e)` with each name once, in place order; a kind without any is left out."""
     verb = F.create_map(*[F.lit(x) for pair in (("read", "reads"), ("write", "writes"), ("event", "emits"), ("revert", "reverts")) for x in pair])
