@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from strataloom.operators import steps
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from strataloom.operators import edges, steps
 from strataloom.plans import relation_queries
 
 
@@ -39,3 +42,30 @@ def test_called_effects_are_distinct_before_they_meet_callers(spark):
     got = [tuple(r) for r in steps.called_effects(c, e).select("fn", "origin", "effect", "target", "stmt", "site").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert "Join" in _nodes(steps.called_effects(c, e))[1]  # nothing but columns above the join
+
+
+def test_called_edges_give_what_function_edges_give(spark, monkeypatch):
+    monkeypatch.setattr(edges, "CHUNK_CALLS", 20)
+    rng = random.Random(5)
+    some = lambda prefix, n: f"{prefix}{rng.randrange(n)}"
+    topics = spark.createDataFrame([(f"f{i}",) for i in range(12)] + [(f"v{i}",) for i in range(6)], "topic string")
+    calls = [(some("f", 14), some("f", 14), rng.choice([True, False, None])) for _ in range(60)] + [("f1", None, False), (None, "f1", False)]
+    effects = [(some("f", 14), rng.choice(["write", "event", "revert", None]), rng.choice([some("v", 8), some("f", 14), None])) for _ in range(80)]
+    c, e = spark.createDataFrame(calls, "fn string, callee string, in_try boolean"), spark.createDataFrame(effects, "callee string, effect string, target string")
+    passed = e.select("callee", F.concat(F.lit("effective_"), "effect").alias("stage"), "target")
+    own = e.select(F.col("callee").alias("fn"), F.col("effect").alias("stage"), "target").unionByName(c.select("fn", F.lit("call").alias("stage"), F.col("callee").alias("target"))).unionByName(e.select(F.col("callee").alias("fn"), F.lit("reference").alias("stage"), "target"))
+    effective = c.join(passed, "callee").filter("stage != 'effective_revert' or not in_try").select("fn", "stage", "target")
+    want = {tuple(r) for r in edges.function_edges(own.unionByName(effective), topics).collect()}
+    got = [tuple(r) for r in edges.called_edges(own, c, passed, topics).collect()]
+    assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_function_of_many_effects_is_united_in_pieces(monkeypatch):
+    monkeypatch.setattr(edges, "UNITED", 7)
+    write, kind = 2, pa.list_(pa.struct([("code", pa.int8()), ("target", pa.string())]))
+    held = [[{"code": write, "target": f"v{(i * k) % 40}"} for i in range(30)] for k in (1, 3)]
+    links = [{"code": edges._CALL, "target": "g0"}, {"code": edges._CALL, "target": "g1"}, {"code": 1, "target": "v0"}]
+    rows = pa.table({"chunk": [0, 0, 0, 0], "held": [False, True, True, False], "name": ["f", "g0", "g1", "h"], "xs": pa.array([links, *held, []], kind)})
+    got = [(r["src"], r["dst"], r["kind"]) for b in edges._united_chunk(rows) for r in b.to_pylist()]
+    want = {("f", x["target"], "WritesState") for xs in held for x in xs}
+    assert len(got) == len(want) and set(got) == want
