@@ -7,7 +7,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from strataloom.operators import edges, steps
+from strataloom.operators import edges, linking, steps
 from strataloom.plans import relation_queries
 
 
@@ -69,3 +69,31 @@ def test_a_function_of_many_effects_is_united_in_pieces(monkeypatch):
     got = [(r["src"], r["dst"], r["kind"]) for b in edges._united_chunk(rows) for r in b.to_pylist()]
     want = {("f", x["target"], "WritesState") for xs in held for x in xs}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_interface_members_do_not_meet_all_members_of_their_name(spark):
+    rng = random.Random(6)
+    rows = [(f"t{i:03}", rng.choice(["k0", "k1", "k2"]), rng.choice(["a", "b", None]), rng.choice(["", "x", None]), rng.choice([0, 1, None]), rng.choice([True, False])) for i in range(150)]
+    rows += [("t900", "k0", "only", "x", 0, False), ("t901", "k1", "only", "y", 1, False), ("t902", "k1", "only", "z", 1, False)]
+    members = spark.createDataFrame(rows, "topic string, component string, name string, params string, n_params long, is_variable boolean")
+    out = linking.map_interface(members, spark.createDataFrame([("k0", "k1")], "base string, impl string"))
+    want = {}
+    for m, c, name, params, n, var in rows:
+        if c == "k0" and not var and name is not None:
+            found = [(1 if v else 0 if None not in (params, p) and params == p else 2, t) for t, k, other, p, _, v in rows if k == "k1" and other == name]
+            found = [x for x in found if x[0] < 2 or n == 0]
+            if found:
+                want[m] = (min(found)[1], ("signature", "variable", "name")[min(found)[0]])
+    assert want["t900"] == ("t901", "name") and {r.member: (r.target, r.rule) for r in out.collect()} == want
+    # each side of the join with the implementation is one row for each name
+    assert str(out._jdf.queryExecution().optimizedPlan()).count("min(_t") >= 1
+
+
+def test_section_members_are_counted_as_lists(spark):
+    rng = random.Random(8)
+    topics = spark.createDataFrame([(f"v{i}", "StateVariable(Mutable)", None) for i in range(8)] + [(f"f{i}", "Function(Function)", None) for i in range(5)] + [(f"l{i}", "LocalVariable", f"f{i}") for i in range(5)], "topic string, kind string, member string")
+    refs = spark.createDataFrame([(rng.randrange(12), rng.choice("vfl") + str(rng.randrange(9))) for _ in range(60)], "section long, topic string")
+    writes = spark.createDataFrame([(f"v{rng.randrange(8)}", f"f{rng.randrange(20)}") for _ in range(50)], "variable string, fn string")
+    whole = linking.section_members(refs, topics, writes).groupBy("section").agg(F.count("*"), F.min("member"))
+    got = linking.section_member_counts(refs, topics, writes).collect()
+    assert len(got) == whole.count() and {tuple(r) for r in got} == {tuple(r) for r in whole.collect()}
