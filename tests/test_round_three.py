@@ -7,7 +7,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from strataloom.operators import edges, linking, steps
+from strataloom.operators import edges, graph, linking, steps
 from strataloom.plans import relation_queries
 
 
@@ -97,3 +97,17 @@ def test_section_members_are_counted_as_lists(spark):
     whole = linking.section_members(refs, topics, writes).groupBy("section").agg(F.count("*"), F.min("member"))
     got = linking.section_member_counts(refs, topics, writes).collect()
     assert len(got) == whole.count() and {tuple(r) for r in got} == {tuple(r) for r in whole.collect()}
+
+
+def test_ranks_by_vectors_equal_ranks_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "VECTOR_CELLS", 40)  # two seed sets at once
+    rng = random.Random(9)
+    links = spark.createDataFrame([(f"a{rng.randrange(14)}", f"a{rng.randrange(18)}", rng.choice([0.5, 1.0])) for _ in range(45)], "src string, dst string, w double")
+    seeds = spark.createDataFrame([(1, "a1", 1.0), (1, "a2", 3.0), (2, "a3", 1.0), (3, "out", 2.0), (4, "a4", 0.0)], "seed_set int, node string, weight double")
+    ranks = lambda every: {(r.seed_set, r.node): r["rank"] for r in graph.pagerank(links, seeds, every=every).collect()}
+    want, whole = ranks(False), ranks(True)
+    monkeypatch.setattr(graph, "ARRAY_EDGES", 0)
+    got, all_got = ranks(False), ranks(True)
+    assert {k: round(v, 12) for k, v in got.items() if v} == {k: round(v, 12) for k, v in want.items() if v}
+    assert all(abs(all_got[k] - v) < 1e-12 for k, v in whole.items())
+    assert "_rank_by_vectors" in graph.pagerank.__code__.co_names
