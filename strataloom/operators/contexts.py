@@ -113,10 +113,17 @@ def doc_panel(shown: DataFrame, above: DataFrame, contexts: DataFrame) -> DataFr
     ancestors stay, those without contexts bring none. Groups of one scope are one,
     and a reference that several topics share stands once with the least place.
     """
-    shown = shown.select("panel", "topic").distinct()
-    inside = shown.join(above, "topic").join(shown.withColumnRenamed("topic", "ancestor"), ["panel", "ancestor"], "left_semi").select("panel", "topic").distinct()
-    tops = shown.join(inside, ["panel", "topic"], "left_anti")
-    return merged(tops.join(contexts, "topic").drop("topic").withColumnRenamed("panel", "topic")).withColumnRenamed("topic", "panel")
+    told = shown.select("panel", "topic").join(above, "topic", "left").repartition("panel")
+    # who is shown and who stands above, side by side: an ancestor that is also shown covers its topics
+    sides = F.array(F.struct(F.col("topic").alias("name"), F.lit(1).alias("own"), "topic"), F.struct(F.col("ancestor").alias("name"), F.lit(0).alias("own"), "topic"))
+    rows = told.select("panel", F.inline(sides)).filter("own = 1 or name is not null")
+    met = F.max("own").over(Window.partitionBy("panel", "name"))
+    tops = rows.withColumn("_inside", F.when(F.col("own") == 0, met).otherwise(0)).groupBy("panel", "topic").agg(F.max("_inside").alias("_inside")).filter("_inside = 0")
+    # a topic's contexts travel as one list, and meet in their panel
+    fields = ["scope", "subscope", "ref", "sort_key", "mention"]
+    listed = contexts.groupBy("topic").agg(F.collect_list(F.struct(*fields)).alias("_c"))
+    met_there = tops.join(listed, "topic").select("panel", "_c").repartition("panel").select(F.col("panel").alias("topic"), F.inline("_c"))
+    return merged(met_there).withColumnRenamed("topic", "panel")
 
 
 def nested_groups(refs: DataFrame, *, by: str = "topic") -> DataFrame:

@@ -34,3 +34,21 @@ def test_features_are_counted_as_bits(spark):
     tables = [spark.createDataFrame(r, s) for r, s in ((fr, "feature string, requirement string"), (fb, "feature string, behavior string"), (mb, "member string, behavior string"), (inside, "topic string, member string"))]
     got = {r.topic: (r.n_features, r.first_feature) for r in linking.feature_counts(*tables).collect()}
     assert got == {t: (len(fs), min((f for f in fs if f is not None), default=None)) for t, fs in want.items() if fs}
+
+
+def test_panels_take_contexts_as_lists(spark):
+    rng = random.Random(2)
+    shown = [(rng.randrange(6), f"t{rng.randrange(12)}") for _ in range(60)]
+    above = [(f"t{rng.randrange(12)}", f"t{rng.randrange(12)}") for _ in range(8)]
+    told = [(f"t{rng.randrange(14)}", rng.randrange(3), rng.randrange(2), rng.randrange(5), k, rng.choice("AB")) for k in range(80)]
+    want = defaultdict(lambda: [10**9, set()])
+    for panel, topic in set(shown):
+        if not any(t == topic and (panel, a) in shown for t, a in above):
+            for t, scope, sub, ref, key, mention in told:
+                if t == topic:
+                    w = want[panel, scope, sub, ref]
+                    w[0] = min(w[0], key)
+                    w[1].add(mention)
+    df = contexts.doc_panel(spark.createDataFrame(shown, "panel int, topic string"), spark.createDataFrame(above, "topic string, ancestor string"), spark.createDataFrame(told, "topic string, scope int, subscope int, ref int, sort_key int, mention string"))
+    assert {(r.panel, r.scope, r.subscope, r.ref): [r.sort_key, set(r.mentions)] for r in df.collect()} == dict(want)
+    assert "LeftAnti" not in _plan(df) and "LeftSemi" not in _plan(df)
