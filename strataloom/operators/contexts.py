@@ -46,8 +46,8 @@ def order_expanded(groups: DataFrame) -> DataFrame:
 def branch_groups(notes: DataFrame) -> DataFrame:
     """(owner, block, kind, has_sibling): annotated blocks of notes(owner, block, kind), one for each kind; branches of one `if` know of each other."""
     groups = notes.select("owner", "block", "kind").distinct()
-    kinds = groups.groupBy("owner", "block").agg(F.count("*").alias("_n"))
-    return groups.join(kinds, ["owner", "block"]).select("owner", "block", "kind", (F.col("kind").startswith("If") & (F.col("_n") > 1)).alias("has_sibling"))
+    several = F.count("*").over(Window.partitionBy("owner", "block")) > 1
+    return groups.select("owner", "block", "kind", (F.col("kind").startswith("If") & several).alias("has_sibling"))
 
 
 def mutations_of(writes: DataFrame) -> DataFrame:

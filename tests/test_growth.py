@@ -52,3 +52,11 @@ def test_panels_take_contexts_as_lists(spark):
     df = contexts.doc_panel(spark.createDataFrame(shown, "panel int, topic string"), spark.createDataFrame(above, "topic string, ancestor string"), spark.createDataFrame(told, "topic string, scope int, subscope int, ref int, sort_key int, mention string"))
     assert {(r.panel, r.scope, r.subscope, r.ref): [r.sort_key, set(r.mentions)] for r in df.collect()} == dict(want)
     assert "LeftAnti" not in _plan(df) and "LeftSemi" not in _plan(df)
+
+
+def test_branches_are_counted_where_they_lie(spark):
+    rows = [("f", 1, "If(then)"), ("f", 1, "If(else)"), ("f", 1, "If(then)"), ("f", 2, "If(then)"), ("g", 1, "For"), ("g", 1, "If(else)"), (None, 1, "If(then)")]
+    df = contexts.branch_groups(spark.createDataFrame(rows, "owner string, block int, kind string"))
+    got = {(r.owner, r.block, r.kind): r.has_sibling for r in df.collect()}
+    assert got == {("f", 1, "If(then)"): True, ("f", 1, "If(else)"): True, ("f", 2, "If(then)"): False, ("g", 1, "For"): False, ("g", 1, "If(else)"): True, (None, 1, "If(then)"): False}
+    assert "Join" not in _plan(df)
