@@ -17,10 +17,20 @@ def in_source_order(refs: DataFrame) -> DataFrame:
     return refs.groupBy("topic", "scope").agg(F.transform(F.array_sort(F.collect_list(F.struct("sort_key", "ref"))), lambda x: x["ref"]).alias("refs"))
 
 
-def undominated(refs: DataFrame, listed: DataFrame) -> DataFrame:
-    """Expanded references (topic, ref, ancestors) without those inside a block that is already listed(topic, ref) for the topic; each reference node once."""
-    inside = refs.select("topic", "ref", F.explode("ancestors").alias("above")).join(listed.select("topic", F.col("ref").alias("above")), ["topic", "above"], "left_semi")
-    return refs.join(inside.select("topic", "ref").distinct(), ["topic", "ref"], "left_anti").dropDuplicates(["topic", "ref"])
+def undominated(refs: DataFrame, listed: DataFrame, parts: int | None = None) -> DataFrame:
+    """Expanded references (topic, ref, ancestors) without those inside a block that is already listed(topic, ref) for the topic; each reference node once.
+
+    Dealt to so many parts if given, so that a task's rows do not grow with the input.
+    """
+    near = refs.withColumn("above", F.explode_outer("ancestors")).withColumn("_listed", F.lit(False))
+    known = listed.filter("topic is not null and ref is not null").select("topic", F.col("ref").alias("above"), F.lit(True).alias("_listed"))
+    # both sides are dealt by topic once; what is listed marks the references beside it
+    rows = near.unionByName(known, allowMissingColumns=True)
+    rows = (rows.repartition(parts, "topic") if parts else rows.repartition("topic")).withColumn("_own", ~F.col("_listed"))
+    marked = rows.withColumn("_listed", F.max("_listed").over(Window.partitionBy("topic", "above"))).filter("_own")
+    others = [c for c in refs.columns if c not in ("topic", "ref")]
+    kept = marked.groupBy("topic", "ref").agg(F.max("_listed").alias("_listed"), *(F.first(c).alias(c) for c in others)).filter("not _listed")
+    return kept.select(*refs.columns)
 
 
 def order_by_subject(groups: DataFrame) -> DataFrame:

@@ -60,3 +60,13 @@ def test_branches_are_counted_where_they_lie(spark):
     got = {(r.owner, r.block, r.kind): r.has_sibling for r in df.collect()}
     assert got == {("f", 1, "If(then)"): True, ("f", 1, "If(else)"): True, ("f", 2, "If(then)"): False, ("g", 1, "For"): False, ("g", 1, "If(else)"): True, (None, 1, "If(then)"): False}
     assert "Join" not in _plan(df)
+
+
+def test_listed_blocks_mark_references_beside_them(spark):
+    refs = spark.createDataFrame([("a", "r1", ["x", "y"]), ("a", "r1", ["z"]), ("a", "r2", ["z"]), ("b", "r1", ["x"]), ("a", "r3", []), (None, "r4", ["x"])], "topic string, ref string, ancestors array<string>")
+    listed = spark.createDataFrame([("a", "y"), ("a", "y"), (None, "x"), ("c", "q")], "topic string, ref string")
+    for parts in (None, 3):
+        df = contexts.undominated(refs, listed, parts)
+        assert {(r.topic, r.ref) for r in df.collect()} == {("a", "r2"), ("b", "r1"), ("a", "r3"), (None, "r4")}
+        assert df.columns == refs.columns
+        assert _plan(df).count("Exchange hashpartitioning") <= 1
