@@ -65,8 +65,9 @@ def build(tables: dict[str, DataFrame], extractors: list[tuple[Callable[[dict],
 
 
 def residual_references(references: DataFrame, typed: DataFrame) -> DataFrame:
-    """Reference pairs that no typed edge covers."""
-    return references.join(typed.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    """Reference pairs (src, dst) that no typed pair covers, each once; both sides are grouped together, and typed pairs may repeat."""
+    sides = references.select("src", "dst", F.lit(0).alias("typed")).unionByName(typed.filter("src is not null and dst is not null").select("src", "dst", F.lit(1).alias("typed")))
+    return sides.groupBy("src", "dst").agg(F.max("typed").alias("typed")).filter("typed = 0").select("src", "dst")
 
 
 def in_order(edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from strataloom.operators import graph as g
 from strataloom.operators import relations as r
 from strataloom.operators import resolve
 from strataloom.plans import kb
-from strataloom.plans.tables import GRAPH_SQL, call_pairs, contains_pairs, graph, node, read
+from strataloom.plans.tables import GRAPH_SQL, call_pairs, contains_pairs, graph, graph_pairs, node, read
 from strataloom.sources.shared import write_out
 
 
@@ -27,8 +27,8 @@ def out_weight(spark: SparkSession, d: str) -> DataFrame:
 
 
 def residual_references(spark: SparkSession, d: str) -> DataFrame:
-    refs = read(spark, d, "lineitem").select(node("s", "l_suppkey").alias("src"), node("p", "l_partkey").alias("dst")).unionByName(contains_pairs(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(read(spark, d, "lineitem").select(node("c", "l_suppkey").alias("src"), node("p", "l_partkey").alias("dst"))).distinct()
-    return g.residual_references(refs, graph(spark, d))
+    refs = read(spark, d, "lineitem").select(node("s", "l_suppkey").alias("src"), node("p", "l_partkey").alias("dst")).unionByName(contains_pairs(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(read(spark, d, "lineitem").select(node("c", "l_suppkey").alias("src"), node("p", "l_partkey").alias("dst")))
+    return g.residual_references(refs, graph_pairs(spark, d))
 
 
 def graph_dump(spark: SparkSession, d: str) -> DataFrame:

@@ -70,3 +70,11 @@ def test_listed_blocks_mark_references_beside_them(spark):
         assert {(r.topic, r.ref) for r in df.collect()} == {("a", "r2"), ("b", "r1"), ("a", "r3"), (None, "r4")}
         assert df.columns == refs.columns
         assert _plan(df).count("Exchange hashpartitioning") <= 1
+
+
+def test_references_and_typed_pairs_are_grouped_once(spark):
+    refs = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("b", "a"), (None, "c")], "src string, dst string")
+    typed = spark.createDataFrame([("a", "c"), ("a", "c"), ("z", "y"), (None, "c")], "src string, dst string")
+    df = graph.residual_references(refs, typed)
+    assert sorted(df.collect(), key=str) == sorted([("a", "b"), ("b", "a"), (None, "c")], key=str)
+    assert "Join" not in _plan(df)
