@@ -78,3 +78,13 @@ def test_references_and_typed_pairs_are_grouped_once(spark):
     df = graph.residual_references(refs, typed)
     assert sorted(df.collect(), key=str) == sorted([("a", "b"), ("b", "a"), (None, "c")], key=str)
     assert "Join" not in _plan(df)
+
+
+def test_a_chain_is_resolved_once(spark, monkeypatch):
+    monkeypatch.setattr(names, "MEMO", 3)
+    known = spark.createDataFrame([("A.f", "1"), ("f", "2"), ("v", "3"), ("v", "4")], "name string, topic string")
+    said = spark.createDataFrame([(1, "see A.f.v, f or x.A.f; see A.f.v"), (2, None), (3, ""), (4, "v")], "k int, text string")
+    got = [tuple(r) for r in names.scan(said, known, key="k", text="text").orderBy("k", "pos").collect()]
+    see, af, v = ("see", "unknown", None, 0), ("A.f", "resolved", "1", 1), ("v", "ambiguous", None, 2)
+    want = [(0, see), (4, af), (8, v), (11, ("f", "resolved", "2", 1)), (13, ("or", "unknown", None, 0)), (16, ("x", "unknown", None, 0)), (18, af), (23, see), (27, af), (31, v)]
+    assert got == [(1, i, start, *ref) for i, (start, ref) in enumerate(want)] + [(4, 0, 0, *v)]
